@@ -1,0 +1,49 @@
+"""Deterministic command feeds of any length, spread over the cluster."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+# The query terms of the load feeds.
+DEPARTMENT_IDS = ("d1", "d2", "d3", "d4")
+COUNTRY_QUERIES = ("CA", "UK", "UA", "US", "MX")
+PREFIX_QUERIES = ("bla", "blue", "red", "bl")
+
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+_START = "2024-01-01 00:00:00"
+
+
+def _pick(values: tuple[str, ...], seed: int) -> Column:
+    slot = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(len(values))) + 1
+    return F.element_at(F.array(*[F.lit(v) for v in values]), slot.cast("int"))
+
+
+def _letters(count: int, seed: int) -> Column:
+    """``count`` letters and digits drawn by a hash of the row number."""
+    drawn = [F.pmod(F.xxhash64("id", F.lit(seed + i)), F.lit(len(ALPHABET))) + 1 for i in range(count)]
+    return F.concat(*[F.substring(F.lit(ALPHABET), d.cast("int"), F.lit(1)) for d in drawn])
+
+
+def registrations(spark: SparkSession, count: int, seed: int = 42) -> DataFrame:
+    """``count`` user registrations with 5-character names and a department."""
+    rows = spark.range(count).select(
+        "id", _letters(5, seed).alias("username"), _letters(5, seed + 100).alias("pass"), _pick(DEPARTMENT_IDS, seed + 200).alias("dept")
+    )
+    return rows.select(
+        F.col("id").alias("cmd_id"),
+        (F.lit(_START).cast("timestamp_ntz") + F.make_dt_interval(secs=F.col("id").cast("decimal(18,6)"))).alias("cmd_ts"),
+        F.col("username").alias("entity_id"), F.lit("create").alias("kind"), "username",
+        F.concat("username", F.lit("@test.com")).alias("email"), "pass",
+        F.lit(None).cast("struct<street:string,number:string,zip:string,city:string,state:string,country:string>").alias("address"),
+        F.struct(F.col("dept").alias("id")).alias("department"),
+        F.lit(None).cast("string").alias("subject"), F.lit(None).cast("timestamp_ntz").alias("expires_at"),
+    )
+
+
+def queries(spark: SparkSession, count: int, seed: int = 42) -> DataFrame:
+    """``count`` rows of query terms: a department, a country, a prefix."""
+    return spark.range(count).select(
+        "id", _pick(DEPARTMENT_IDS, seed).alias("department"), _pick(COUNTRY_QUERIES, seed + 1).alias("country"),
+        _pick(PREFIX_QUERIES, seed + 2).alias("prefix"),
+    )
