@@ -43,7 +43,8 @@ def _micros(ts: str) -> Column:
     """Microseconds since 1970 of a TIMESTAMP_NTZ, whatever the session time zone."""
     day = F.datediff(F.col(ts).cast("date"), F.lit("1970-01-01").cast("date")).cast("bigint")
     second = F.expr(f"cast(extract(second from `{ts}`) * 1000000 as bigint)")
-    return day * 86_400_000_000 + F.hour(ts) * 3_600_000_000 + F.minute(ts) * 60_000_000 + second
+    minute = (F.hour(ts) * 60 + F.minute(ts)).cast("bigint")
+    return day * 86_400_000_000 + minute * 60_000_000 + second
 
 
 def _with_bucket(df: DataFrame, value: Column, splits: tuple[float, ...], out: str) -> DataFrame:

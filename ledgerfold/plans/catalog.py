@@ -338,8 +338,10 @@ def reply_messages_rest(spark, folder):
 
 @query
 def service_replies(spark, folder):
-    """All checks in a row: caller, fields, gate; one reply per command."""
-    _, answers = service.handle(_user_commands(spark, folder), departments=_lifecycle(spark, folder))
+    """All checks in a row: caller, fields, gate; one reply per command. At this
+    surface the user name is the id."""
+    commands = _user_commands(spark, folder).withColumn("entity_id", F.col("username"))
+    _, answers = service.handle(commands, departments=_lifecycle(spark, folder))
     return answers
 
 
@@ -499,7 +501,7 @@ def stream_department_view(spark, folder):
     from ledgerfold.sources.store import stream_journal, write_journal
 
     path = work_path(spark, "department-view")
-    write_journal(derived.department_journal(spark, folder), f"{path}/journal")
+    write_journal(derived.department_journal(spark, folder), f"{path}/journal", partitions=("tag",))
     store = ViewStore(spark, f"{path}/view", DEPARTMENT)
     stream = stream_journal(spark, f"{path}/journal", DEPARTMENT_JOURNAL)
     streaming_views.build_view(stream, store, f"{path}/checkpoint").awaitTermination()

@@ -145,7 +145,7 @@ ADDRESS_ERRORS = (
 
 AS_OF = f"""marks AS (
   SELECT entity_id AS dept, ts AS mark_ts, arg_max(kind, seq_nr) AS mark FROM de WHERE kind IN ('created', 'removed') GROUP BY entity_id, ts),
-asof AS (
+seen AS (
   SELECT uc.*, CASE WHEN kind IN ('create', 'changeDepartment') THEN coalesce(mark = 'created', false) END AS department_exists
   FROM uc ASOF LEFT JOIN marks ON uc.department_id = marks.dept AND uc.ts >= marks.mark_ts)"""
 
@@ -156,7 +156,7 @@ checked AS (
   SELECT *, CASE WHEN kind IN ('create', 'changeAddress') THEN {ADDRESS_ERRORS} ELSE [] END
          || CASE WHEN kind IN ('create', 'changeDepartment') AND NOT department_exists
                  THEN ['Department: ' || department_id || ' not found'] ELSE [] END AS errs
-  FROM asof WHERE {condition}),
+  FROM seen WHERE {condition}),
 ud AS (
   SELECT *, array_to_string(errs, ', ') AS errors,
          CASE WHEN NOT present THEN CASE WHEN kind <> 'create' THEN 'NotExists' WHEN len(errs) > 0 THEN 'CreatedFailed' ELSE 'Created' END
@@ -256,7 +256,7 @@ def statements() -> dict[str, str]:
         "THEN {'id': department_id} END, 'username_sugg': username, 'email_sugg': email})::VARCHAR"
     )
     admitted = "kind IN ('create') OR known"
-    denied = f"SELECT cmd_id, entity_id, 'Unauthenticated' AS reply_kind, false AS ok, 'Unauthenticated' AS message FROM uc WHERE NOT ({admitted})"
+    denied = f"SELECT cmd_id, username AS entity_id, 'Unauthenticated' AS reply_kind, false AS ok, 'Unauthenticated' AS message FROM uc WHERE NOT ({admitted})"
     return {
         "journal_scan": f"WITH {UJ} SELECT {JOURNAL_COLUMNS} FROM uj",
         "department_journal_scan": f"WITH {DJ} SELECT entity_id, seq_nr, strftime(ts, {STAMP}) AS ts, kind, name, description, tag, timebucket FROM dj",
@@ -313,7 +313,7 @@ SELECT cmd_id, concat_ws(', ',
   CASE WHEN kind IN ('create', 'changeAddress') AND length(country) < 2 THEN 'address.country must have at least 2 characters' END) AS errors
 FROM cut""",
         "authz_rejects": f"WITH {COMMANDS} SELECT cmd_id, entity_id, kind, 'Unauthenticated' AS reply_kind FROM uc WHERE NOT known AND kind <> 'create'",
-        "dept_exists_as_of": f"WITH {DEPARTMENT_DECISIONS}, {COMMANDS}, {AS_OF} SELECT cmd_id, kind, department_id, department_exists FROM asof",
+        "dept_exists_as_of": f"WITH {DEPARTMENT_DECISIONS}, {COMMANDS}, {AS_OF} SELECT cmd_id, kind, department_id, department_exists FROM seen",
         "department_gate_events": f"WITH {DEPARTMENT_DECISIONS} SELECT entity_id, seq_nr, strftime(ts, {STAMP}) AS ts, kind, name, description FROM de",
         "department_gate_replies": f"""WITH {DEPARTMENT_DECISIONS}
 SELECT cmd_id, entity_id, reply_kind, reply_kind IN ('Created', 'Updated', 'Removed') AS ok,
@@ -326,7 +326,7 @@ SELECT cmd_id, entity_id, reply_kind, reply_kind IN ('Created', 'Updated', 'Remo
   CASE WHEN {OK} THEN entity_id ELSE {GRPC_MESSAGE} END AS message,
   CASE WHEN {OK} THEN 200 WHEN kind = 'remove' THEN 404 ELSE 400 END AS status FROM decided""",
         "service_replies": f"""WITH {_user_decisions(admitted)}
-SELECT cmd_id, CASE WHEN kind = 'create' THEN username ELSE entity_id END AS entity_id, reply_kind, {OK} AS ok, {GRPC_MESSAGE} AS message FROM decided
+SELECT cmd_id, username AS entity_id, reply_kind, {OK} AS ok, {GRPC_MESSAGE} AS message FROM decided
 UNION ALL {denied}""",
         "gated_state": f"WITH {_user_decisions()}, {_user_view('ue')} SELECT {USER_COLUMNS} FROM uv",
         "get_user": f"{view} WHERE id = '42'",

@@ -27,12 +27,13 @@ def _list(spark: SparkSession, path: str) -> list[str]:
     return [s.getPath().getName() for s in system.listStatus(place)] if system.exists(place) else []
 
 
-def write_journal(journal: DataFrame, path: str, mode: str = "append") -> None:
-    """Write a tagged journal. Ranges over (bucket, tag, entity, number) spread a busy
-    hour or entity over many tasks and leave each file sorted for lookups."""
-    order = ["timebucket", "tag", "entity_id", "seq_nr"]
+def write_journal(journal: DataFrame, path: str, mode: str = "append", partitions: tuple[str, ...] = ("timebucket", "tag")) -> None:
+    """Write a tagged journal. Ranges over (partitions, entity, number) spread a busy
+    hour or entity over many tasks and leave each file sorted for lookups. Small
+    journals do better with the tag alone."""
+    order = [*partitions, "entity_id", "seq_nr"]
     ranged = journal.repartitionByRange(*order).sortWithinPartitions(*order)
-    ranged.write.mode(mode).partitionBy("timebucket", "tag").parquet(path)
+    ranged.write.mode(mode).partitionBy(*partitions).parquet(path)
 
 
 def read_journal(spark: SparkSession, path: str, schema: str = schemas.USER_JOURNAL) -> DataFrame:
