@@ -167,10 +167,10 @@ def running_count(df: DataFrame, plan: CellPlan, name: str, flag: Column | None
         return scanned
     sizes = df.filter(plan.is_hot()).groupBy(*plan.columns).agg(F.count(counted).alias("_size"))
     earlier = Window.partitionBy(plan.key).orderBy(CELL).rowsBetween(Window.unboundedPreceding, -1)
-    handed = sizes.select(*plan.columns, F.sum("_size").over(earlier).alias("_before"))
+    handed = sizes.select(*plan.columns, F.sum("_size").over(earlier).alias("_ahead"))
     merged = scanned.join(handed, plan.columns, "left")
     kept = [c for c in scanned.columns if c != name]
-    return merged.select(*kept, (F.col(name) + F.coalesce(F.col("_before"), F.lit(0))).alias(name))
+    return merged.select(*kept, (F.col(name) + F.coalesce(F.col("_ahead"), F.lit(0))).alias(name))
 
 
 def uncut(df: DataFrame) -> DataFrame:
