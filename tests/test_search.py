@@ -1,0 +1,108 @@
+import math
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from ledgerfold.operators import search
+from ledgerfold.schemas import USER_VIEW
+from ledgerfold.sources.store import ViewSearch
+
+
+def user(n, username=None, email=None, city="Basel", country="CH", department="d1"):
+    return (str(n), username or f"user{n:03}", email or f"u{n}@test.com", ("Main street", "7", "12345", city, "BS", country), (department,))
+
+
+@pytest.fixture(scope="module")
+def view(spark):
+    rows = [user(n, city=["Basel", "New York", "york town"][n % 3], department=f"d{n % 4}") for n in range(45)]
+    return spark.createDataFrame(rows + [("x", "nobody", "n@n.com", None, None)], USER_VIEW).repartition(4).cache()
+
+
+def ids(df):
+    return [r["id"] for r in df.collect()]
+
+
+def test_find(view):
+    assert ids(search.find(view, "7")) == ["7"] and ids(search.find(view, "none")) == []
+    assert search.find_all(view).count() == 46 and search.find_all(view, 3).count() == 3
+
+
+def test_modes(view):
+    assert len(ids(search.matching(view, " "))) == 46 and len(ids(search.matching(view, None))) == 46
+    assert set(ids(search.matching(view, "york"))) == {str(n) for n in range(45) if n % 3}
+    assert set(ids(search.matching(view, "New York", mode="phrase"))) == {str(n) for n in range(45) if n % 3 == 1}
+    assert set(ids(search.matching(view, "d2 basel", mode="all"))) == {str(n) for n in range(45) if n % 12 == 6}
+    assert set(ids(search.matching(view, "USER00", mode="prefix"))) == {str(n) for n in range(10)}
+    assert ids(search.matching(view, "york", fields=("username",))) == []
+
+
+def test_pages_cover_all_hits_once(view):
+    sorts = [("address.city", False), ("department.id", True)]
+    pages = [ids(search.search(view, None, p, 10, sorts)[0]) for p in range(6)]
+    assert [len(p) for p in pages] == [10, 10, 10, 10, 6, 0]
+    assert len({i for p in pages for i in p}) == 46
+    items, count = search.search(view, "york", 0, 0)
+    assert items.count() == 0 and count.first()[0] == 30
+
+
+def test_sort_ignores_case_and_breaks_ties_by_id(view):
+    first = ids(search.page_of(view, 0, 3, [("address.city", False)]))
+    assert first == sorted([str(n) for n in range(45) if n % 3 == 2])[:3]
+
+
+def test_streamed_pages(view):
+    rows = search.all_pages(search.matching(view, None), [("username", True)]).collect()
+    by_page = {}
+    for r in rows:
+        by_page.setdefault(r["page"], []).append(r["username"])
+    assert {p: len(v) for p, v in by_page.items()} == {0: 20, 1: 20, 2: 6}
+    assert max(by_page[0]) < min(by_page[1]) and max(by_page[1]) < min(by_page[2])
+
+
+def test_suggestions(view):
+    got = search.suggestions(view, "USER0").collect()
+    assert [(r["property"], [s["text"] for s in r["suggestions"]]) for r in got] == [
+        ("username", ["user000", "user001", "user002", "user003", "user004"]), ("email", []),
+    ]
+    assert got[0]["suggestions"][0]["score"] == 1.0 and got[0]["suggestions"][0]["freq"] == 1
+    assert [r["suggestions"] for r in search.suggestions(view, "").collect()] == [[], []]
+    both = {r["property"]: [s["text"] for s in r["suggestions"]] for r in search.suggestions(view, "n").collect()}
+    assert both == {"username": ["nobody"], "email": ["n@n.com"]}
+
+
+def test_bm25_against_plain_python(spark):
+    draw = random.Random(5)
+    words = ["red", "blue", "green", "fox", "dog", "sky"]
+    docs = [(i, " ".join(draw.choice(words) for _ in range(draw.randint(0, 30)))) for i in range(60)]
+    df = spark.createDataFrame(docs, "doc_id int, text string").repartition(5)
+    terms = ["red", "fox"]
+    tokens = {i: [w for w in re.split(r"\W+", t) if w] for i, t in docs}
+    mean = sum(map(len, tokens.values())) / len(docs)
+    wanted = {}
+    for i, ws in tokens.items():
+        score = 0.0
+        for t in terms:
+            tf, n = ws.count(t), sum(t in w for w in tokens.values())
+            score += math.log(1 + (len(docs) - n + 0.5) / (n + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(ws) / mean))
+        if any(t in ws for t in terms):
+            wanted[i] = score
+    got = {r["doc_id"]: r["score"] for r in search.ranked(df, "Red fox red").collect()}
+    assert got.keys() == wanted.keys()
+    assert all(abs(got[i] - wanted[i]) < 1e-9 for i in got)
+    assert search.ranked(df, "--").count() == 0
+
+
+def test_dangling(view, spark):
+    departments = spark.createDataFrame([("d1",), ("d2",)], "id string")
+    assert set(ids(search.dangling(view, departments))) == {str(n) for n in range(45) if n % 4 in (0, 3)}
+    assert set(ids(search.placed(view, departments))) == {str(n) for n in range(45) if n % 4 in (1, 2)}
+
+
+def test_view_search(view):
+    tool = ViewSearch(view)
+    items, count = tool.search("york", sorts=[("username", True)])
+    assert len(ids(items)) == 10 and count.first()[0] == 30
+    assert tool.pages("york").agg(F.max("page")).first()[0] == 1
+    assert tool.suggest("user04").first()["suggestions"][0]["text"] == "user040"
