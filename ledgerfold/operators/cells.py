@@ -15,12 +15,14 @@ Cutting decides where rows are processed, never what the result is.
 from __future__ import annotations
 
 from collections.abc import Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass, replace
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ledgerfold.session import stored
+
 CELL = "_cell"
 CELL_ROWS = 1_000_000
 MAX_HOT_KEYS = 10_000
@@ -68,7 +70,7 @@ class CellPlan:
     splits: tuple[float, ...] = ()
     tied: tuple[float, ...] = ()
     tie_splits: tuple[float, ...] = ()
-    by_sequence: bool = field(default=False)
+    by_sequence: bool = False
 
     @property
     def columns(self) -> list[str]:
@@ -78,8 +80,8 @@ class CellPlan:
         return F.col(self.key).isin(list(self.hot))
 
     def apply(self, df: DataFrame) -> DataFrame:
-        """Add the cell number. Unchanged when no key needs cutting."""
-        if not self.hot:
+        """Add the cell number. Unchanged when no key needs cutting or rows have one."""
+        if not self.hot or CELL in df.columns:
             return df
         if self.by_sequence:
             cell = F.floor((F.col(self.order[0]) - 1) / self.rows).cast("bigint")
@@ -91,6 +93,16 @@ class CellPlan:
         cell = F.col("_ts_slice") * (len(self.tie_splits) + 1) + F.coalesce(inner.cast("bigint"), F.lit(0))
         return df.withColumn(CELL, F.when(self.is_hot(), cell).otherwise(F.lit(0))).drop("_ts_slice", "_tie_slice")
 
+    def along(self, *order: str) -> CellPlan:
+        """The same cells for another column that orders the rows the same way. The rows
+        keep their cell column, so the next scan needs no new shuffle."""
+        return replace(self, order=order)
+
+    def by_number(self, seq: str = "seq_nr") -> CellPlan:
+        """Cells of the same keys by ranges of their dense numbers, for rows that carry
+        no cell column."""
+        return replace(self, order=(seq,), by_sequence=True)
+
     def window(self) -> WindowSpec:
         return Window.partitionBy(*self.columns).orderBy(*self.order)
 
@@ -190,11 +202,10 @@ def join_unique(left: DataFrame, right: DataFrame, plan: CellPlan) -> DataFrame:
 
 def global_rank(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """Position 0, 1, 2, ... of every row in one total order, without a single-task
-    window: a range-partitioned sort, made durable, plus one offset per partition."""
-    from ledgerfold.session import checkpointed
-
+    window: a range-partitioned sort, written out, plus one offset per partition. Writing
+    it fixes the partition numbers that both sides of the join below rely on."""
     placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id())
-    stable = checkpointed(placed)
+    stable = stored(placed, "ranked")
     part = F.shiftright("_place", 33)
     local = F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
     sizes = stable.groupBy(part.alias("_part")).agg(F.count("*").alias("_size"))

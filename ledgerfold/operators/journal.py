@@ -38,8 +38,9 @@ def from_offsets(journal: DataFrame, offsets: DataFrame, plan: CellPlan | None =
     ``offsets`` (entity_id, offset) has one row per entity. The last handled event is
     read again, which the folds tolerate."""
     plan = plan or cells.by_sequence(journal)
+    wanted = [c for c in journal.columns if c != cells.CELL]
     resumed = cells.join_unique(journal, offsets.select("entity_id", F.col("offset").alias("_offset")), plan)
-    return resumed.filter(F.col("seq_nr") >= F.coalesce(F.col("_offset"), F.lit(0))).select(*journal.columns)
+    return resumed.filter(F.col("seq_nr") >= F.coalesce(F.col("_offset"), F.lit(0))).select(*wanted)
 
 
 def since(journal: DataFrame, bucket: str) -> DataFrame:
@@ -52,11 +53,12 @@ def envelopes(journal: DataFrame) -> DataFrame:
     return journal.select("entity_id", F.col("seq_nr").alias("offset"), F.col("ts").alias("created_at"))
 
 
-def number_events(log: DataFrame, key: str = "entity_id", ts: str = "ts", tie: str = "event_id", name: str = "seq_nr",
-                  plan: CellPlan | None = None) -> DataFrame:
-    """Number the rows of each key 1, 2, 3, ... by time."""
-    plan = plan or cells.by_time(log.select(key, ts, tie), key, ts, tie)
-    return cells.uncut(cells.running_count(plan.apply(log), plan, name))
+def number_events(log: DataFrame, key: str = "entity_id", ts: str = "ts", tie: str = "event_id",
+                  name: str = "seq_nr") -> tuple[DataFrame, CellPlan]:
+    """Number the rows of each key 1, 2, 3, ... by time. The plan is for further scans
+    along these numbers, which then reuse the cells and the shuffle."""
+    plan = cells.by_time(log.select(key, ts, tie), key, ts, tie)
+    return cells.running_count(plan.apply(log), plan, name), plan.along(name)
 
 
 def tag_view(journal: DataFrame, plan: CellPlan | None = None) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ledgerfold.functions import text
 from ledgerfold.functions.codecs import query_or_none
 from ledgerfold.operators import cells
+from ledgerfold.session import stored
 
 # The searched fields of the two views and the suggested properties.
 USER_FIELDS = (
@@ -113,37 +114,37 @@ def suggestions(view: DataFrame, prefix: str, properties: Sequence[str] = SUGGES
     )
 
 
-def ranked(documents: DataFrame, query: str, text_field: str = "text", k1: float = K1, b: float = B) -> DataFrame:
-    """Documents with any query term and their BM25 ``score``.
+def ranked(documents: DataFrame, query: str, text_field: str = "text", key: str = "doc_id", k1: float = K1,
+           b: float = B) -> DataFrame:
+    """(key, ``score``) of the documents with any query term, by BM25.
 
-    Term counts are taken inside the row, and the corpus figures (documents, mean
-    length, documents per term) are one aggregate row read as a scalar subquery: two
-    scans and no shuffle of documents, whatever the corpus size.
+    Texts are read once. What is kept of a document is its length and its count of each
+    query term, taken inside the row; the corpus figures (documents, mean length,
+    documents per term) are one aggregate row over these, read as a scalar subquery.
+    Nothing is exploded or shuffled, whatever the corpus size.
     """
     terms = list(dict.fromkeys(text.words_of(query)))
-    words = text.tokens(F.col(text_field))
-    counted = documents.withColumn("_words", words).select(
-        *documents.columns,
-        F.size("_words").alias("_length"),
-        F.array(*[text.term_count(F.col("_words"), t) for t in terms]).alias("_tf"),
-    )
     if not terms:
-        return documents.filter(F.lit(False)).withColumn("score", F.lit(0.0))
+        return documents.filter(F.lit(False)).select(key, F.lit(0.0).alias("score"))
+    counted = documents.select(key, text.tokens(F.col(text_field)).alias("_words")).select(
+        key, F.size("_words").alias("_length"), *[text.term_count(F.col("_words"), t).alias(f"_tf{i}") for i, t in enumerate(terms)]
+    )
+    counted = stored(counted, "counted")
     figures = counted.agg(
         F.struct(
-            F.count("*").alias("docs"),
-            F.avg("_length").alias("mean"),
-            *[F.count(F.when(F.col("_tf")[i] > 0, 1)).alias(f"df{i}") for i in range(len(terms))],
+            F.count("*").alias("docs"), F.avg("_length").alias("mean"),
+            *[F.count(F.when(F.col(f"_tf{i}") > 0, 1)).alias(f"df{i}") for i in range(len(terms))],
         ).alias("f")
     )
-    matched = counted.filter(F.exists("_tf", lambda n: n > 0)).withColumn("_f", figures.scalar())
+    any_term = reduce(lambda x, y: x | y, [F.col(f"_tf{i}") > 0 for i in range(len(terms))])
+    matched = counted.filter(any_term).withColumn("_f", figures.scalar())
     docs, mean = F.col("_f.docs"), F.col("_f.mean")
     score = F.lit(0.0)
     for i in range(len(terms)):
-        df, tf = F.col(f"_f.df{i}"), F.col("_tf")[i]
+        df, tf = F.col(f"_f.df{i}"), F.col(f"_tf{i}")
         idf = F.log(F.lit(1.0) + (docs - df + 0.5) / (df + 0.5))
         score = score + idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("_length") / mean))
-    return matched.select(*documents.columns, score.alias("score"))
+    return matched.select(key, score.alias("score"))
 
 
 def dangling(users: DataFrame, departments: DataFrame) -> DataFrame:

@@ -47,13 +47,13 @@ def state_fold(journal: DataFrame, spec: EntitySpec, secrets: bool = False, plan
 
 
 def state_as_of(journal: DataFrame, spec: EntitySpec, seq_nr: int | None = None, ts: str | None = None,
-                secrets: bool = False) -> DataFrame:
+                secrets: bool = False, plan: CellPlan | None = None) -> DataFrame:
     """State after the events up to a sequence number and/or an instant, both included."""
     if seq_nr is not None:
         journal = journal.filter(F.col("seq_nr") <= seq_nr)
     if ts is not None:
         journal = journal.filter(F.col("ts") <= F.lit(ts).cast("timestamp_ntz"))
-    return state_fold(journal, spec, secrets)
+    return state_fold(journal, spec, secrets, plan)
 
 
 def read_state(journal: DataFrame, spec: EntitySpec, entity_id: str) -> DataFrame:
@@ -93,7 +93,8 @@ def snapshots(journal: DataFrame, spec: EntitySpec, every: int = 100, keep: int
     return latest.select("entity_id", "s.*")
 
 
-def recover(taken: DataFrame, journal: DataFrame, spec: EntitySpec, secrets: bool = False) -> DataFrame:
+def recover(taken: DataFrame, journal: DataFrame, spec: EntitySpec, secrets: bool = False,
+            plan: CellPlan | None = None) -> DataFrame:
     """State from the latest snapshot of each entity and the events after it.
 
     A snapshot enters the fold as the event that would have produced it: a creation
@@ -103,8 +104,8 @@ def recover(taken: DataFrame, journal: DataFrame, spec: EntitySpec, secrets: boo
     newest = taken.groupBy("entity_id").agg(F.max_by(F.struct("seq_nr", "ts", "present", *names), "seq_nr").alias("s"))
     kind = F.when(F.col("s.present"), F.lit(spec.created)).otherwise(F.lit(spec.removed))
     leading = newest.select("entity_id", "s.seq_nr", "s.ts", kind.alias("kind"), *[f"s.{n}" for n in names])
-    plan = cells.by_sequence(journal)
+    plan = plan or cells.by_sequence(journal)
     known = newest.select("entity_id", F.col("s.seq_nr").alias("_from"))
     tail = cells.join_unique(journal.select("entity_id", "seq_nr", "ts", "kind", *names), known, plan)
     tail = tail.filter(F.col("seq_nr") > F.coalesce(F.col("_from"), F.lit(0))).drop("_from")
-    return state_fold(leading.unionByName(tail), spec, secrets, plan=plan)
+    return state_fold(leading.unionByName(tail), spec, secrets, plan=plan.by_number())

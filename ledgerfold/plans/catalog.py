@@ -11,7 +11,7 @@ from ledgerfold.functions import codecs, validation
 from ledgerfold.operators import admission, fold, gate, journal, replies, search, service, state
 from ledgerfold.operators.specs import DEPARTMENT, USER
 from ledgerfold.schemas import DEPARTMENT_JOURNAL, USER_VIEW
-from ledgerfold.session import work_path
+from ledgerfold.session import stored, work_path
 from ledgerfold.sources import derived, topics
 from ledgerfold.sources.store import ViewStore
 from ledgerfold.sources.tables import table, table_stream
@@ -57,6 +57,10 @@ def _user_journal(spark: SparkSession, folder: str) -> DataFrame:
     return derived.user_journal(spark, folder)
 
 
+def _planned(spark: SparkSession, folder: str):
+    return derived.planned_user_journal(spark, folder)
+
+
 def _user_view(spark: SparkSession, folder: str) -> DataFrame:
     return fold.view_fold(_user_journal(spark, folder), USER)
 
@@ -74,7 +78,9 @@ def _department_decisions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _lifecycle(spark: SparkSession, folder: str) -> DataFrame:
-    return gate.lifecycle_events(gate.events(_department_decisions(spark, folder), gate.DEPARTMENT_GATE))
+    """Department lifecycle events, written out first: the user gate reads them several
+    times, as it would read a department journal."""
+    return stored(gate.lifecycle_events(gate.events(_department_decisions(spark, folder), gate.DEPARTMENT_GATE)), "departments")
 
 
 def _user_decisions(spark: SparkSession, folder: str) -> DataFrame:
@@ -108,9 +114,9 @@ def events_by_tag(spark, folder):
 @query
 def events_from_offset(spark, folder):
     """Resume every entity at its last event of the first half; the rest starts at 0."""
-    rows = _user_journal(spark, folder)
+    rows, plan = _planned(spark, folder)
     offsets = rows.filter(F.col("ts") < F.lit(CUT).cast("timestamp_ntz")).groupBy("entity_id").agg(F.max("seq_nr").alias("offset"))
-    return _events(journal.from_offsets(rows, offsets))
+    return _events(journal.from_offsets(rows, offsets, plan))
 
 
 @query
@@ -163,14 +169,14 @@ def shard_tags(spark, folder):
 
 @query
 def tag_view(spark, folder):
-    return journal.tag_view(_user_journal(spark, folder)).select(
+    return journal.tag_view(*_planned(spark, folder)).select(
         "tag", "timebucket", "entity_id", "seq_nr", "tag_pid_sequence_nr", _stamp("ts")
     )
 
 
 @query
 def tag_write_progress(spark, folder):
-    rows = journal.tag_write_progress(journal.tag_view(_user_journal(spark, folder)))
+    rows = journal.tag_write_progress(journal.tag_view(*_planned(spark, folder)))
     return rows.select("entity_id", "tag", "seq_nr", "tag_pid_sequence_nr", _stamp("offset"))
 
 
@@ -230,17 +236,20 @@ def merged_view(spark, folder):
 
 @query
 def user_state(spark, folder):
-    return _user_rows(state.state_fold(_user_journal(spark, folder), USER), "last_seq")
+    rows, plan = _planned(spark, folder)
+    return _user_rows(state.state_fold(rows, USER, plan=plan), "last_seq")
 
 
 @query
 def department_state(spark, folder):
-    return state.state_fold(derived.department_journal(spark, folder), DEPARTMENT)
+    rows, plan = derived.planned_department_journal(spark, folder)
+    return state.state_fold(rows, DEPARTMENT, plan=plan)
 
 
 @query
 def user_state_as_of(spark, folder):
-    return _user_rows(state.state_as_of(_user_journal(spark, folder), USER, ts=CUT), "last_seq")
+    rows, plan = _planned(spark, folder)
+    return _user_rows(state.state_as_of(rows, USER, ts=CUT, plan=plan), "last_seq")
 
 
 @query
@@ -250,21 +259,24 @@ def read_user_state(spark, folder):
 
 @query
 def user_history(spark, folder):
-    rows = state.history(_user_journal(spark, folder), USER)
+    rows, plan = _planned(spark, folder)
+    rows = state.history(rows, USER, plan=plan)
     return rows.select("entity_id", "seq_nr", "kind", "present", "username", "email", *_address(), _department())
 
 
 @query
 def snapshot_points(spark, folder):
-    rows = state.snapshots(_user_journal(spark, folder), USER, every=SNAPSHOT_EVERY)
+    rows, plan = _planned(spark, folder)
+    rows = state.snapshots(rows, USER, every=SNAPSHOT_EVERY, plan=plan)
     return rows.select("entity_id", "seq_nr", "present", "username", "email", *_address(), _department())
 
 
 @query
 def recover_from_snapshot(spark, folder):
-    rows = _user_journal(spark, folder)
-    taken = state.snapshots(rows, USER, every=SNAPSHOT_EVERY)
-    return _user_rows(state.recover(taken, rows, USER), "last_seq")
+    """The snapshots are written out first, as they would be found after a restart."""
+    rows, plan = _planned(spark, folder)
+    taken = stored(state.snapshots(rows, USER, every=SNAPSHOT_EVERY, plan=plan), "snapshots")
+    return _user_rows(state.recover(taken, rows, USER, plan=plan), "last_seq")
 
 
 # Validation, admission, gates

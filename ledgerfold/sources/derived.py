@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerfold.operators.cells import CellPlan, uncut
 from ledgerfold.operators.journal import number_events, with_tags
 from ledgerfold.operators.specs import DEPARTMENT, USER
 from ledgerfold.sources.tables import table
@@ -73,9 +74,14 @@ def user_events(events: DataFrame) -> DataFrame:
     return base.withColumn("address", F.when(event % 11 != 0, F.col("address")))
 
 
+def planned_user_journal(spark: SparkSession, folder: str) -> tuple[DataFrame, CellPlan]:
+    """The user journal and the plan it was numbered by."""
+    numbered, plan = number_events(user_events(table(spark, folder, "events")))
+    return with_tags(numbered.drop("event_id"), USER), plan
+
+
 def user_journal(spark: SparkSession, folder: str) -> DataFrame:
-    numbered = number_events(user_events(table(spark, folder, "events")))
-    return with_tags(numbered.drop("event_id"), USER)
+    return uncut(planned_user_journal(spark, folder)[0])
 
 
 def user_journal_stream(stream: DataFrame) -> DataFrame:
@@ -111,9 +117,13 @@ def department_events(orders: DataFrame) -> DataFrame:
     return _department_rows(orders, DEPARTMENT_EVENT_KINDS)
 
 
+def planned_department_journal(spark: SparkSession, folder: str) -> tuple[DataFrame, CellPlan]:
+    numbered, plan = number_events(department_events(table(spark, folder, "orders")), tie="order_id")
+    return with_tags(numbered.drop("order_id"), DEPARTMENT), plan
+
+
 def department_journal(spark: SparkSession, folder: str) -> DataFrame:
-    numbered = number_events(department_events(table(spark, folder, "orders")), tie="order_id")
-    return with_tags(numbered.drop("order_id"), DEPARTMENT)
+    return uncut(planned_department_journal(spark, folder)[0])
 
 
 def department_commands(orders: DataFrame) -> DataFrame:
