@@ -31,6 +31,14 @@ def is_removed(kind: Column) -> Column:
     return kind == "removed"
 
 
+def utc_micros(ts: str) -> Column:
+    """Microseconds since 1970 of a TIMESTAMP_NTZ column, whatever the session time zone."""
+    day = F.datediff(F.col(ts).cast("date"), F.lit("1970-01-01").cast("date")).cast("bigint")
+    minute = (F.hour(ts) * 60 + F.minute(ts)).cast("bigint")
+    second = F.expr(f"cast(extract(second from `{ts}`) * 1000000 as bigint)")
+    return day * 86_400_000_000 + minute * 60_000_000 + second
+
+
 def instant(seconds: Column, nanos: Column) -> Column:
     """Seconds and nanos to a timestamp; digits below a microsecond are lost."""
     return F.timestamp_micros(seconds * 1_000_000 + F.floor(nanos / 1000).cast("bigint"))

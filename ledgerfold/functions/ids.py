@@ -11,18 +11,18 @@ DEPARTMENT_TAG = "DepartmentEvent"
 
 
 def java_hash(text: Column) -> Column:
-    """The JVM's 32-bit string hash, over UTF-16 code units, as BIGINT."""
-    units = F.hex(F.encode(text, "UTF-16BE"))
-    count = F.floor(F.length(units) / 4).cast("int")
-    rolled = F.aggregate(
-        F.sequence(F.lit(0), count - 1),
-        F.lit(0).cast("bigint"),
-        lambda acc, i: (acc * 31 + F.conv(F.substring(units, i * 4 + 1, F.lit(4)), 16, 10).cast("bigint")).bitwiseAND(
-            F.lit(0xFFFFFFFF)
-        ),
-    )
-    signed = F.when(rolled > 0x7FFFFFFF, rolled - (1 << 32)).otherwise(rolled)
-    return F.when(count == 0, F.lit(0).cast("bigint")).otherwise(signed)
+    """The JVM's 32-bit string hash, over UTF-16 code units, as BIGINT. Characters above
+    the basic plane count as their two surrogates."""
+
+    def step(acc: Column, char: Column) -> Column:
+        code = F.ascii(char)
+        beyond = code - 0x10000
+        first = acc * 31 + (F.shiftright(beyond, 10) + 0xD800)
+        second = first * 31 + (beyond.bitwiseAND(F.lit(0x3FF)) + 0xDC00)
+        return F.when(code < 0x10000, acc * 31 + code).otherwise(second).bitwiseAND(F.lit(0xFFFFFFFF))
+
+    rolled = F.aggregate(F.split(text, ""), F.lit(0).cast("bigint"), step)
+    return F.when(rolled > 0x7FFFFFFF, rolled - (1 << 32)).otherwise(rolled)
 
 
 def shard_number(entity_id: Column, shards: int = SHARDS, safe: bool = False) -> Column:

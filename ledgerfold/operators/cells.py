@@ -9,6 +9,9 @@ Keys below the bound are not cut, and on data where no key exceeds it the plan i
 plain window. The check reads the row count (Parquet footers) and, only if the whole
 input exceeds the bound, one narrow column with map-side counts.
 
+What cells hand on is written out before the scan that uses it: its size is then known
+to the planner, and scans that follow each other do not recompute one another.
+
 Cutting decides where rows are processed, never what the result is.
 """
 
@@ -21,10 +24,11 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ledgerfold.functions.codecs import utc_micros
 from ledgerfold.session import stored
 
 CELL = "_cell"
-CELL_ROWS = 1_000_000
+CELL_ROWS = 5_000_000
 MAX_HOT_KEYS = 10_000
 CELL_ROWS_CONF = "ledgerfold.cell.rows"
 
@@ -36,17 +40,10 @@ def _cell_rows(df: DataFrame, total: int, rows: int | None) -> int:
     return max(wanted, -(-total // MAX_HOT_KEYS))
 
 
-def _heavy_keys(df: DataFrame, key: str, rows: int) -> tuple:
+def _heavy_keys(df: DataFrame, key: str, rows: int) -> dict:
+    """Keys with more than ``rows`` rows, and how many: at most MAX_HOT_KEYS of them."""
     counts = df.groupBy(key).count().filter(F.col("count") > rows)
-    return tuple(r[0] for r in counts.select(key).collect() if r[0] is not None)
-
-
-def _micros(ts: str) -> Column:
-    """Microseconds since 1970 of a TIMESTAMP_NTZ, whatever the session time zone."""
-    day = F.datediff(F.col(ts).cast("date"), F.lit("1970-01-01").cast("date")).cast("bigint")
-    second = F.expr(f"cast(extract(second from `{ts}`) * 1000000 as bigint)")
-    minute = (F.hour(ts) * 60 + F.minute(ts)).cast("bigint")
-    return day * 86_400_000_000 + minute * 60_000_000 + second
+    return {r[0]: r[1] for r in counts.collect() if r[0] is not None}
 
 
 def _with_bucket(df: DataFrame, value: Column, splits: tuple[float, ...], out: str) -> DataFrame:
@@ -87,9 +84,9 @@ class CellPlan:
             cell = F.floor((F.col(self.order[0]) - 1) / self.rows).cast("bigint")
             return df.withColumn(CELL, F.when(self.is_hot(), cell).otherwise(F.lit(0)))
         ts, tie = self.order
-        df = _with_bucket(df, _micros(ts), self.splits, "_ts_slice")
+        df = _with_bucket(df, utc_micros(ts), self.splits, "_ts_slice")
         df = _with_bucket(df, F.col(tie), self.tie_splits, "_tie_slice")
-        inner = F.when(_micros(ts).cast("double").isin(list(self.tied)), F.col("_tie_slice")) if self.tied else F.lit(None)
+        inner = F.when(utc_micros(ts).cast("double").isin(list(self.tied)), F.col("_tie_slice")) if self.tied else F.lit(None)
         cell = F.col("_ts_slice") * (len(self.tie_splits) + 1) + F.coalesce(inner.cast("bigint"), F.lit(0))
         return df.withColumn(CELL, F.when(self.is_hot(), cell).otherwise(F.lit(0))).drop("_ts_slice", "_tie_slice")
 
@@ -115,7 +112,7 @@ def by_sequence(df: DataFrame, key: str = "entity_id", seq: str = "seq_nr", rows
         return CellPlan(key, (seq,))
     # The filter reaches the scan: row groups of short keys are skipped by statistics.
     hot = _heavy_keys(df.filter(F.col(seq) > size), key, size)
-    return CellPlan(key, (seq,), hot, size, by_sequence=True)
+    return CellPlan(key, (seq,), tuple(hot), size, by_sequence=True)
 
 
 def by_time(df: DataFrame, key: str, ts: str, tie: str, rows: int | None = None) -> CellPlan:
@@ -131,9 +128,9 @@ def by_time(df: DataFrame, key: str, ts: str, tie: str, rows: int | None = None)
     hot = _heavy_keys(df, key, size)
     if not hot:
         return CellPlan(key, (ts, tie))
-    heavy = df.filter(F.col(key).isin(list(hot))).select(_micros(ts).cast("double").alias("t"), F.col(tie).cast("double").alias("i"))
+    heavy = df.filter(F.col(key).isin(list(hot))).select(utc_micros(ts).cast("double").alias("t"), F.col(tie).cast("double").alias("i"))
     # Two cuts per cell's worth of rows leave room for the error of the sketch.
-    cuts = min(2 * MAX_HOT_KEYS, 2 * -(-heavy.count() // size))
+    cuts = 2 * -(-sum(hot.values()) // size)
     at = [n / cuts for n in range(1, cuts)]
     found = heavy.stat.approxQuantile("t", at, 1 / (4 * cuts))
     tied = tuple(sorted({a for a, b in zip(found, found[1:]) if a == b}))
@@ -141,7 +138,7 @@ def by_time(df: DataFrame, key: str, ts: str, tie: str, rows: int | None = None)
     tie_splits: tuple[float, ...] = ()
     if tied:
         tie_splits = tuple(sorted(set(heavy.filter(F.col("t").isin(list(tied))).stat.approxQuantile("i", at, 1 / (4 * cuts)))))
-    return CellPlan(key, (ts, tie), hot, size, splits, tied, tie_splits)
+    return CellPlan(key, (ts, tie), tuple(hot), size, splits, tied, tie_splits)
 
 
 def running_last(df: DataFrame, plan: CellPlan, columns: Mapping[str, Column], before: bool = False) -> DataFrame:
@@ -155,6 +152,7 @@ def running_last(df: DataFrame, plan: CellPlan, columns: Mapping[str, Column], b
     if not plan.hot:
         return scanned
     position = F.struct(*plan.order)
+    # Every cell gets a row, also one without a value: it hands on what came before.
     ends = df.filter(plan.is_hot()).groupBy(*plan.columns).agg(
         *[F.max_by(c, F.when(c.isNotNull(), position)).alias(f"_in_{n}") for n, c in columns.items()]
     )
@@ -162,7 +160,7 @@ def running_last(df: DataFrame, plan: CellPlan, columns: Mapping[str, Column], b
     handed = ends.select(
         *plan.columns, *[F.last(f"_in_{n}", ignorenulls=True).over(earlier).alias(f"_in_{n}") for n in columns]
     )
-    merged = scanned.join(handed, plan.columns, "left")
+    merged = scanned.join(stored(handed, "carry"), plan.columns, "left")
     kept = [c for c in scanned.columns if c not in columns]
     return merged.select(*kept, *[F.coalesce(F.col(n), F.col(f"_in_{n}")).alias(n) for n in columns])
 
@@ -180,7 +178,7 @@ def running_count(df: DataFrame, plan: CellPlan, name: str, flag: Column | None
     sizes = df.filter(plan.is_hot()).groupBy(*plan.columns).agg(F.count(counted).alias("_size"))
     earlier = Window.partitionBy(plan.key).orderBy(CELL).rowsBetween(Window.unboundedPreceding, -1)
     handed = sizes.select(*plan.columns, F.sum("_size").over(earlier).alias("_ahead"))
-    merged = scanned.join(handed, plan.columns, "left")
+    merged = scanned.join(stored(handed, "carry"), plan.columns, "left")
     kept = [c for c in scanned.columns if c != name]
     return merged.select(*kept, (F.col(name) + F.coalesce(F.col("_ahead"), F.lit(0))).alias(name))
 

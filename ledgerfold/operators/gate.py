@@ -16,6 +16,7 @@ from ledgerfold.functions import validation
 from ledgerfold.operators import cells
 from ledgerfold.operators.cells import CellPlan
 from ledgerfold.operators.specs import DEPARTMENT_GATE, USER_GATE, GateSpec, Rule, Validator
+from ledgerfold.session import stored
 
 ORDER = ("cmd_ts", "cmd_id")
 # Carried state sorts ahead of any command.
@@ -110,6 +111,23 @@ def events(decisions: DataFrame, spec: GateSpec) -> DataFrame:
     )
 
 
+def with_state(decisions: DataFrame, spec: GateSpec, plan: CellPlan | None = None, secrets: bool = False) -> DataFrame:
+    """Adds ``state``: the entity as it is after each command, null where it is absent.
+    This is what a ``get`` command is answered with. For a log from the beginning."""
+    plan = plan or plan_commands(decisions)
+    fields = spec.entity.fields if secrets else spec.entity.shown
+    event = F.col("event_kind")
+    setters = {
+        f"_after_{f.name}": F.when(event.isin(list(f.kinds)), F.struct(F.col(f.name).alias("v"))) for f in fields
+    }
+    scanned = cells.running_last(plan.apply(decisions), plan, setters)
+    alive = F.coalesce(
+        F.when(event == spec.entity.created, F.lit(True)).when(event == spec.entity.removed, F.lit(False)), F.col("present")
+    )
+    state = F.struct(*[F.col(f"_after_{f.name}.v").alias(f.name) for f in fields])
+    return scanned.select(*decisions.columns, F.when(alive, state).alias("state"))
+
+
 def department_gate(commands: DataFrame, carried: DataFrame | None = None, plan: CellPlan | None = None) -> DataFrame:
     """Decisions on department commands. There is nothing to validate."""
     return decide(commands.withColumn("errors", validation.no_errors()), DEPARTMENT_GATE, carried, plan)
@@ -141,6 +159,9 @@ def with_department_exists(commands: DataFrame, departments: DataFrame, kinds: S
     answered = scanned.filter(F.col("_mark").isNull()).select(
         *commands.columns, F.coalesce(F.col("_last") == "created", F.lit(False)).alias("department_exists")
     )
+    if plan.hot:
+        # The gate that follows reads this more than once.
+        answered = stored(answered, "answered")
     return answered.unionByName(commands.filter(~asks).withColumn("department_exists", F.lit(None).cast("boolean")))
 
 

@@ -154,10 +154,10 @@ def oneof_events(spark, folder):
 @query
 def timestamp_codec(spark, folder):
     """Event time to seconds and nanos, and back."""
-    at = F.col("ts").cast("timestamp")
-    parts = table(spark, folder, "events").select("event_id", "ts", codecs.instant_parts(at).alias("p"))
-    back = codecs.instant(F.col("p.seconds"), F.col("p.nanos")).cast("timestamp_ntz")
-    return parts.select("event_id", F.col("p.seconds").alias("seconds"), F.col("p.nanos").alias("nanos"), (back == F.col("ts")).alias("same"))
+    at = F.timestamp_micros(codecs.utc_micros("ts"))
+    parts = table(spark, folder, "events").select("event_id", at.alias("at"), codecs.instant_parts(at).alias("p"))
+    back = codecs.instant(F.col("p.seconds"), F.col("p.nanos"))
+    return parts.select("event_id", F.col("p.seconds").alias("seconds"), F.col("p.nanos").alias("nanos"), (back == F.col("at")).alias("same"))
 
 
 @query
@@ -338,6 +338,20 @@ def user_gate_replies(spark, folder):
     )
 
 
+@query
+def replied_states(spark, folder):
+    """The user as a read right after each command would see it."""
+    commands = _user_commands(spark, folder)
+    plan = gate.plan_commands(commands)
+    decided = gate.user_gate(commands, _lifecycle(spark, folder), plan=plan)
+    rows = gate.with_state(decided, gate.USER_GATE, plan)
+    state_of = F.col("state")
+    return rows.select(
+        "cmd_id", "entity_id", state_of.isNotNull().alias("found"), F.col("state.username").alias("username"),
+        F.col("state.email").alias("email"), *_address("state.address"), F.col("state.department.id").alias("department_id"),
+    )
+
+
 @query
 def reply_messages(spark, folder):
     return replies.replies(_user_decisions(spark, folder))

@@ -238,11 +238,19 @@ _EVENT_COLUMNS = f"entity_id, seq_nr, strftime(ts, {STAMP}) AS ts, kind, usernam
 
 def _suggest(name: str) -> str:
     return (
-        f"SELECT '{name}' AS property, row_number() OVER (ORDER BY {name}, id) AS rank, {name} AS text, 1.0::DOUBLE AS score, 1 AS freq "
+        f"SELECT '{name}' AS property, (row_number() OVER (ORDER BY {name}, id))::INTEGER AS rank, {name} AS text, 1.0::DOUBLE AS score, 1 AS freq "
         f"FROM cv WHERE starts_with(lower({name}), 'c') QUALIFY rank <= 5"
     )
 
 
+def _last_set(column: str, kinds: str) -> str:
+    """The value that the events so far set, for commands."""
+    return (
+        f"(last_value(CASE WHEN event_kind IN ({kinds}) THEN {{'v': {column}}} END IGNORE NULLS) OVER ("
+        "PARTITION BY entity_id ORDER BY ts, cmd_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)).v"
+    )
+
+
 def statements() -> dict[str, str]:
     view = f"WITH {UJ}, {_user_view('uj')} SELECT {USER_COLUMNS} FROM uv"
     both = f"WITH {UJ}, {DJ}, {_user_view('uj')}, {DV}"
@@ -321,6 +329,13 @@ SELECT cmd_id, entity_id, reply_kind, reply_kind IN ('Created', 'Updated', 'Remo
        ELSE 'Department ' || lower(reply_kind) END AS message FROM dd""",
         "user_gate_events": gate_events,
         "user_gate_replies": f"{decisions} SELECT cmd_id, entity_id, present, event_kind, reply_kind, errors FROM decided",
+        "replied_states": f"""{decisions}, seen_after AS (
+  SELECT cmd_id, entity_id, coalesce(event_kind = 'created', false) OR (present AND event_kind IS DISTINCT FROM 'removed') AS found,
+         {_last_set('username', "'created'")} AS n, {_last_set('email', "'created', 'emailUpdated'")} AS e,
+         {_last_set('address', "'created', 'addressUpdated'")} AS a, {_last_set('department_id', "'created', 'departmentUpdated'")} AS d
+  FROM decided)
+SELECT cmd_id, entity_id, found, {ADDRESS}, CASE WHEN found THEN n END AS username, CASE WHEN found THEN e END AS email,
+       CASE WHEN found THEN d END AS department_id FROM (SELECT *, CASE WHEN found THEN a END AS address FROM seen_after) s""",
         "reply_messages": f"{decisions} SELECT cmd_id, entity_id, reply_kind, {OK} AS ok, {GRPC_MESSAGE} AS message FROM decided",
         "reply_messages_rest": f"""{decisions} SELECT cmd_id, entity_id, reply_kind, {OK} AS ok,
   CASE WHEN {OK} THEN entity_id ELSE {GRPC_MESSAGE} END AS message,

@@ -36,11 +36,13 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor sees: ``spark.checkpoint.dir`` where the cluster
-    names one. Only where it is unset (tests, one machine) a new local one is made
-    and kept in the session for the next call."""
+    names one. Only in local mode, where it is unset, a new folder is made and kept in
+    the session for the next call."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
         folder = spark.conf.get("ledgerfold.work.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not folder:
         folder = tempfile.mkdtemp(prefix="ledgerfold-")
         spark.conf.set("ledgerfold.work.dir", folder)

@@ -44,7 +44,19 @@ def stream_journal(spark: SparkSession, path: str, schema: str = schemas.USER_JO
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-class DeltaStore:
+def write_snapshots(taken: DataFrame, path: str, upto: str) -> None:
+    """Write the snapshots of one run to their own folder; a rerun replaces it."""
+    taken.write.mode("overwrite").parquet(f"{path.rstrip('/')}/upto={upto}")
+
+
+def read_snapshots(spark: SparkSession, path: str, spec: EntitySpec) -> DataFrame:
+    """All snapshots written so far; ``recover`` uses the latest of each entity."""
+    fields = ", ".join(f"{f.name} {f.dtype}" for f in spec.fields)
+    schema = f"entity_id string, seq_nr bigint, ts timestamp_ntz, present boolean, {fields}, upto string"
+    return spark.read.schema(schema).parquet(path).drop("upto")
+
+
+class MergedTable:
     """Append-only partial results with a merge function."""
 
     def __init__(self, spark: SparkSession, path: str, schema: str, merge: Callable[[DataFrame], DataFrame]):
@@ -96,7 +108,7 @@ class DeltaStore:
             self.read().write.mode("overwrite").parquet(f"{self.path}/base/upto={batches[-1]}")
 
 
-class ViewStore(DeltaStore):
+class ViewStore(MergedTable):
     """A read model of one entity type."""
 
     def __init__(self, spark: SparkSession, path: str, spec: EntitySpec):

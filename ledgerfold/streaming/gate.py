@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ledgerfold.operators import gate
 from ledgerfold.operators.specs import GateSpec
-from ledgerfold.sources.store import DeltaStore
+from ledgerfold.sources.store import MergedTable
 from ledgerfold.streaming.views import COMPACT_EVERY, project
 
 STATE = "entity_id string, last_seq bigint, alive boolean"
@@ -22,9 +22,9 @@ def _merge(rows: DataFrame) -> DataFrame:
     return rows.groupBy("entity_id").agg(F.max("last_seq").alias("last_seq"), F.max_by("alive", "last_seq").alias("alive"))
 
 
-def state_store(spark, path: str) -> DeltaStore:
+def state_store(spark, path: str) -> MergedTable:
     """Number and presence of every entity that ever had an event."""
-    return DeltaStore(spark, f"{path}/state", STATE, _merge)
+    return MergedTable(spark, f"{path}/state", STATE, _merge)
 
 
 def run(stream: DataFrame, spec: GateSpec, decide: Decide, path: str, checkpoint: str, trigger: dict | None = None,

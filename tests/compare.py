@@ -19,10 +19,17 @@ def _rows(names, rows):
     return sorted(names), sorted((tuple(row[i] for i in order) for row in rows), key=repr)
 
 
+TYPES = {"string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "boolean": "BOOLEAN"}
+
+
 def differences(frame, db, sql: str) -> str | None:
-    """None if columns and all rows agree."""
+    """None if columns, types and all rows agree."""
+    types = sorted((n, TYPES.get(t, t)) for n, t in frame.dtypes)
     found = _rows(frame.columns, [tuple(r) for r in frame.collect()])
     answer = db.execute(sql)
+    expected = sorted((d[0], str(d[1])) for d in answer.description)
+    if types != expected:
+        return f"types {set(types) ^ set(expected)}"
     wanted = _rows([d[0] for d in answer.description], answer.fetchall())
     if found[0] != wanted[0]:
         return f"columns {found[0]} / {wanted[0]}"

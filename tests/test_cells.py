@@ -4,6 +4,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerfold.functions.codecs import utc_micros
 from ledgerfold.operators import cells
 from ledgerfold.operators.cells import CELL
 
@@ -77,7 +78,7 @@ def test_micros_ignores_session_zone(spark):
     zone = spark.conf.get("spark.sql.session.timeZone")
     try:
         spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
-        got = [r[0] for r in df.select(cells._micros("ts")).collect()]
+        got = [r[0] for r in df.select(utc_micros("ts")).collect()]
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
     base = int((T0 - datetime(1970, 1, 1)).total_seconds()) * 10**6

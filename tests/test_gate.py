@@ -220,3 +220,15 @@ def test_service_calls(spark):
     assert [(r["status"], r["message"]) for r in rest.orderBy("cmd_id").collect()] == [
         (200, "anna"), (200, "bo"), (200, "anna"), (200, "anna"), (200, "anna"), (404, "User not exists"),
     ]
+
+
+def test_state_seen_by_reads(spark, cell_mode):
+    decided = decide(spark, [
+        command(1, "get"), command(2, "create", address=model.address(), email="x@y.com"), command(3, "get"),
+        command(4, "changeAddress"), command(5, "get"), command(6, "remove"), command(7, "get"), command(8, "create", email="z@y.com"),
+        *[command(n, "get") for n in range(9, 20)],
+    ])
+    rows = {r["cmd_id"]: r["state"] for r in gate.with_state(decided, gate.USER_GATE).collect()}
+    assert rows[1] is None and rows[7] is None and "pass" not in rows[3]
+    assert rows[3]["address"]["zip"] == "12345" and rows[5]["address"] is None and rows[5]["email"] == "x@y.com"
+    assert all(rows[n]["email"] == "z@y.com" and rows[n]["address"] is None for n in range(9, 20))

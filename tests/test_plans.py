@@ -1,0 +1,73 @@
+"""What the planner makes of the queries: scans, shuffles, joins."""
+
+import re
+
+import pytest
+
+import __spark_entry__ as entry
+from ledgerfold.operators import fold, search, state
+from ledgerfold.operators.specs import USER
+from ledgerfold.sources import derived
+
+FOLDER = "/root/testdata/sf0.01"
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+BATCH = sorted(n for n in entry.queries() if not n.startswith("stream_"))
+
+
+@pytest.mark.parametrize("name", BATCH)
+def test_no_cross_joins_and_no_single_task_window(spark, name):
+    df = entry.queries()[name](spark, FOLDER)
+    text = plan_of(df)
+    assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+    assert "PythonUDF" not in text and "ArrowEvalPython" not in text and "MapInPandas" not in text
+
+
+def test_the_view_takes_one_shuffle(spark):
+    """Numbering and folding share the partitioning by entity."""
+    assert plan_of(fold.view_fold(derived.user_journal(spark, FOLDER), USER)).count("Exchange ") == 1
+
+
+def test_state_and_history_reuse_the_shuffle_of_numbering(spark):
+    rows, plan = derived.planned_user_journal(spark, FOLDER)
+    assert plan_of(state.state_fold(rows, USER, plan=plan)).count("Exchange ") == 1
+    assert plan_of(state.history(rows, USER, plan=plan)).count("Exchange ") == 1
+
+
+def test_secret_and_unused_columns_are_not_read(spark):
+    text = plan_of(entry.queries()["user_view"](spark, FOLDER))
+    assert "ReadSchema: struct<event_id:bigint,ts:timestamp_ntz,user_id:bigint,event_type:string>" in text
+    # Only what a suggestion needs of the customer row.
+    schemas = re.findall(r"ReadSchema: struct<([^>]*)>", plan_of(search.suggest(derived.customer_view(spark, FOLDER), "c")))
+    assert "c_custkey:bigint,c_name:string,c_nationkey:int" in schemas
+    assert not any("c_acctbal" in s for s in schemas)
+
+
+def test_point_reads_filter_before_the_window(spark):
+    rows, plan = derived.planned_user_journal(spark, FOLDER)
+    text = optimized(state.state_fold(rows.filter("entity_id = '42'"), USER, plan=plan))
+    window, filtered = text.rindex("Window"), text.rindex("(cast(user_id")
+    assert filtered > window
+
+
+def test_pages_are_a_bounded_top_k(spark):
+    items, _ = search.search(derived.customer_view(spark, FOLDER), None, 3, 10, [("username", True)])
+    assert "TakeOrderedAndProject" in plan_of(items)
+
+
+def test_suggestions_are_bounded_top_ks(spark):
+    text = plan_of(search.suggest(derived.customer_view(spark, FOLDER), "c"))
+    assert text.count("TakeOrderedAndProject") == 2
+
+
+def test_ranking_shuffles_no_documents(spark):
+    text = plan_of(entry.queries()["bm25_documents"](spark, FOLDER))
+    assert "hashpartitioning" not in text and "Sort" not in text

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 import model
 from ledgerfold.operators import fold, journal
 from ledgerfold.operators.specs import USER
-from ledgerfold.sources.store import DeltaStore, ViewStore, read_journal, write_journal
+from ledgerfold.sources.store import MergedTable, ViewStore, read_journal, write_journal
 from test_folds import _by_id, frame
 
 
@@ -87,11 +87,24 @@ def test_columns_are_only_ever_added(spark, tmp_path):
     def merge(rows):
         return rows
 
-    old = DeltaStore(spark, path, "entity_id string, x int", merge)
+    old = MergedTable(spark, path, "entity_id string, x int", merge)
     old.create_or_extend()
     old.append(spark.createDataFrame([("a", 1)], "entity_id string, x int"), 0)
-    new = DeltaStore(spark, path, "entity_id string, y string", merge)
+    new = MergedTable(spark, path, "entity_id string, y string", merge)
     assert new.create_or_extend().fieldNames() == ["entity_id", "x", "y"]
     new.append(spark.createDataFrame([("b", "q")], "entity_id string, y string"), 1)
     assert sorted(map(tuple, new.read().collect())) == [("a", 1, None), ("b", None, "q")]
     assert sorted(map(tuple, old.read().collect())) == [("a", 1, None), ("b", None, "q")]
+
+
+def test_snapshots_of_several_runs(spark, tmp_path):
+    from ledgerfold.operators import state
+    from ledgerfold.sources.store import read_snapshots, write_snapshots
+
+    rows = model.random_journal(14)
+    path = str(tmp_path / "snapshots")
+    early = frame(spark, [r for r in rows if r[1] <= 20])
+    write_snapshots(state.snapshots(early, USER, every=4), path, "20")
+    write_snapshots(state.snapshots(frame(spark, rows), USER, every=4), path, "all")
+    taken = read_snapshots(spark, path, USER)
+    assert _by_id(state.recover(taken, frame(spark, rows), USER, secrets=True)) == model.state(rows)
