@@ -43,15 +43,16 @@ def matching(view: DataFrame, query: str | None, fields: Sequence[str] = USER_FI
     if wanted is None:
         return view
     terms = text.words_of(wanted)
-    words = [text.tokens(F.col(f)) for f in fields]
-    if mode == "all":
-        return view.filter(text.has_all(F.concat(*words), terms))
+    if mode == "phrase":
+        return view.filter(reduce(lambda a, b: a | b, [text.has_phrase(text.tokens(F.col(f)), terms) for f in fields]))
+    # A word never crosses two fields, so they are cut into words together.
+    words = text.tokens(F.concat_ws(" ", *fields))
     tests = {
-        "any": lambda w: text.has_any(w, terms),
-        "phrase": lambda w: text.has_phrase(w, terms),
-        "prefix": lambda w: text.has_prefix(w, wanted.strip()),
+        "any": lambda: text.has_any(words, terms),
+        "all": lambda: text.has_all(words, terms),
+        "prefix": lambda: text.has_prefix(words, wanted.strip()),
     }
-    return view.filter(reduce(lambda a, b: a | b, [tests[mode](w) for w in words]))
+    return view.filter(tests[mode]())
 
 
 def _order(sorts: Iterable[tuple[str, bool]], tie: str = "id") -> list[Column]:
@@ -147,6 +148,16 @@ def ranked(documents: DataFrame, query: str, text_field: str = "text", key: str
     return matched.select(key, score.alias("score"))
 
 
+def relevant(view: DataFrame, query: str, page: int, page_size: int, fields: Sequence[str] = USER_FIELDS) -> DataFrame:
+    """A page of the rows with any query term, best first: the order when no sort is
+    given. Only the page's few ids go back to the view for their rows."""
+    texts = view.select("id", F.concat_ws(" ", *fields).alias("text"))
+    scored = ranked(texts, query, key="id").withColumn("score", F.round("score", 6))
+    best = [F.col("score").desc(), F.col("id").asc()]
+    top = scored.orderBy(*best).offset(page * page_size).limit(page_size)
+    return view.join(F.broadcast(top), "id").orderBy(*best)
+
+
 def dangling(users: DataFrame, departments: DataFrame) -> DataFrame:
     """Users whose department is gone: references are only checked when written."""
     ids = departments.select(F.col("id").alias("_department"))

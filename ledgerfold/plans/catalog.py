@@ -24,6 +24,7 @@ QUERIES: dict[str, Query] = {}
 CUT = "2024-01-16 00:00:00"
 SNAPSHOT_EVERY = 20
 RANK_QUERY = "the par und"
+ALL_QUERY = "the and with"
 
 
 def query(function: Query) -> Query:
@@ -447,7 +448,7 @@ def search_departments(spark, folder):
 @query
 def search_documents(spark, folder):
     """Term match over whole texts."""
-    hits = search.matching(table(spark, folder, "documents"), RANK_QUERY, fields=("text",), mode="all")
+    hits = search.matching(table(spark, folder, "documents"), ALL_QUERY, fields=("text",), mode="all")
     return hits.select("doc_id", "lang", "source")
 
 
@@ -476,6 +477,13 @@ def bm25_top(spark, folder):
     return best.orderBy(F.col("score").desc(), "doc_id").limit(10)
 
 
+@query
+def search_relevance(spark, folder):
+    """The second page by relevance."""
+    page = search.relevant(derived.customer_view(spark, folder), "machinery d3 city 7", 1, 20)
+    return _user_rows(page, "score")
+
+
 @query
 def dangling_departments(spark, folder):
     return _user_rows(search.dangling(_user_view(spark, folder), _department_view(spark, folder)))

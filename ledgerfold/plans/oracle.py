@@ -3,7 +3,7 @@ windows and joins, without cells, partial folds or carried state."""
 
 from __future__ import annotations
 
-from ledgerfold.plans.catalog import CUT, RANK_QUERY, SNAPSHOT_EVERY
+from ledgerfold.plans.catalog import ALL_QUERY, CUT, RANK_QUERY, SNAPSHOT_EVERY
 
 STAMP = "'%Y-%m-%d %H:%M:%S.%f'"
 ADDRESS = "address.street AS street, address.number AS number, address.zip AS zip, address.city AS city, " \
@@ -207,16 +207,16 @@ def _any(terms: list[str], fields=_FIELDS) -> str:
     return " OR ".join(f"list_has_any({_tokens(f)}, {wanted})" for f in fields)
 
 
-def _bm25() -> str:
-    terms = ", ".join(f"('{t}')" for t in RANK_QUERY.split())
-    return f"""WITH tok AS (SELECT doc_id, unnest({_tokens('text')}) AS t FROM documents),
-len AS (SELECT doc_id, len({_tokens('text')}) AS n FROM documents),
-tf AS (SELECT doc_id, t, count(*) AS tf FROM tok WHERE t IN (SELECT * FROM (VALUES {terms}) v(t)) GROUP BY doc_id, t),
+def _bm25(query: str = RANK_QUERY, source: str = "documents", key: str = "doc_id", before: str = "") -> str:
+    terms = ", ".join(f"('{t}')" for t in query.split())
+    return f"""WITH {before} tok AS (SELECT {key}, unnest({_tokens('text')}) AS t FROM {source}),
+len AS (SELECT {key}, len({_tokens('text')}) AS n FROM {source}),
+tf AS (SELECT {key}, t, count(*) AS tf FROM tok WHERE t IN (SELECT * FROM (VALUES {terms}) v(t)) GROUP BY {key}, t),
 df AS (SELECT t, count(*) AS df FROM tf GROUP BY t),
 corpus AS (SELECT count(*) AS docs, avg(n) AS mean FROM len),
 scored AS (
-  SELECT doc_id, round(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean))), 6) AS score
-  FROM tf JOIN df USING (t) JOIN len USING (doc_id), corpus GROUP BY doc_id)"""
+  SELECT {key}, round(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean))), 6) AS score
+  FROM tf JOIN df USING (t) JOIN len USING ({key}), corpus GROUP BY {key})"""
 
 
 def _json(source: str, topic: str, payload: str) -> str:
@@ -358,12 +358,15 @@ UNION ALL {denied}""",
         "search_field_sorted": f"{customers} WHERE {_any(['machinery'], ('email',))} ORDER BY lower(address.city) DESC, lower(username), id LIMIT 20 OFFSET 40",
         "search_count": f"WITH {CV} SELECT count(*) AS count FROM cv WHERE {_any(['machinery', 'd3'])}",
         "search_departments": f"{department_view} WHERE {_any(['d2', 'dep3', 'dep9'], ('id', 'name', 'description'))}",
-        "search_documents": f"SELECT doc_id, lang, source FROM documents WHERE list_has_all({_tokens('text')}, {RANK_QUERY.split()})",
+        "search_documents": f"SELECT doc_id, lang, source FROM documents WHERE list_has_all({_tokens('text')}, {ALL_QUERY.split()})",
         "search_stream_pages": f"""WITH {CV}, hits AS (SELECT * FROM cv WHERE {_any(['machinery', 'd3'])})
 SELECT ((row_number() OVER (ORDER BY lower(username) DESC, id) - 1) // 20)::INTEGER AS page, id, username FROM hits""",
         "suggest_users": f"WITH {CV} ({_suggest('username')}) UNION ALL ({_suggest('email')})",
         "bm25_documents": f"{_bm25()} SELECT doc_id, score FROM scored",
         "bm25_top": f"{_bm25()} SELECT doc_id, score FROM scored ORDER BY score DESC, doc_id LIMIT 10",
+        "search_relevance": _bm25(
+            "machinery d3 city 7", "texts", "id", f"{CV}, texts AS (SELECT id, concat_ws(' ', {', '.join(_FIELDS)}) AS text FROM cv),"
+        ) + f" SELECT {USER_COLUMNS}, score FROM scored JOIN cv USING (id) ORDER BY score DESC, id LIMIT 20 OFFSET 20",
         "dangling_departments": f"{both} SELECT {USER_COLUMNS} FROM uv WHERE department_id IS NOT NULL AND department_id NOT IN (SELECT id FROM dv)",
         "placed_departments": f"{both} SELECT {USER_COLUMNS} FROM uv WHERE department_id IN (SELECT id FROM dv)",
         "view_documents": f"WITH {UJ}, {_user_view('uj')} SELECT id, {document} AS document FROM uv",

@@ -102,10 +102,11 @@ class MergedTable:
         return self._merge(self.spark.read.schema(schema).parquet(*folders))
 
     def compact(self) -> None:
-        """Merge everything appended so far into one base folder."""
+        """Merge everything appended so far into one base folder, sorted for lookups."""
         batches = self._batches()
         if batches and batches[-1] not in self._bases():
-            self.read().write.mode("overwrite").parquet(f"{self.path}/base/upto={batches[-1]}")
+            merged = self.read().repartitionByRange("entity_id").sortWithinPartitions("entity_id")
+            merged.write.mode("overwrite").parquet(f"{self.path}/base/upto={batches[-1]}")
 
 
 class ViewStore(MergedTable):

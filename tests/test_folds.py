@@ -54,6 +54,11 @@ def test_state_and_history(spark, cell_mode, seed):
     assert got == model.history(rows)
 
 
+def test_state_tolerates_replays(spark, cell_mode):
+    rows = model.random_journal(12)
+    assert _by_id(state.state_fold(frame(spark, rows + rows[::3]), USER, secrets=True)) == model.state(rows)
+
+
 def test_the_two_folds_differ_on_irregular_logs(spark):
     rows = [("e", 1, model.START, "emailUpdated", None, "m", None, None, None)]
     assert fold.view_fold(frame(spark, rows), USER).count() == 1

@@ -106,3 +106,12 @@ def test_view_search(view):
     assert len(ids(items)) == 10 and count.first()[0] == 30
     assert tool.pages("york").agg(F.max("page")).first()[0] == 1
     assert tool.suggest("user04").first()["suggestions"][0]["text"] == "user040"
+
+
+def test_relevance_pages(view):
+    pages = [search.relevant(view, "york d2 user005", p, 12).collect() for p in range(4)]
+    rows = [r for p in pages for r in p]
+    assert [len(p) for p in pages]== [12, 12, 10, 0] and len({r["id"] for r in rows}) == len(rows)
+    assert rows[0]["id"] == "5"
+    assert [(-r["score"], r["id"]) for r in rows] == sorted((-r["score"], r["id"]) for r in rows)
+    assert {r["id"] for r in rows} == set(ids(search.matching(view, "york d2 user005")))

@@ -64,6 +64,7 @@ def test_view_store_batches_rerun_and_compact(spark, tmp_path):
     store.apply(frame(spark, [("e0", 1000, model.START, "removed", None, None, None, None, None)]), 4)
     assert "e0" not in _by_id(store.all(secrets=True))
     assert store.find("e0").count() == 0
+    assert "EqualTo(entity_id,e0)" in store.find("e0")._jdf.queryExecution().executedPlan().toString()
     before = store.read(before=2)
     some = [r for b in (0, 1) for r in rows[b::4]]
     assert _by_id(fold.finish(before, USER, secrets=True)) == model.view(some)
