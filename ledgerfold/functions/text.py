@@ -47,5 +47,10 @@ def has_prefix(words: Column, prefix: str) -> Column:
     return F.exists(words, lambda w: F.startswith(w, F.lit(prefix.lower())))
 
 
+def only(words: Column, terms: Sequence[str]) -> Column:
+    """The words that are one of the terms, repeats included."""
+    return F.filter(words, lambda w: w.isin(list(terms)))
+
+
 def term_count(words: Column, term: str) -> Column:
     return F.size(F.filter(words, lambda w: w == term))

@@ -25,7 +25,6 @@ GRPC_OK = {
 GRPC_FAILED = {
     ("department", "create", "AlreadyExists"): "Department already exists",
     ("department", "create", "Invalid"): "Department create error ({})",
-    ("department", "create", "NotExists"): "Department not exists",
     ("department", "update", "NotExists"): "Department not exists",
     ("department", "update", "Invalid"): "Department update error ({})",
     ("department", "remove", "NotExists"): "Department not exists",

@@ -127,9 +127,9 @@ def ranked(documents: DataFrame, query: str, text_field: str = "text", key: str
     terms = list(dict.fromkeys(text.words_of(query)))
     if not terms:
         return documents.filter(F.lit(False)).select(key, F.lit(0.0).alias("score"))
-    counted = documents.select(key, text.tokens(F.col(text_field)).alias("_words")).select(
-        key, F.size("_words").alias("_length"), *[text.term_count(F.col("_words"), t).alias(f"_tf{i}") for i, t in enumerate(terms)]
-    )
+    words = documents.select(key, text.tokens(F.col(text_field)).alias("_words"))
+    found = words.select(key, F.size("_words").alias("_length"), text.only(F.col("_words"), terms).alias("_found"))
+    counted = found.select(key, "_length", *[text.term_count(F.col("_found"), t).alias(f"_tf{i}") for i, t in enumerate(terms)])
     counted = stored(counted, "counted")
     figures = counted.agg(
         F.struct(
