@@ -13,7 +13,7 @@ from ledgerfold.operators.specs import DEPARTMENT, USER
 from ledgerfold.schemas import DEPARTMENT_JOURNAL, USER_VIEW
 from ledgerfold.session import stored, work_path
 from ledgerfold.sources import derived, topics
-from ledgerfold.sources.store import ViewStore
+from ledgerfold.sources.store import ViewStore, read_journal, stream_journal, write_journal
 from ledgerfold.sources.tables import table, table_stream
 from ledgerfold.streaming import gate as streaming_gate
 from ledgerfold.streaming import views as streaming_views
@@ -372,6 +372,14 @@ def service_replies(spark, folder):
     return answers
 
 
+@query
+def secured_events(spark, folder):
+    """Events of the admitted commands, with a digest in place of the password."""
+    commands = _user_commands(spark, folder).withColumn("entity_id", F.col("username"))
+    events, _ = service.handle(commands, departments=_lifecycle(spark, folder), salt="pepper")
+    return events.select("entity_id", "seq_nr", "kind", "email", "pass")
+
+
 @query
 def gated_state(spark, folder):
     """The view of the events that the gate itself wrote."""
@@ -520,6 +528,27 @@ def republish_department_records(spark, folder):
     return topics.records(derived.department_journal(spark, folder), DEPARTMENT, topics.DEPARTMENT_TOPIC)
 
 
+@query
+def stored_journal_lookup(spark, folder):
+    """One entity out of a written journal: partitions and row groups are pruned."""
+    path = work_path(spark, "journal")
+    write_journal(_user_journal(spark, folder), path, partitions=("tag",))
+    return _events(journal.by_entity(read_journal(spark, path), USER, "42"))
+
+
+@query
+def stored_view(spark, folder):
+    """A read model fed by two batches, merged into a base after the first."""
+    rows = _user_journal(spark, folder)
+    early = F.col("ts") < F.lit(CUT).cast("timestamp_ntz")
+    store = ViewStore(spark, work_path(spark, "stored-view"), USER)
+    store.create_or_extend()
+    store.apply(rows.filter(early), 0)
+    store.compact()
+    store.apply(rows.filter(~early), 1)
+    return _user_rows(store.all())
+
+
 @query
 def stream_user_view(spark, folder):
     path = work_path(spark, "user-view")
@@ -532,8 +561,6 @@ def stream_user_view(spark, folder):
 @query
 def stream_department_view(spark, folder):
     """The department journal is written out first: its numbers follow time, not ids."""
-    from ledgerfold.sources.store import stream_journal, write_journal
-
     path = work_path(spark, "department-view")
     write_journal(derived.department_journal(spark, folder), f"{path}/journal", partitions=("tag",))
     store = ViewStore(spark, f"{path}/view", DEPARTMENT)

@@ -343,6 +343,9 @@ SELECT cmd_id, entity_id, found, {ADDRESS}, CASE WHEN found THEN n END AS userna
         "service_replies": f"""WITH {_user_decisions(admitted)}
 SELECT cmd_id, username AS entity_id, reply_kind, {OK} AS ok, {GRPC_MESSAGE} AS message FROM decided
 UNION ALL {denied}""",
+        "secured_events": f"""WITH {_user_decisions(admitted)}
+SELECT 'user' || ue.entity_id AS entity_id, seq_nr, ue.kind, ue.email,
+       CASE WHEN ue.kind = 'created' THEN sha256('pepper' || 'pass' || regexp_extract(ue.email, 'u(\\d+)@', 1)) END AS pass FROM ue""",
         "gated_state": f"WITH {_user_decisions()}, {_user_view('ue')} SELECT {USER_COLUMNS} FROM uv",
         "get_user": f"{view} WHERE id = '42'",
         "list_users": customers,
@@ -373,6 +376,8 @@ SELECT ((row_number() OVER (ORDER BY lower(username) DESC, id) - 1) // 20)::INTE
         "view_documents_decoded": view,
         "republish_records": f"WITH {UJ} {_json('seq_nr', 'c-user', _USER_PAYLOAD)} FROM uj",
         "republish_department_records": f"WITH {DJ} {_json('seq_nr', 'c-department', _DEPARTMENT_PAYLOAD)} FROM dj",
+        "stored_journal_lookup": f"WITH {UJ} SELECT {JOURNAL_COLUMNS} FROM uj WHERE entity_id = '42'",
+        "stored_view": view,
         "stream_user_view": view,
         "stream_department_view": department_view,
         "stream_republish": f"WITH {UJ} {_json('event_id + 1', 'c-user', _USER_PAYLOAD)} FROM uj",
