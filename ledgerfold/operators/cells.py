@@ -90,11 +90,6 @@ class CellPlan:
         cell = F.col("_ts_slice") * (len(self.tie_splits) + 1) + F.coalesce(inner.cast("bigint"), F.lit(0))
         return df.withColumn(CELL, F.when(self.is_hot(), cell).otherwise(F.lit(0))).drop("_ts_slice", "_tie_slice")
 
-    def along(self, *order: str) -> CellPlan:
-        """The same cells for another column that orders the rows the same way. The rows
-        keep their cell column, so the next scan needs no new shuffle."""
-        return replace(self, order=order)
-
     def by_number(self, seq: str = "seq_nr") -> CellPlan:
         """Cells of the same keys by ranges of their dense numbers, for rows that carry
         no cell column."""

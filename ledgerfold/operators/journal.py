@@ -55,10 +55,10 @@ def envelopes(journal: DataFrame) -> DataFrame:
 
 def number_events(log: DataFrame, key: str = "entity_id", ts: str = "ts", tie: str = "event_id",
                   name: str = "seq_nr") -> tuple[DataFrame, CellPlan]:
-    """Number the rows of each key 1, 2, 3, ... by time. The plan is for further scans
-    along these numbers, which then reuse the cells and the shuffle."""
+    """Number the rows of each key 1, 2, 3, ... by time. Further scans that use the plan
+    run in the same order, so they reuse its cells, the shuffle and the sort."""
     plan = cells.by_time(log.select(key, ts, tie), key, ts, tie)
-    return cells.running_count(plan.apply(log), plan, name), plan.along(name)
+    return cells.running_count(plan.apply(log), plan, name), plan
 
 
 def tag_view(journal: DataFrame, plan: CellPlan | None = None) -> DataFrame:

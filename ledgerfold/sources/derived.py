@@ -75,13 +75,13 @@ def user_events(events: DataFrame) -> DataFrame:
 
 
 def planned_user_journal(spark: SparkSession, folder: str) -> tuple[DataFrame, CellPlan]:
-    """The user journal and the plan it was numbered by."""
+    """The user journal, with ``event_id``, and the plan it was numbered by."""
     numbered, plan = number_events(user_events(table(spark, folder, "events")))
-    return with_tags(numbered.drop("event_id"), USER), plan
+    return with_tags(numbered, USER), plan
 
 
 def user_journal(spark: SparkSession, folder: str) -> DataFrame:
-    return uncut(planned_user_journal(spark, folder)[0])
+    return uncut(planned_user_journal(spark, folder)[0]).drop("event_id")
 
 
 def user_journal_stream(stream: DataFrame) -> DataFrame:
@@ -119,11 +119,11 @@ def department_events(orders: DataFrame) -> DataFrame:
 
 def planned_department_journal(spark: SparkSession, folder: str) -> tuple[DataFrame, CellPlan]:
     numbered, plan = number_events(department_events(table(spark, folder, "orders")), tie="order_id")
-    return with_tags(numbered.drop("order_id"), DEPARTMENT), plan
+    return with_tags(numbered, DEPARTMENT), plan
 
 
 def department_journal(spark: SparkSession, folder: str) -> DataFrame:
-    return uncut(planned_department_journal(spark, folder)[0])
+    return uncut(planned_department_journal(spark, folder)[0]).drop("order_id")
 
 
 def department_commands(orders: DataFrame) -> DataFrame:

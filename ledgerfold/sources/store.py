@@ -19,11 +19,15 @@ from ledgerfold.operators import fold, search
 from ledgerfold.operators.specs import EntitySpec
 
 
+def _place(spark: SparkSession, path: str):
+    """(file system, path) on whatever file system holds the path."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
 def _list(spark: SparkSession, path: str) -> list[str]:
-    """Names below a folder on whatever file system holds it; empty if it is missing."""
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    system = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    """Names below a folder; empty if it is missing."""
+    system, place = _place(spark, path)
     return [s.getPath().getName() for s in system.listStatus(place)] if system.exists(place) else []
 
 
@@ -109,6 +113,19 @@ class MergedTable:
             merged.write.mode("overwrite").parquet(f"{self.path}/base/upto={batches[-1]}")
 
 
+    def prune(self) -> None:
+        """Delete what the last two bases replace. Readers of the newest base and a rerun
+        of the last batch need none of it."""
+        bases = self._bases()
+        if len(bases) < 2:
+            return
+        kept = bases[-2]
+        old = [f"delta/batch={b}" for b in self._batches() if b <= kept] + [f"base/upto={b}" for b in bases if b < kept]
+        for name in old:
+            system, place = _place(self.spark, f"{self.path}/{name}")
+            system.delete(place, True)
+
+
 class ViewStore(MergedTable):
     """A read model of one entity type."""
 

@@ -36,10 +36,11 @@ def test_the_view_takes_one_shuffle(spark):
     assert plan_of(fold.view_fold(derived.user_journal(spark, FOLDER), USER)).count("Exchange ") == 1
 
 
-def test_state_and_history_reuse_the_shuffle_of_numbering(spark):
+def test_state_and_history_reuse_the_shuffle_and_sort_of_numbering(spark):
     rows, plan = derived.planned_user_journal(spark, FOLDER)
-    assert plan_of(state.state_fold(rows, USER, plan=plan)).count("Exchange ") == 1
-    assert plan_of(state.history(rows, USER, plan=plan)).count("Exchange ") == 1
+    for df in (state.state_fold(rows, USER, plan=plan), state.history(rows, USER, plan=plan)):
+        text = plan_of(df)
+        assert text.count("Exchange ") == 1 and text.count("Sort [") == 1
 
 
 def test_secret_and_unused_columns_are_not_read(spark):

@@ -70,6 +70,21 @@ def test_view_store_batches_rerun_and_compact(spark, tmp_path):
     assert _by_id(fold.finish(before, USER, secrets=True)) == model.view(some)
 
 
+def test_pruning_keeps_the_view(spark, tmp_path):
+    rows = model.random_journal(9)
+    store = ViewStore(spark, str(tmp_path / "v"), USER)
+    for batch in range(6):
+        store.apply(frame(spark, rows[batch::6]), batch)
+        if batch in (1, 3, 4):
+            store.compact()
+    store.prune()
+    assert sorted(p.name for p in (tmp_path / "v" / "base").iterdir()) == ["upto=3", "upto=4"]
+    assert sorted(p.name for p in (tmp_path / "v" / "delta").iterdir()) == ["batch=4", "batch=5"]
+    assert _by_id(store.all(secrets=True)) == model.view(rows)
+    before_last = [r for b in range(5) for r in rows[b::6]]
+    assert _by_id(fold.finish(store.read(before=5), USER, secrets=True)) == model.view(before_last)
+
+
 def test_upsert_and_delete(spark, tmp_path):
     store = ViewStore(spark, str(tmp_path / "v"), USER)
     schema = "id string, seq_nr bigint, username string, email string"
