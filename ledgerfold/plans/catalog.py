@@ -586,6 +586,5 @@ def stream_gate(spark, folder):
         commands, gate.USER_GATE, lambda batch, carried: gate.user_gate(batch, departments, carried), path, f"{path}/checkpoint"
     )
     running.awaitTermination()
-    decided = spark.read.parquet(f"{path}/decisions")
-    rows = gate.events(decided, gate.USER_GATE)
+    rows = gate.events(streaming_gate.decisions(spark, path), gate.USER_GATE)
     return rows.select("entity_id", "seq_nr", _stamp("ts"), "kind", "username", "email", *_address(), _department())

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ledgerfold.operators import gate
 from ledgerfold.operators.specs import GateSpec
 from ledgerfold.sources.store import MergedTable
 from ledgerfold.streaming.views import COMPACT_EVERY, project
@@ -45,8 +44,9 @@ def run(stream: DataFrame, spec: GateSpec, decide: Decide, path: str, checkpoint
         ids = batch.select("entity_id").distinct()
         carried = store.read(before=batch_id).join(ids, "entity_id", "left_semi")
         folder = f"{path}/decisions/batch={batch_id}"
-        decide(batch, carried).write.mode("overwrite").parquet(folder)
-        written = spark.read.parquet(folder).filter(F.col("event_kind").isNotNull())
+        decided = decide(batch, carried)
+        decided.write.mode("overwrite").parquet(folder)
+        written = spark.read.schema(decided.schema).parquet(folder).filter(F.col("event_kind").isNotNull())
         lifecycle = F.when(F.col("event_kind").isin(spec.entity.created, spec.entity.removed), F.col("seq_nr"))
         # Only present entities and creations give events, so the entity is alive
         # unless its last lifecycle event in the batch removed it.
@@ -58,10 +58,6 @@ def run(stream: DataFrame, spec: GateSpec, decide: Decide, path: str, checkpoint
     return project(stream, f"{spec.entity.name}Gate", checkpoint, handle, trigger)
 
 
-def decisions(spark, path: str, schema) -> DataFrame:
-    """All decisions written so far."""
-    return spark.read.schema(schema).parquet(f"{path}/decisions").drop("batch")
-
-
-def events(decided: DataFrame, spec: GateSpec) -> DataFrame:
-    return gate.events(decided, spec)
+def decisions(spark, path: str) -> DataFrame:
+    """All decisions written so far; ``gate.events`` and ``replies`` take them."""
+    return spark.read.parquet(f"{path}/decisions").drop("batch")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import model
 from ledgerfold.operators import admission, fold, gate, replies, service, state
-from ledgerfold.operators.specs import USER
+from ledgerfold.operators.specs import USER, EntitySpec, Field, GateSpec, Rule, Validator
 from ledgerfold.schemas import DEPARTMENT_COMMANDS, USER_COMMANDS
 
 LIFECYCLE = "entity_id string, seq_nr bigint, ts timestamp_ntz, kind string"
@@ -232,3 +232,23 @@ def test_state_seen_by_reads(spark, cell_mode):
     assert rows[1] is None and rows[7] is None and "pass" not in rows[3]
     assert rows[3]["address"]["zip"] == "12345" and rows[5]["address"] is None and rows[5]["email"] == "x@y.com"
     assert all(rows[n]["email"] == "z@y.com" and rows[n]["address"] is None for n in range(9, 20))
+
+
+def test_a_gate_of_ones_own(spark, cell_mode):
+    """Rules and validators are declarations, too."""
+    ticket = EntitySpec("ticket", "TicketEvent", (Field("owner", "string", ("opened", "assigned")),), created="opened", removed="closed")
+    spec = GateSpec(
+        ticket,
+        absent=(Rule("open", "Opened", "opened", failure="Refused"),),
+        present=(Rule("assign", "Assigned", "assigned", failure="Refused"), Rule("close", "Closed", "closed")),
+        absent_reply="Unknown", present_reply="Open already",
+    )
+    owner = Validator(("open", "assign"), lambda: F.when(F.col("owner").isNull(), F.array(F.lit("no owner"))))
+    steps = [("assign", "a"), ("open", None), ("open", "a"), ("open", "b"), ("assign", None), ("assign", "c"), ("close", None), ("close", None)]
+    rows = [(n, at(n), "t1", kind, who) for n, (kind, who) in enumerate(steps)]
+    commands = spark.createDataFrame(rows, "cmd_id bigint, cmd_ts timestamp_ntz, entity_id string, kind string, owner string")
+    decided = gate.decide(gate.with_errors(commands, [owner]), spec)
+    assert [r["reply_kind"] for r in decided.orderBy("cmd_id").collect()] == [
+        "Unknown", "Refused", "Opened", "Open already", "Refused", "Assigned", "Closed", "Unknown"]
+    events = gate.events(decided, spec).orderBy("seq_nr").collect()
+    assert [(e["seq_nr"], e["kind"], e["owner"]) for e in events] == [(1, "opened", "a"), (2, "assigned", "c"), (3, "closed", None)]

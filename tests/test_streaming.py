@@ -105,7 +105,7 @@ def test_gate_over_batches(spark, tmp_path):
         spark.createDataFrame(ordered[50 * i:50 * (i + 1)], USER_COMMANDS).coalesce(1).write.mode("append").parquet(path)
         if i != 1:
             run()
-    decided = spark.read.parquet(f"{out}/decisions")
+    decided = streaming_gate.decisions(spark, out)
     got = {r["cmd_id"]: (r["event_kind"], r["reply_kind"], r["seq_nr"]) for r in decided.collect()}
     assert got == _simulate(commands, marks)
 
