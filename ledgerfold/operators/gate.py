@@ -26,9 +26,11 @@ _LIFECYCLE_TIE = -(1 << 62)
 
 
 def with_errors(commands: DataFrame, validators: Sequence[Validator]) -> DataFrame:
-    """Adds ``errors``: messages of all validators that apply, in validator order."""
+    """Adds ``errors``: messages of all validators that apply, in validator order, after
+    those found before."""
     parts = [F.when(F.col("kind").isin(list(v.kinds)), v.errors()) for v in validators]
-    return commands.withColumn("errors", validation.combined(parts))
+    found = [F.col("errors")] if "errors" in commands.columns else []
+    return commands.withColumn("errors", validation.combined(found + parts))
 
 
 def _pick(rules: Sequence[Rule], otherwise: str) -> tuple[Column, Column]:
@@ -92,12 +94,12 @@ def decide(commands: DataFrame, spec: GateSpec, carried: DataFrame | None = None
     )
     emits = F.col("event_kind").isNotNull()
     numbered = cells.running_count(decided, plan, "_emitted", emits)
-    stored = F.lit(0)
+    start = F.lit(0)
     if carried is not None:
         numbered = cells.running_last(numbered, plan, {"_stored": F.col("_carried.last_seq")})
         numbered = numbered.filter(F.col("_carried").isNull())
-        stored = F.coalesce(F.col("_stored"), F.lit(0))
-    numbered = numbered.withColumn("seq_nr", F.when(emits, F.col("_emitted") + stored))
+        start = F.coalesce(F.col("_stored"), F.lit(0))
+    numbered = numbered.withColumn("seq_nr", F.when(emits, F.col("_emitted") + start))
     return cells.uncut(numbered).drop("_carried", "_before", "_emitted", "_stored")
 
 
@@ -165,9 +167,10 @@ def with_department_exists(commands: DataFrame, departments: DataFrame, kinds: S
     return answered.unionByName(commands.filter(~asks).withColumn("department_exists", F.lit(None).cast("boolean")))
 
 
-USER_VALIDATORS = (
-    Validator(("create", "changeAddress"), lambda: validation.address_errors(F.col("address"))),
-    Validator(("create", "changeDepartment"), lambda: validation.department_errors(F.col("department"), F.col("department_exists"))),
+# The address is checked ahead of any shuffle, so replies do not move addresses.
+ADDRESS_VALIDATOR = Validator(("create", "changeAddress"), lambda: validation.address_errors(F.col("address")))
+DEPARTMENT_VALIDATOR = Validator(
+    ("create", "changeDepartment"), lambda: validation.department_errors(F.col("department"), F.col("department_exists"))
 )
 
 
@@ -175,8 +178,8 @@ def user_gate(commands: DataFrame, departments: DataFrame, carried: DataFrame |
               plan: CellPlan | None = None) -> DataFrame:
     """Decisions on user commands. ``departments`` are lifecycle events of departments."""
     plan = plan or plan_commands(commands)
-    checked = with_errors(with_department_exists(commands, departments), USER_VALIDATORS)
-    return decide(checked, USER_GATE, carried, plan)
+    checked = with_department_exists(with_errors(commands, [ADDRESS_VALIDATOR]), departments)
+    return decide(with_errors(checked, [DEPARTMENT_VALIDATOR]), USER_GATE, carried, plan)
 
 
 def carried_state(journal: DataFrame, spec: GateSpec) -> DataFrame:
