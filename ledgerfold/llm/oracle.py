@@ -19,3 +19,24 @@ t AS (SELECT r, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS s FROM (SE
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
        sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM dw LEFT JOIN c USING (r) LEFT JOIN t USING (r)"""
+
+_RULES = ("example.com/de/", "example.net/en/", "net/", "org/fr/")
+
+
+def _fits(rule: str) -> str:
+    name, _, tail = rule.partition("/")
+    return f"((host = '{name}' OR ends_with(host, '.{name}')) AND starts_with(path, '/{tail}'))"
+
+
+SQL["op6_url_filters"] = f"""
+WITH r AS (SELECT page_id, CASE WHEN contains(coalesce(url, ''), '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
+l AS (SELECT DISTINCT regexp_replace(host || path, '/+$', '') AS key FROM p
+      WHERE list_has_any(string_split(host, '.'), ['casino-win', 'free-bets', 'cheap-pills', 'ads-track'])),
+f AS (SELECT *, regexp_replace(host || path, '/+$', '') AS key,
+             CASE {" ".join(f"WHEN {_fits(r)} THEN '{r}'" for r in sorted(_RULES, key=lambda r: -len(r)))} END AS rule FROM p)
+SELECT page_id, host, path, rule,
+       CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
+            WHEN key IN (SELECT key FROM l) THEN 'block' ELSE 'allow' END AS verdict
+FROM f"""

@@ -7,9 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerfold.llm import decontam
+import public_tokenizers
+
+from ledgerfold.llm import decontam, tokens, toxicity, urls
 from ledgerfold.llm.common import table
 
+#: Rules of the URL filter, and the host labels of gambling, pharmacy and advert sites
+#: whose pages make up the list of URLs.
+URL_RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
+LISTED_LABELS = ("casino-win", "free-bets", "cheap-pills", "ads-track")
+TOKEN_LIMIT = 2048
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -21,3 +29,26 @@ def query(function):
 @query
 def op2_decontamination(spark, folder):
     return decontam.report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query
+def op3_toxicity(spark, folder):
+    return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query
+def op6_url_filters(spark, folder):
+    pages = table(spark, folder, "pages")
+    labels = F.split(urls.host_of(F.col("url")), r"\.")
+    listed = pages.where(F.arrays_overlap(labels, F.array(*[F.lit(x) for x in LISTED_LABELS])))
+    return urls.judge(pages, URL_RULES, listed)
+
+
+def word_tokenizer(path: str | None = None) -> tokens.Tokenizer:
+    return tokens.Tokenizer(path or public_tokenizers.path("word_bpe_49k.json"), by_space=True)
+
+
+@query
+def op9_token_counts(spark, folder):
+    counts = tokens.cached_counts(table(spark, folder, "documents"), word_tokenizer())
+    return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
