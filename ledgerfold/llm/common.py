@@ -92,3 +92,45 @@ def components(links: DataFrame, label: str) -> DataFrame:
             break
     stars = edges.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
     return stars.union(stars.select("root", "root").distinct())
+
+
+#: A block is eight words of 64 bits; a key sets one bit in each.
+WORDS = 8
+BITS_PER_KEY = 16
+#: At most 2.4 MB of filter are sent to the executors. A longer list only fills the blocks
+#: further: more possible hits, the same result.
+MOST_BLOCKS = 1 << 15
+
+
+def _marks(key: Column) -> list[Column]:
+    seen = F.xxhash64(key, F.lit("bits"))
+    return [F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(seen, 6 * i).bitwiseAND(63).cast("int")) for i in range(WORDS)]
+
+
+def maybe_in(rows: DataFrame, column: str, keys: DataFrame, name: str) -> DataFrame:
+    """``rows`` with a boolean column ``name``: false only where ``column`` is null or
+    surely not in the one column of ``keys``, by a blocked Bloom filter.
+
+    The filter is made by an aggregate with one row per block and sent to the executors;
+    its size has a fixed bound, whatever the number of keys.
+    """
+    keys = keys.toDF("_key")
+    blocks = max(1, min(MOST_BLOCKS, -(-keys.count() * BITS_PER_KEY // (64 * WORDS))))
+    bits = [f"_w{i}" for i in range(WORDS)]
+    at = lambda key: F.pmod(F.xxhash64(key), F.lit(blocks))
+    marked = keys.where("_key IS NOT NULL").select(at("_key").alias("_block"), *[m.alias(w) for w, m in zip(bits, _marks(F.col("_key")))])
+    bloom = marked.groupBy("_block").agg(*[F.bit_or(w).alias(w) for w in bits])
+    found = rows.join(F.broadcast(bloom), F.when(F.col(column).isNotNull(), at(column)) == F.col("_block"), "left")
+    maybe = F.col("_block").isNotNull()
+    for w, mark in zip(bits, _marks(F.col(column))):
+        maybe = maybe & (F.col(w).bitwiseAND(mark) == mark)
+    return found.withColumn(name, F.coalesce(maybe, F.lit(False))).drop("_block", *bits)
+
+
+def without(docs: DataFrame, key: Column, gone: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose ``key`` is not in the one column of ``gone``, all columns
+    kept; rows whose key is null stay. Only rows that pass the filter go into the join."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key.alias("key"))
+    marked = maybe_in(rows, "key", gone, "maybe")
+    kept = marked.where("maybe").join(gone.toDF("gone"), F.col("key") == F.col("gone"), "left_anti")
+    return marked.where("NOT maybe").select("row").union(kept.select("row")).select("row.*")

@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerfold.llm.common import hashed, words
+from ledgerfold.llm.common import hashed, without, words
 from ledgerfold.session import stored
 
 WINDOW = 10
@@ -91,11 +91,10 @@ def report(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
 
 def clean(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
     """The rows of ``docs`` without any hit, all columns kept."""
-    found = findings(docs, items, size).where(F.size("spans") > 0).select("id", "h1", "h2")
-    found = found.toDF("_hit_id", "_hit_h1", "_hit_h2")
+    key = lambda doc_id, *hashes: F.concat_ws(" ", F.coalesce(F.col(doc_id).cast("string"), F.lit("-")), *hashes)
+    gone = findings(docs, items, size).where(F.size("spans") > 0).select(key("id", "h1", "h2"))
     text = F.coalesce(F.col("text"), F.lit(""))
-    match = F.col("doc_id").eqNullSafe(F.col("_hit_id")) & (F.xxhash64(text) == F.col("_hit_h1")) & (F.hash(text) == F.col("_hit_h2"))
-    return docs.join(found, match, "left_anti")
+    return without(docs, key("doc_id", F.xxhash64(text), F.hash(text)), stored(gone, "hits"))
 
 
 def without_spans(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from ledgerfold.llm import decontam, tokens, toxicity, urls
+from ledgerfold.llm import decontam, neardup, tokens, toxicity, urls
 from ledgerfold.llm.common import table
 
 #: Rules of the URL filter, and the host labels of gambling, pharmacy and advert sites
@@ -52,3 +52,8 @@ def word_tokenizer(path: str | None = None) -> tokens.Tokenizer:
 def op9_token_counts(spark, folder):
     counts = tokens.cached_counts(table(spark, folder, "documents"), word_tokenizer())
     return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
+@query
+def op8_near_duplicates(spark, folder):
+    return neardup.near_duplicates(table(spark, folder, "documents"))

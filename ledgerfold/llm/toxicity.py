@@ -19,13 +19,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from ledgerfold.llm.common import ship
+from ledgerfold.llm.common import hashed, ship, words
 from ledgerfold.session import stored
 
 #: Bounds of the fit: labelled rows, and terms and stems of the lexicon.
 SAMPLE, MOST_TERMS = 20_000, 1_000
-#: A term must be seen in this many toxic texts, and nearly only there.
-LEAST_TEXTS, PURITY = 3, 0.95
+#: A term must be seen in this many toxic texts, and mostly there.
+LEAST_TEXTS, PURITY = 3, 0.75
 #: Stems: so many first letters, shared by so many words.
 STEM_LENGTHS, STEM_WORDS = range(4, 9), 3
 #: Words on either side that are looked at for signs of a quotation.
@@ -178,8 +178,8 @@ def _terms(sample: DataFrame) -> Lexicon:
     share = (totals[1] or 0) / max(1, totals[0])
     if not 0 < share < 1:
         return Lexicon((), ())
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}]{3,40})"), F.lit(1)))
-    counts = sample.select("toxic", F.explode(words).alias("word")).groupBy("word").agg(F.sum("toxic").alias("hits"), F.count("*").alias("texts"))
+    found = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}]{3,40})"), F.lit(1)))
+    counts = sample.select("toxic", F.explode(found).alias("word")).groupBy("word").agg(F.sum("toxic").alias("hits"), F.count("*").alias("texts"))
     counts = stored(counts, "word-counts")
     tested = counts.where(F.col("texts") >= LEAST_TEXTS).count()
 
@@ -195,10 +195,13 @@ def _terms(sample: DataFrame) -> Lexicon:
     heads = heads.groupBy("stem").agg(F.sum("hits").alias("hits"), F.sum("texts").alias("texts"), F.count("*").alias("words"))
     # A text may hold several words of a stem, so stems need as many words as well.
     found = telling(heads.where(F.col("words") >= STEM_WORDS)).orderBy(F.desc("gain"), "stem").limit(MOST_TERMS).collect()
+    seen = {r["stem"]: (r["hits"], r["texts"]) for r in found}
     stems: list[str] = []
-    for stem in sorted((r["stem"] for r in found), key=lambda s: (len(s), s)):
+    for stem in sorted(seen, key=lambda s: (len(s), s)):
         if not any(stem.startswith(s) for s in stems):
             stems.append(stem)
+    # A stem grows by letters that cost it no text.
+    stems = [max((s for s in seen if s.startswith(stem) and seen[s] == seen[stem]), key=len) for stem in stems]
     return Lexicon(tuple(t for t in terms if not any(t.startswith(s) for s in stems)), tuple(stems))
 
 
@@ -234,7 +237,11 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     # At most ``sample`` pairs of numbers: a bounded broadcast, so texts are not shuffled.
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("id"))
     rows = stored(rows.where("text IS NOT NULL").select("text", "toxic"), "labelled")
-    rows = stored(rows.groupBy("text").agg(F.max("toxic").alias("toxic")), "labelled")
+    # One text of those that share their smallest five-word hash: a word that only the
+    # copies of one toxic text hold is no term.
+    five = F.when(F.size("w") >= 5, F.transform(F.sequence(F.lit(1), F.size("w") - 4), lambda i: F.xxhash64(F.slice("w", i, 5))))
+    rows = rows.withColumn("w", hashed(words(F.col("text")))).withColumn("key", F.coalesce(F.array_min(five), F.xxhash64("w")))
+    rows = stored(rows.groupBy("key").agg(F.min_by("text", F.struct("text", "toxic")).alias("text"), F.max("toxic").alias("toxic")), "labelled")
     lexicon = _terms(rows)
 
     @arrow_udf("array<double>")

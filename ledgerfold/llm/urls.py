@@ -10,16 +10,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerfold.llm.common import maybe_in
 from ledgerfold.session import stored
 
-#: A block is eight words of 64 bits; a key sets one bit in each.
-WORDS = 8
-BITS_PER_KEY = 16
-#: At most 2.4 MB of filter are sent to the executors. A longer list only fills the blocks
-#: further: more possible hits, the same result.
-MOST_BLOCKS = 1 << 15
-
-
 def _rest(url: Column) -> Column:
     at = F.locate("://", F.coalesce(url, F.lit("")))
     return F.when(at > 0, F.substring(url, at + 3, F.length(url))).otherwise("")
@@ -46,18 +39,6 @@ def _fits(host: Column, path: Column, rule: str) -> Column:
     return ((host == name) | F.endswith(host, F.lit("." + name))) & F.startswith(path, F.lit("/" + tail))
 
 
-def _marks(key: Column) -> list[Column]:
-    seen = F.xxhash64(key, F.lit("bits"))
-    return [F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(seen, 6 * i).bitwiseAND(63).cast("int")) for i in range(WORDS)]
-
-
-def bloom(keys: DataFrame) -> tuple[DataFrame, int]:
-    """The filter of column ``key`` as rows (block, w0 ... w7), and the number of blocks."""
-    blocks = max(1, min(MOST_BLOCKS, -(-keys.count() * BITS_PER_KEY // (64 * WORDS))))
-    marked = keys.select(F.pmod(F.xxhash64("key"), F.lit(blocks)).alias("block"), *[m.alias(f"w{i}") for i, m in enumerate(_marks(F.col("key")))])
-    return marked.groupBy("block").agg(*[F.bit_or(f"w{i}").alias(f"w{i}") for i in range(WORDS)]), blocks
-
-
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str]], listed: DataFrame) -> DataFrame:
     """Every row of ``pages`` (page_id, url) with host, path, the rule that fits and a
     verdict. ``rules`` are (verdict, ``host/path``); the longest that fits wins. Without a
@@ -69,18 +50,12 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]], listed: DataFrame)
     execution splits the pages; the list has each key once.
     """
     keys = stored(listed.select(canonical(F.col("url")).alias("key")).where("key <> ''").distinct(), "listed")
-    blocks, count = bloom(keys)
     rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), canonical(F.col("url")).alias("key"))
     rule = F.lit(None).cast("string")
     for _, text in sorted(rules, key=lambda r: len(r[1])):
         rule = F.when(_fits(F.col("host"), F.col("path"), text), text).otherwise(rule)
     rows = rows.withColumn("rule", rule)
-    rows = rows.withColumn("at", F.when(F.col("rule").isNull(), F.pmod(F.xxhash64("key"), F.lit(count))))
-    rows = rows.join(F.broadcast(blocks), F.col("at") == F.col("block"), "left")
-    maybe = F.col("block").isNotNull()
-    for i, mark in enumerate(_marks(F.col("key"))):
-        maybe = maybe & (F.col(f"w{i}").bitwiseAND(mark) == mark)
-    rows = rows.select("page_id", "host", "path", "key", "rule", F.coalesce(maybe, F.lit(False)).alias("maybe"))
+    rows = maybe_in(rows.withColumn("open", F.when(F.col("rule").isNull(), F.col("key"))), "open", keys, "maybe")
     verdict = F.lit("allow")
     for says, text in rules:
         verdict = F.when(F.col("rule") == text, says).otherwise(verdict)

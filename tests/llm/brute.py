@@ -1,0 +1,53 @@
+"""Plain versions of the operators, over small inputs."""
+
+from __future__ import annotations
+
+import re
+from collections import defaultdict
+
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+LOWER = {ord(c): c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
+
+
+def words(text):
+    return WORD.findall((text or "").translate(LOWER))
+
+
+def shingles(text, size=5):
+    w = words(text)
+    return {tuple(w[i:i + size]) for i in range(max(1, len(w) - size + 1))} if w else set()
+
+
+class Union:
+    def __init__(self):
+        self.up = {}
+
+    def root(self, x):
+        while self.up.setdefault(x, x) != x:
+            self.up[x] = x = self.up[self.up[x]]
+        return x
+
+    def join(self, a, b):
+        a, b = sorted((self.root(a), self.root(b)))
+        self.up[b] = a
+
+
+def near_classes(docs, least=0.8):
+    """doc_id -> smallest doc_id of its class, by comparing all texts that share a shingle."""
+    sets = {d: shingles(t) for d, t in docs}
+    holders = defaultdict(list)
+    for d, s in sets.items():
+        for x in s:
+            holders[x].append(d)
+    union, seen = Union(), set()
+    for d, s in sets.items():
+        common = defaultdict(int)
+        for x in s:
+            for other in holders[x]:
+                if other > d:
+                    common[other] += 1
+        for other, n in common.items():
+            if n / (len(s) + len(sets[other]) - n) >= least:
+                union.join(d, other)
+                seen.add((d, other))
+    return {d: union.root(d) for d in sets}, seen
