@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from ledgerfold.llm import decontam, neardup, tokens, toxicity, urls
+from ledgerfold.llm import decontam, neardup, tokens, topk, toxicity, urls
 from ledgerfold.llm.common import table
 
 #: Rules of the URL filter, and the host labels of gambling, pharmacy and advert sites
@@ -26,6 +26,11 @@ def query(function):
     return function
 
 
+@query
+def op1_top_k_search(spark, folder):
+    return topk.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 @query
 def op2_decontamination(spark, folder):
     return decontam.report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
