@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from ledgerfold.llm import licenses
+
 SPLIT = "list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '')"
 
 SQL = {}
@@ -48,3 +50,29 @@ s AS (SELECT a.vec_id AS query_id, b.vec_id, list_sum(list_transform(list_zip(a.
       FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q)),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
+
+
+def _license_sql() -> str:
+    """The catalogue as a table of values; rules as replacements in the joined sequence."""
+    known = ", ".join(f"('{text}', '{name}')" for text, name in licenses.KNOWN.items())
+    steps, seq = [], "seq0"
+    for i, (_, rule) in enumerate(licenses.RULES):
+        steps.append(f"s{i} AS (SELECT *, contains({seq}, ';{';;'.join(rule)};') AS m{i}, replace({seq}, ';{';;'.join(rule)};', ';;') AS seq{i + 1} FROM {'j' if i == 0 else f's{i - 1}'})")
+        seq = f"seq{i + 1}"
+    hits = ", ".join(f"CASE WHEN m{i} THEN '{licence}' END" for i, (licence, _) in enumerate(licenses.RULES))
+    return f"""
+WITH k(norm, name) AS (VALUES {known}),
+d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+l AS (SELECT r, unnest(string_split_regex(text, '[\\r\\n]+')) AS line, unnest(range(len(string_split_regex(text, '[\\r\\n]+')))) AS ln FROM d),
+p AS (SELECT r, ln, unnest(string_split_regex(regexp_replace(line, '([.!?])[ \\t]+', '\\1\n', 'g'), '\n')) AS s,
+             unnest(range(len(string_split_regex(regexp_replace(line, '([.!?])[ \\t]+', '\\1\n', 'g'), '\n')))) AS sn FROM l),
+n AS (SELECT r, ln, sn, trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')) AS norm FROM p),
+f AS (SELECT r, list(name ORDER BY ln, sn) AS ids FROM n JOIN k USING (norm) GROUP BY r),
+j AS (SELECT d.r, doc_id, coalesce(ids, []) AS ids, ';' || array_to_string(coalesce(ids, []), ';;') || ';' AS seq0 FROM d LEFT JOIN f ON d.r = f.r),
+{", ".join(steps)}
+SELECT doc_id, len(ids)::BIGINT AS n_sentences, array_to_string(ids, ',') AS sentence_ids,
+       array_to_string(list_sort(list_distinct(list_filter([{hits}], lambda x: x IS NOT NULL))), ',') AS licenses
+FROM s{len(licenses.RULES) - 1}"""
+
+
+SQL["op4_license_scan"] = _license_sql()

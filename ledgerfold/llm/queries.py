@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from ledgerfold.llm import decontam, neardup, tokens, topk, toxicity, urls
+from ledgerfold.llm import decontam, licenses, neardup, tokens, topk, toxicity, urls
 from ledgerfold.llm.common import table
 
 #: Rules of the URL filter, and the host labels of gambling, pharmacy and advert sites
@@ -41,6 +41,11 @@ def op3_toxicity(spark, folder):
     return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+@query
+def op4_license_scan(spark, folder):
+    return licenses.scan(table(spark, folder, "documents"))
+
+
 @query
 def op6_url_filters(spark, folder):
     pages = table(spark, folder, "pages")

@@ -17,7 +17,7 @@ from ledgerfold.session import stored, work_path
 
 CACHE_SCHEMA = "digest binary, n_tokens bigint, version string"
 #: Chunks whose counts a worker remembers, and the longest that it does.
-MEMO, MEMO_CHARS = 400_000, 64
+MEMO, MEMO_CHARS = 700_000, 64
 
 
 @dataclass(frozen=True)
@@ -69,14 +69,19 @@ def count_texts(texts: list[str], tokenizer: Tokenizer) -> list[int]:
     if len(memo) > MEMO:
         memo.clear()
         memo[""] = 0
-    totals = []
-    for text in texts:
-        chunks = text.replace("\n", " ").split(" ")
-        new = [c for c in {*chunks} if c not in memo]
-        counts = dict(zip(new, count(new))) if new else {}
-        memo.update((c, n) for c, n in counts.items() if len(c) <= MEMO_CHARS)
-        totals.append(sum(counts[c] if c in counts else memo[c] for c in chunks) if len(counts) else sum(map(memo.__getitem__, chunks)))
-    return totals
+    rows = [text.replace("\n", " ").split(" ") for text in texts]
+    new = {c for row in rows for c in row if c not in memo}
+    # Letters and the full stop or comma after them are tokenized apart.
+    tails = {c for c in new if c[-1] in ".," and c[:-1].isalpha()}
+    bare = [c for c in {*(new - tails), ".", ",", *(c[:-1] for c in tails)} if c not in memo]
+    known = dict(zip(bare, count(bare))) if bare else {}
+    known.update({mark: memo[mark] for mark in ".," if mark in memo})
+    for c in tails:
+        known[c] = (known[c[:-1]] if c[:-1] in known else memo[c[:-1]]) + known[c[-1]]
+    memo.update((c, n) for c, n in known.items() if len(c) <= MEMO_CHARS)
+    if all(c in memo for c in new):
+        return [sum(map(memo.__getitem__, row)) for row in rows]
+    return [sum(memo[c] if c in memo else known[c] for c in row) for row in rows]
 
 
 def counter(tokenizer: Tokenizer):
