@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from ledgerfold.llm import decontam, licenses, neardup, tokens, topk, toxicity, urls
+from ledgerfold.llm import decontam, html, licenses, neardup, packing, tokens, topk, toxicity, urls
 from ledgerfold.llm.common import table
 
 #: Rules of the URL filter, and the host labels of gambling, pharmacy and advert sites
@@ -54,10 +54,21 @@ def op6_url_filters(spark, folder):
     return urls.judge(pages, URL_RULES, listed)
 
 
+@query
+def op5_best_fit_packing(spark, folder):
+    docs = table(spark, folder, "documents")
+    return packing.pack(tokens.counted(docs, word_tokenizer()))
+
+
 def word_tokenizer(path: str | None = None) -> tokens.Tokenizer:
     return tokens.Tokenizer(path or public_tokenizers.path("word_bpe_49k.json"), by_space=True)
 
 
+@query
+def op7_html_extraction(spark, folder):
+    return html.extracted(table(spark, folder, "pages"))
+
+
 @query
 def op9_token_counts(spark, folder):
     counts = tokens.cached_counts(table(spark, folder, "documents"), word_tokenizer())

@@ -10,6 +10,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
 from ledgerfold.llm.common import ship
@@ -87,7 +88,7 @@ def count_texts(texts: list[str], tokenizer: Tokenizer) -> list[int]:
 def counter(tokenizer: Tokenizer):
     """The count as a column function; null counts as empty."""
 
-    @arrow_udf("long")
+    @arrow_udf(T.LongType())
     def n_tokens(texts: pa.Array) -> pa.Array:
         counts = []
         for start in range(0, len(texts), 256):
@@ -133,3 +134,9 @@ def cached_counts(docs: DataFrame, tokenizer: Tokenizer, cache: str | None = Non
     encoded = fresh.select("digest", counter(tokenizer)("text").alias("n_tokens"), F.lit(version).alias("version"))
     encoded.write.mode("append").parquet(folder)
     return base.join(known(), "digest", "left").select("doc_id", "n_bytes", "n_tokens")
+
+
+def counted(docs: DataFrame, tokenizer: Tokenizer) -> DataFrame:
+    """doc_id and n_tokens of every row, without a cache and without a shuffle."""
+    ship(docs.sparkSession)
+    return docs.select("doc_id", counter(tokenizer)("text").alias("n_tokens"))
