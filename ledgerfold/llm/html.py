@@ -12,7 +12,6 @@ from collections.abc import Iterable, Iterator
 from difflib import SequenceMatcher
 from typing import NamedTuple
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -188,27 +187,30 @@ def _merged(wrappers: Iterable[list[Slot]]) -> list[Slot] | None:
     return merged
 
 
-def _inferred(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+_WRAPPERS = pa.schema([("host", pa.string()), ("wrapper", pa.string())])
+
+
+def _inferred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One wrapper per host of the task's pages; a page's text is gone once it is aligned."""
     own: dict[str, list[Slot]] = {}
     for batch in batches:
-        for host, page in zip(batch["host"], batch["html"]):
+        for host, page in zip(batch["host"].to_pylist(), batch["html"].to_pylist()):
             wrapper = page_wrapper(blocks(page))
             own[host] = aligned(own[host], wrapper) if host in own else wrapper
-    yield pd.DataFrame({"host": list(own), "wrapper": [json.dumps(w) for w in own.values()]})
+    yield pa.RecordBatch.from_pydict({"host": list(own), "wrapper": [json.dumps(w) for w in own.values()]}, _WRAPPERS)
 
 
-def _together(rows: pd.DataFrame) -> pd.DataFrame:
-    merged = _merged([Slot(*s) for s in json.loads(w)] for w in sorted(rows["wrapper"], key=lambda w: (-len(w), w)))
-    return pd.DataFrame({"host": [rows["host"].iloc[0]], "wrapper": [json.dumps(merged)]})
+def _together(rows: pa.Table) -> pa.Table:
+    merged = _merged([Slot(*s) for s in json.loads(w)] for w in sorted(rows["wrapper"].to_pylist(), key=lambda w: (-len(w), w)))
+    return pa.Table.from_pydict({"host": [rows["host"][0].as_py()], "wrapper": [json.dumps(merged)]}, _WRAPPERS)
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
     """One wrapper per host (columns host, wrapper) from all its pages: inferred within each
     task, then merged in ``PARTS`` parts per host, then into one. Only wrappers are shuffled."""
     shape = "host string, wrapper string"
-    own = pages.select("host", "html").mapInPandas(_inferred, shape).withColumn("part", F.pmod(F.xxhash64("wrapper"), F.lit(PARTS)))
-    return own.groupBy("host", "part").applyInPandas(_together, shape).groupBy("host").applyInPandas(_together, shape)
+    own = pages.select("host", "html").mapInArrow(_inferred, shape).withColumn("part", F.pmod(F.xxhash64("wrapper"), F.lit(PARTS)))
+    return own.groupBy("host", "part").applyInArrow(_together, shape).groupBy("host").applyInArrow(_together, shape)
 
 
 @arrow_udf(T.StringType())

@@ -131,8 +131,8 @@ def cached_counts(docs: DataFrame, tokenizer: Tokenizer, cache: str | None = Non
     missing = missing.join(known(), F.col("d") == F.col("digest"), "left_anti")
     first = (F.col("digest") == F.col("d")) & F.col("doc_id").eqNullSafe(F.col("i"))
     fresh = rows.join(missing.hint("shuffle_hash"), first, "left_semi")
-    encoded = fresh.select("digest", counter(tokenizer)("text").alias("n_tokens"), F.lit(version).alias("version"))
-    encoded.write.mode("append").parquet(folder)
+    encoded = fresh.select("digest", counter(tokenizer)("text").alias("n_tokens")).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    encoded.withColumn("version", F.lit(version)).write.mode("append").parquet(folder)
     return base.join(known(), "digest", "left").select("doc_id", "n_bytes", "n_tokens")
 
 

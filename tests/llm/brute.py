@@ -51,3 +51,40 @@ def near_classes(docs, least=0.8):
                 union.join(d, other)
                 seen.add((d, other))
     return {d: union.root(d) for d in sets}, seen
+
+
+def repeated_words(docs, least=50):
+    """doc_id -> words that lie in a run of ``least`` equal words of an earlier document."""
+    seen, found = {}, defaultdict(set)
+    for d, text in sorted(docs):
+        w, new = words(text), []
+        for i in range(len(w) - least + 1):
+            gram = tuple(w[i:i + least])
+            if seen.get(gram, d) != d:
+                found[d] |= set(range(i, i + least))
+            elif gram not in seen:
+                new.append(gram)
+        seen.update((g, d) for g in new)
+    return found
+
+
+def best_fit(lengths, sizes, overhead):
+    """Bins as (size, contents), one piece after the other."""
+    from ledgerfold.llm.packing import opened
+
+    left, bins, last = sum(lengths), [], None
+    ordered = sorted(lengths, reverse=True)
+    for i, n in enumerate(ordered):
+        if i == 0 or n != ordered[i - 1]:
+            left -= n * lengths.count(n)
+            last = None
+        fits = [b for b in bins if b[0] - b[1] >= n]
+        if fits:
+            bin_ = min(fits, key=lambda b: b[0] - b[1])
+        else:
+            # A size is chosen once for all pieces of a length that find no room.
+            last = last or opened(n, sum(x == n for x in ordered[i:]), left, sizes, overhead)
+            bin_ = [last, 0]
+            bins.append(bin_)
+        bin_[1] += n
+    return bins
