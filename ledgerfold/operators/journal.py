@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerfold.functions.codecs import time_bucket
-from ledgerfold.functions.ids import SHARDS, all_tags, shard_tag, tag_of
+from ledgerfold.functions.ids import SHARDS, all_tags, shard_tag, stored_tags, tags_of_id
 from ledgerfold.operators import cells
 from ledgerfold.operators.cells import CellPlan
 from ledgerfold.operators.specs import EntitySpec
@@ -24,7 +24,7 @@ def by_entity(journal: DataFrame, spec: EntitySpec, entity_id: str, from_seq: in
     prunes partitions of a stored journal; the rest is pushed to the scan."""
     rows = journal.filter((F.col("entity_id") == entity_id) & (F.col("seq_nr") >= from_seq))
     if "tag" in journal.columns:
-        rows = rows.filter(F.col("tag") == tag_of(entity_id, spec.base_tag, shards))
+        rows = rows.filter(F.col("tag").isin(tags_of_id(entity_id, spec.base_tag, shards)))
     return rows if journal.isStreaming else rows.orderBy("seq_nr")
 
 
@@ -97,9 +97,5 @@ def tags_of(spark, spec: EntitySpec, shards: int = SHARDS) -> DataFrame:
 
 
 def union_of_tags(journal: DataFrame, spec: EntitySpec, shards: int = SHARDS) -> DataFrame:
-    """The whole log as the union of its shards, one branch per tag."""
-    out = None
-    for number in range(shards):
-        branch = by_tag(journal, f"{spec.base_tag}{number}")
-        out = branch if out is None else out.unionByName(branch)
-    return out
+    """The whole log as the union of its shards, in one scan."""
+    return journal.filter(F.col("tag").isin(stored_tags(spec.base_tag, shards)))

@@ -1,16 +1,19 @@
 """Stored journals and read models, as plain Parquet.
 
 A journal is partitioned by time bucket and tag. A read model is a log of mergeable
-partial results: each batch appends what changed, a read merges per entity. A rerun of a
-batch overwrites its own folder, so it changes nothing, and no write touches old data.
-``compact`` merges what has piled up into one folder.
+partial results: each batch appends what changed, a read merges per entity. Every write
+goes to a folder of its own attempt and counts once Spark has marked it complete, so a
+rerun of a batch replaces the earlier attempt at one instant, a failed one is never seen,
+and no write touches what a reader may be reading. ``compact`` merges what has piled up
+into one folder, ``prune`` deletes what is replaced.
 """
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,6 +34,21 @@ def _list(spark: SparkSession, path: str) -> list[str]:
     return [s.getPath().getName() for s in system.listStatus(place)] if system.exists(place) else []
 
 
+def attempt(path: str, kind: str, number: int) -> str:
+    """A new folder for one try at writing batch or base ``number``."""
+    return f"{path.rstrip('/')}/{kind}={number}-{time.time_ns()}"
+
+
+def committed(spark: SparkSession, path: str) -> dict[int, str]:
+    """Number -> folder of its latest attempt that was written completely."""
+    found: dict[int, tuple[int, str]] = {}
+    for name in _list(spark, path):
+        number, _, tried = name.partition("=")[2].partition("-")
+        if number.isdigit() and "_SUCCESS" in _list(spark, f"{path}/{name}"):
+            found[int(number)] = max(found.get(int(number), (-1, "")), (int(tried or 0), f"{path}/{name}"))
+    return {number: folder for number, (_, folder) in sorted(found.items())}
+
+
 def write_journal(journal: DataFrame, path: str, mode: str = "append", partitions: tuple[str, ...] = ("timebucket", "tag")) -> None:
     """Write a tagged journal. Ranges over (partitions, entity, number) spread a busy
     hour or entity over many tasks and leave each file sorted for lookups. Small
@@ -48,23 +66,42 @@ def stream_journal(spark: SparkSession, path: str, schema: str = schemas.USER_JO
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def write_snapshots(taken: DataFrame, path: str, upto: str) -> None:
-    """Write the snapshots of one run to their own folder; a rerun replaces it."""
-    taken.write.mode("overwrite").parquet(f"{path.rstrip('/')}/upto={upto}")
+def write_snapshots(taken: DataFrame, path: str, run: int, spec: EntitySpec, keep: int = 2) -> None:
+    """Write the snapshots of run ``run``, together with those of earlier runs that are
+    still among the latest ``keep`` of their entity. A rerun replaces its run."""
+    spark = taken.sparkSession
+    earlier = [f for n, f in committed(spark, path).items() if n < run]
+    rows = taken.unionByName(spark.read.schema(_snapshot_schema(spec)).parquet(earlier[-1])) if earlier else taken
+    rows = rows.dropDuplicates(["entity_id", "seq_nr"])
+    columns = [c for c in rows.columns if c != "entity_id"]
+    # The latest by a bounded aggregate: `keep` times the maximum below the one before.
+    best = None
+    for _ in range(keep):
+        left = rows if best is None else rows.join(best.select("entity_id", "seq_nr"), ["entity_id", "seq_nr"], "left_anti")
+        top = left.groupBy("entity_id").agg(F.max_by(F.struct(*columns), "seq_nr").alias("s")).select("entity_id", "s.*")
+        best = top if best is None else best.unionByName(top)
+    best.write.parquet(attempt(path, "run", run))
+
+
+def _snapshot_schema(spec: EntitySpec) -> str:
+    fields = ", ".join(f"{f.name} {f.dtype}" for f in spec.fields)
+    return f"entity_id string, seq_nr bigint, ts timestamp_ntz, present boolean, {fields}"
 
 
 def read_snapshots(spark: SparkSession, path: str, spec: EntitySpec) -> DataFrame:
-    """All snapshots written so far; ``recover`` uses the latest of each entity."""
-    fields = ", ".join(f"{f.name} {f.dtype}" for f in spec.fields)
-    schema = f"entity_id string, seq_nr bigint, ts timestamp_ntz, present boolean, {fields}, upto string"
-    return spark.read.schema(schema).parquet(path).drop("upto")
+    """The snapshots as the last complete run left them; ``recover`` uses the latest of
+    each entity."""
+    runs = committed(spark, path)
+    schema = _snapshot_schema(spec)
+    return spark.read.schema(schema).parquet(runs[max(runs)]) if runs else spark.createDataFrame([], schema)
 
 
 class MergedTable:
     """Append-only partial results with a merge function."""
 
-    def __init__(self, spark: SparkSession, path: str, schema: str, merge: Callable[[DataFrame], DataFrame]):
-        self.spark, self.path, self._merge = spark, path.rstrip("/"), merge
+    def __init__(self, spark: SparkSession, path: str, schema: str, merge: Callable[[DataFrame], DataFrame],
+                 order: tuple[str, ...] = ("entity_id",)):
+        self.spark, self.path, self._merge, self.order = spark, path.rstrip("/"), merge, order
         self._declared = schema
 
     def create_or_extend(self) -> T.StructType:
@@ -79,51 +116,47 @@ class MergedTable:
         return full
 
     def schema(self) -> T.StructType:
+        """The columns known so far; the declared ones ahead of the first write."""
+        if not _list(self.spark, f"{self.path}/columns"):
+            return self.spark.createDataFrame([], self._declared).schema
         return self.spark.read.option("mergeSchema", "true").parquet(f"{self.path}/columns").schema
 
     def append(self, rows: DataFrame, batch: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.path}/delta/batch={batch}")
-
-    def _bases(self) -> list[int]:
-        names = _list(self.spark, f"{self.path}/base")
-        done = [n for n in names if "_SUCCESS" in _list(self.spark, f"{self.path}/base/{n}")]
-        return sorted(int(n.split("=")[1]) for n in done)
-
-    def _batches(self) -> list[int]:
-        return sorted(int(n.split("=")[1]) for n in _list(self.spark, f"{self.path}/delta") if n.startswith("batch="))
-
-    def read(self, before: int | None = None) -> DataFrame:
-        """One merged row per entity, of the batches ahead of ``before`` or of all."""
-        schema = self.create_or_extend()
-        base = max((b for b in self._bases() if before is None or b < before), default=None)
-        folders = [] if base is None else [f"{self.path}/base/upto={base}"]
-        folders += [
-            f"{self.path}/delta/batch={b}" for b in self._batches()
-            if (base is None or b > base) and (before is None or b < before)
-        ]
+        rows.write.parquet(attempt(f"{self.path}/delta", "batch", batch))
+
+    def read(self, before: int | None = None, where: Column | None = None) -> DataFrame:
+        """One merged row per entity, of the batches ahead of ``before`` or of all.
+        ``where`` keeps whole entities; it reaches the scans below the merge."""
+        schema = self.schema()
+        bases, batches = committed(self.spark, f"{self.path}/base"), committed(self.spark, f"{self.path}/delta")
+        base = max((b for b in bases if before is None or b < before), default=None)
+        folders = [] if base is None else [bases[base]]
+        folders += [f for b, f in batches.items() if (base is None or b > base) and (before is None or b < before)]
         if not folders:
             return self.spark.createDataFrame([], schema)
-        return self._merge(self.spark.read.schema(schema).parquet(*folders))
+        rows = self.spark.read.schema(schema).parquet(*folders)
+        return self._merge(rows if where is None else rows.filter(where))
 
     def compact(self) -> None:
         """Merge everything appended so far into one base folder, sorted for lookups."""
-        batches = self._batches()
-        if batches and batches[-1] not in self._bases():
-            merged = self.read().repartitionByRange("entity_id").sortWithinPartitions("entity_id")
-            merged.write.mode("overwrite").parquet(f"{self.path}/base/upto={batches[-1]}")
-
+        batches = committed(self.spark, f"{self.path}/delta")
+        if batches and max(batches) not in committed(self.spark, f"{self.path}/base"):
+            merged = self.read().repartitionByRange(*self.order).sortWithinPartitions(*self.order)
+            merged.write.parquet(attempt(f"{self.path}/base", "upto", max(batches)))
 
     def prune(self) -> None:
         """Delete what the last two bases replace. Readers of the newest base and a rerun
         of the last batch need none of it."""
-        bases = self._bases()
+        bases = committed(self.spark, f"{self.path}/base")
         if len(bases) < 2:
             return
-        kept = bases[-2]
-        old = [f"delta/batch={b}" for b in self._batches() if b <= kept] + [f"base/upto={b}" for b in bases if b < kept]
-        for name in old:
-            system, place = _place(self.spark, f"{self.path}/{name}")
-            system.delete(place, True)
+        kept = sorted(bases)[-2]
+        for kind, last in (("delta", kept), ("base", kept - 1)):
+            for name in _list(self.spark, f"{self.path}/{kind}"):
+                number = name.partition("=")[2].partition("-")[0]
+                if number.isdigit() and int(number) <= last:
+                    system, place = _place(self.spark, f"{self.path}/{kind}/{name}")
+                    system.delete(place, True)
 
 
 class ViewStore(MergedTable):
@@ -138,8 +171,9 @@ class ViewStore(MergedTable):
         self.append(fold.summarise(events, self.spec), batch)
 
     def upsert(self, rows: DataFrame, batch: int, seq: str = "seq_nr") -> None:
-        """Insert or overwrite whole rows (id, ``seq``, fields)."""
-        numbers = [F.col(seq).alias(f"{f.name}_seq") for f in self.spec.fields]
+        """Insert rows or set fields of existing ones (id, ``seq``, fields). Only the fields
+        that ``rows`` has are set; a field it lacks keeps its value, a null clears it."""
+        numbers = [(F.col(seq) if f.name in rows.columns else F.lit(None)).cast("bigint").alias(f"{f.name}_seq") for f in self.spec.fields]
         values = [
             (F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dtype).alias(f.name) for f in self.spec.fields
         ]

@@ -39,6 +39,7 @@ def build_view(stream: DataFrame, store: ViewStore, checkpoint: str, trigger: di
         store.apply(batch, batch_id)
         if batch_id and batch_id % compact_every == 0:
             store.compact()
+            store.prune()
 
     return project(stream, f"{store.spec.name}View", checkpoint, handle, trigger)
 

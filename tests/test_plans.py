@@ -4,9 +4,9 @@ import re
 
 import pytest
 
-import __spark_entry__ as entry
 from ledgerfold.operators import fold, search, state
 from ledgerfold.operators.specs import USER
+from ledgerfold.plans.catalog import QUERIES
 from ledgerfold.sources import derived
 
 FOLDER = "/root/testdata/sf0.01"
@@ -20,12 +20,12 @@ def optimized(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
-BATCH = sorted(n for n in entry.queries() if not n.startswith("stream_"))
+BATCH = sorted(n for n in QUERIES if not n.startswith("stream_"))
 
 
 @pytest.mark.parametrize("name", BATCH)
 def test_no_cross_joins_and_no_single_task_window(spark, name):
-    df = entry.queries()[name](spark, FOLDER)
+    df = QUERIES[name](spark, FOLDER)
     text = plan_of(df)
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
     assert "PythonUDF" not in text and "ArrowEvalPython" not in text and "MapInPandas" not in text
@@ -44,7 +44,7 @@ def test_state_and_history_reuse_the_shuffle_and_sort_of_numbering(spark):
 
 
 def test_secret_and_unused_columns_are_not_read(spark):
-    text = plan_of(entry.queries()["user_view"](spark, FOLDER))
+    text = plan_of(QUERIES["user_view"](spark, FOLDER))
     assert "ReadSchema: struct<event_id:bigint,ts:timestamp_ntz,user_id:bigint,event_type:string>" in text
     # Only what a suggestion needs of the customer row.
     schemas = re.findall(r"ReadSchema: struct<([^>]*)>", plan_of(search.suggest(derived.customer_view(spark, FOLDER), "c")))
@@ -70,5 +70,5 @@ def test_suggestions_are_bounded_top_ks(spark):
 
 
 def test_ranking_shuffles_no_documents(spark):
-    text = plan_of(entry.queries()["bm25_documents"](spark, FOLDER))
+    text = plan_of(QUERIES["bm25_documents"](spark, FOLDER))
     assert "hashpartitioning" not in text and "Sort" not in text

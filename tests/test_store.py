@@ -78,8 +78,8 @@ def test_pruning_keeps_the_view(spark, tmp_path):
         if batch in (1, 3, 4):
             store.compact()
     store.prune()
-    assert sorted(p.name for p in (tmp_path / "v" / "base").iterdir()) == ["upto=3", "upto=4"]
-    assert sorted(p.name for p in (tmp_path / "v" / "delta").iterdir()) == ["batch=4", "batch=5"]
+    assert sorted(p.name.split("-")[0] for p in (tmp_path / "v" / "base").iterdir()) == ["upto=3", "upto=4"]
+    assert sorted(p.name.split("-")[0] for p in (tmp_path / "v" / "delta").iterdir()) == ["batch=4", "batch=5"]
     assert _by_id(store.all(secrets=True)) == model.view(rows)
     before_last = [r for b in range(5) for r in rows[b::6]]
     assert _by_id(fold.finish(store.read(before=5), USER, secrets=True)) == model.view(before_last)
@@ -120,7 +120,49 @@ def test_snapshots_of_several_runs(spark, tmp_path):
     rows = model.random_journal(14)
     path = str(tmp_path / "snapshots")
     early = frame(spark, [r for r in rows if r[1] <= 20])
-    write_snapshots(state.snapshots(early, USER, every=4), path, "20")
-    write_snapshots(state.snapshots(frame(spark, rows), USER, every=4), path, "all")
+    assert read_snapshots(spark, path, USER).count() == 0
+    write_snapshots(state.snapshots(early, USER, every=4), path, 1, USER)
+    write_snapshots(state.snapshots(frame(spark, rows), USER, every=8), path, 2, USER)
+    write_snapshots(state.snapshots(frame(spark, rows), USER, every=8), path, 2, USER)
     taken = read_snapshots(spark, path, USER)
     assert _by_id(state.recover(taken, frame(spark, rows), USER, secrets=True)) == model.state(rows)
+    kept = {}
+    for r in taken.collect():
+        kept.setdefault(r["entity_id"], []).append(r["seq_nr"])
+    assert max(len(n) for n in kept.values()) == 2 and sorted(kept["e0"]) == [48, 56]
+
+
+def test_an_unfinished_batch_is_not_read(spark, tmp_path):
+    rows = model.random_journal(15)
+    store = ViewStore(spark, str(tmp_path / "v"), USER)
+    store.apply(frame(spark, rows[:40]), 0)
+    store.apply(frame(spark, rows[40:]), 1)
+    (next((tmp_path / "v" / "delta").glob("batch=1-*")) / "_SUCCESS").unlink()
+    assert _by_id(store.all(secrets=True)) == model.view(rows[:40])
+    store.apply(frame(spark, rows[40:]), 1)
+    assert _by_id(store.all(secrets=True)) == model.view(rows)
+    store.apply(frame(spark, rows[40:]), 1)
+    assert _by_id(store.all(secrets=True)) == model.view(rows)
+
+
+def test_upsert_sets_only_what_it_is_given(spark, tmp_path):
+    store = ViewStore(spark, str(tmp_path / "v"), USER)
+    whole = "id string, seq_nr bigint, username string, email string, pass string"
+    store.upsert(spark.createDataFrame([("a", 1, "n", "e", "p"), ("b", 1, "m", "f", "q")], whole), 0)
+    store.upsert(spark.createDataFrame([("a", 2, "new")], "id string, seq_nr bigint, email string"), 1)
+    store.upsert(spark.createDataFrame([("b", 2, None)], "id string, seq_nr bigint, email string"), 2)
+    found = {r["id"]: (r["username"], r["email"], r["pass"]) for r in store.all(secrets=True).collect()}
+    assert found == {"a": ("n", "new", "p"), "b": ("m", None, "q")}
+
+
+@pytest.mark.parametrize("safe", [False, True])
+def test_lookups_and_union_of_any_id(spark, tmp_path, safe):
+    """Text ids with negative hashes, one beyond the basic plane, and the lowest hash."""
+    ids = ["polygenelubricants", "\U0001F600", *[f"text id {i}" for i in range(12)]]
+    rows = [(i, n, model.START, "created", "u", None, None, None, None) for i in ids for n in (1, 2)]
+    df = journal.with_tags(frame(spark, rows), USER, safe=safe)
+    write_journal(df, str(tmp_path / "j"), partitions=("tag",))
+    stored = read_journal(spark, str(tmp_path / "j"))
+    for i in ids:
+        assert [r["seq_nr"] for r in journal.by_entity(stored, USER, i).collect()] == [1, 2]
+    assert journal.union_of_tags(stored, USER).count() == len(rows)

@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 import model
 from ledgerfold.operators import gate, journal
@@ -114,7 +115,45 @@ def test_a_repeated_gate_batch_changes_nothing(spark, tmp_path):
     """The state a batch starts from excludes what the batch itself wrote."""
     out = str(tmp_path / "out")
     store = streaming_gate.state_store(spark, out)
-    store.append(spark.createDataFrame([("a", 1, True)], streaming_gate.STATE), 0)
-    store.append(spark.createDataFrame([("a", 2, False)], streaming_gate.STATE), 1)
-    assert [tuple(r) for r in store.read(before=1).collect()] == [("a", 1, True)]
-    assert [tuple(r) for r in store.read(before=2).collect()] == [("a", 2, False)]
+
+    def state(*rows):
+        return spark.createDataFrame(rows, "entity_id string, last_seq bigint, alive boolean").withColumn("bucket", streaming_gate.bucket_of())
+
+    store.append(state(("a", 1, True)), 0)
+    store.append(state(("a", 2, False)), 1)
+    assert [tuple(r)[:3] for r in store.read(before=1).collect()] == [("a", 1, True)]
+    assert [tuple(r)[:3] for r in store.read(before=2).collect()] == [("a", 2, False)]
+
+
+def test_a_batch_reads_only_its_buckets(spark, tmp_path):
+    store = streaming_gate.state_store(spark, str(tmp_path / "out"))
+    store.create_or_extend()
+    many = spark.range(1000).select(F.col("id").cast("string").alias("entity_id"), F.lit(1).cast("bigint").alias("last_seq"), F.lit(True).alias("alive"))
+    store.append(many.withColumn("bucket", streaming_gate.bucket_of()), 0)
+    bucket = many.filter("entity_id = '7'").select(streaming_gate.bucket_of().alias("b")).first()[0]
+    found = store.read(where=F.col("bucket").isin([bucket]))
+    assert "7" in {r["entity_id"] for r in found.collect()} and found.count() < 50
+    # The filter stands below the merge, at the scan.
+    assert f"EqualTo(bucket,{bucket})" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_departments_that_come_while_the_gate_runs(spark, tmp_path):
+    """Each batch asks for the departments as they are by then."""
+    path, marks = str(tmp_path / "commands"), str(tmp_path / "departments")
+    empty = spark.createDataFrame([], LIFECYCLE)
+    empty.write.parquet(marks)
+
+    def decide(batch, carried):
+        return gate.user_gate(batch, spark.read.schema(LIFECYCLE).parquet(marks), carried)
+
+    def run(cmd_id, entity):
+        row = (cmd_id, model.START, entity, "create", entity, "e@x.com", "pass", None, ("d9",), entity, None)
+        spark.createDataFrame([row], USER_COMMANDS).coalesce(1).write.mode("append").parquet(path)
+        stream = spark.readStream.schema(USER_COMMANDS).option("maxFilesPerTrigger", 1).parquet(path)
+        streaming_gate.run(stream, gate.USER_GATE, decide, str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination()
+
+    run(1, "first")
+    spark.createDataFrame([("d9", 1, model.START, "created")], LIFECYCLE).write.mode("append").parquet(marks)
+    run(2, "second")
+    found = {r["entity_id"]: r["reply_kind"] for r in streaming_gate.decisions(spark, str(tmp_path / "out")).collect()}
+    assert found == {"first": "CreatedFailed", "second": "Created"}
