@@ -7,6 +7,7 @@ import hashlib
 import os
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +20,8 @@ from ledgerfold.session import stored, work_path
 CACHE_SCHEMA = "digest binary, n_tokens bigint, version string"
 #: Chunks whose counts a worker remembers, and the longest that it does.
 MEMO, MEMO_CHARS = 700_000, 64
+#: Marks that may follow a word; no apostrophe, which tokenizers read with the letters.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 @dataclass(frozen=True)
@@ -39,7 +42,8 @@ _READY: dict = {}
 
 
 def _ready(tokenizer: Tokenizer):
-    """Per worker process: a function from texts to counts, and its memory of chunks."""
+    """Per worker process: functions from texts and from words to counts, and a memory of
+    chunks."""
     if tokenizer not in _READY:
         if tokenizer.path.endswith(".json"):
             os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the cores belong to the tasks
@@ -49,8 +53,19 @@ def _ready(tokenizer: Tokenizer):
             own.no_truncation()
             own.no_padding()
 
+            suffix = getattr(own.model, "end_of_word_suffix", None)
+            ends = np.zeros(own.get_vocab_size(), bool)
+            ends[[i for t, i in own.get_vocab().items() if suffix and t.endswith(suffix)]] = True
+
             def count(texts):
                 return [len(e.ids) for e in own.encode_batch_fast(texts, add_special_tokens=False)]
+
+            def count_words(texts):
+                """Counts of texts of letters alone, encoded as one text: a word's tokens
+                are those up to one with the mark of a word's end. None if a text turns out
+                to be more than one word for the tokenizer."""
+                last = np.flatnonzero(ends[own.encode_batch_fast([" ".join(texts)], add_special_tokens=False)[0].ids])
+                return np.diff(last, prepend=-1).tolist() if suffix and len(last) == len(texts) else None
         else:
             import sentencepiece
 
@@ -58,31 +73,42 @@ def _ready(tokenizer: Tokenizer):
 
             def count(texts):
                 return [len(ids) for ids in own.encode(texts, num_threads=1)]
-        _READY[tokenizer] = (count, {"": 0})
+
+            def count_words(texts):
+                return None
+        _READY[tokenizer] = (count, count_words, {})
     return _READY[tokenizer]
 
 
 def count_texts(texts: list[str], tokenizer: Tokenizer) -> list[int]:
     """Token counts without begin, end or added special tokens."""
-    count, memo = _ready(tokenizer)
+    count, count_words, memo = _ready(tokenizer)
     if not tokenizer.by_space:
         return count(texts) if texts else []
     if len(memo) > MEMO:
         memo.clear()
-        memo[""] = 0
-    rows = [text.replace("\n", " ").split(" ") for text in texts]
-    new = {c for row in rows for c in row if c not in memo}
-    # Letters and the full stop or comma after them are tokenized apart.
-    tails = {c for c in new if c[-1] in ".," and c[:-1].isalpha()}
-    bare = [c for c in {*(new - tails), ".", ",", *(c[:-1] for c in tails)} if c not in memo]
-    known = dict(zip(bare, count(bare))) if bare else {}
-    known.update({mark: memo[mark] for mark in ".," if mark in memo})
-    for c in tails:
-        known[c] = (known[c[:-1]] if c[:-1] in known else memo[c[:-1]]) + known[c[-1]]
-    memo.update((c, n) for c, n in known.items() if len(c) <= MEMO_CHARS)
-    if all(c in memo for c in new):
-        return [sum(map(memo.__getitem__, row)) for row in rows]
-    return [sum(memo[c] if c in memo else known[c] for c in row) for row in rows]
+    rows, totals, missing = [], [], set()
+    for text in texts:
+        row = text.replace("\n", " ").split(" ")
+        found = list(map(memo.get, row))
+        new = [c for c, n in zip(row, found) if n is None] if None in found else []
+        missing.update(new)
+        rows.append(new)
+        totals.append(sum(filter(None, found)))
+    # Letters and the marks behind them are tokenized apart.
+    cuts = {c: len(c.rstrip(MARKS)) for c in missing}
+    cuts = {c: n for c, n in cuts.items() if 0 < n < len(c) and c[:n].isalpha()}
+    parts = {c for c in missing if c not in cuts}
+    parts.update(part for c, n in cuts.items() for part in (c[:n], c[n:]))
+    known = {c: memo[c] for c in parts if c in memo}
+    letters = [c for c in parts if c not in known and c.isalpha()]
+    counts = count_words(letters) if letters else []
+    known.update(zip(letters, counts or []))
+    rest = [c for c in parts if c not in known]
+    known.update(zip(rest, count(rest)) if rest else ())
+    known.update([(c, known[c[:n]] + known[c[n:]]) for c, n in cuts.items()])
+    memo.update(known if max(map(len, known), default=0) <= MEMO_CHARS else {c: n for c, n in known.items() if len(c) <= MEMO_CHARS})
+    return [total + sum(map(known.__getitem__, row)) for total, row in zip(totals, rows)]
 
 
 def counter(tokenizer: Tokenizer):
