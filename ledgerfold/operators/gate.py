@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerfold.functions import validation
+from ledgerfold.functions.codecs import utc_micros
 from ledgerfold.operators import cells
 from ledgerfold.operators.cells import CellPlan
 from ledgerfold.operators.specs import DEPARTMENT_GATE, USER_GATE, GateSpec, Rule, Validator
@@ -140,17 +141,59 @@ def lifecycle_events(journal: DataFrame) -> DataFrame:
     return journal.filter(F.col("kind").isin("created", "removed")).select("entity_id", "seq_nr", "ts", "kind")
 
 
+# Lifecycle rows, and rows of the grid below, up to which departments are broadcast: about
+# 30 bytes a row.
+SMALL_LIFECYCLE, SMALL_GRID, GRID_CONF = 200_000, 400_000, "ledgerfold.lifecycle.rows"
+# Lifecycle rows of all departments in one slice of time, about.
+_PER_SLICE = 256
+
+
+def _department_grid(departments: DataFrame) -> tuple[DataFrame, tuple[float, ...]] | None:
+    """Small enough lifecycles as one row per (department, slice of time): the state the
+    slice begins with and the changes within it. None if they are too many."""
+    limit = int(departments.sparkSession.conf.get(GRID_CONF, str(SMALL_LIFECYCLE)))
+    marks = departments.select(
+        F.col("entity_id").alias("_dept"), "ts", utc_micros("ts").cast("double").alias("t"), "seq_nr", (F.col("kind") == "created").alias("here")
+    )
+    total, named = marks.agg(F.count("*"), F.count_distinct("_dept")).first()
+    slices = max(1, total // _PER_SLICE)
+    if total > limit or named * slices > SMALL_GRID:
+        return None
+    at = [n / slices for n in range(1, slices)]
+    splits = tuple(sorted(set(marks.stat.approxQuantile("t", at, 1 / (4 * slices))))) if at and total else ()
+    placed = cells.with_bucket(marks, F.col("t"), splits, "_slice")
+    change = F.struct("ts", "seq_nr", "here")
+    inside = placed.groupBy("_dept", "_slice").agg(F.array_sort(F.collect_list(change)).alias("_changes"))
+    every = placed.select("_dept").distinct().select("_dept", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(len(splits)).cast("bigint"))).alias("_slice"))
+    ahead = Window.partitionBy("_dept").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    grid = every.join(inside, ["_dept", "_slice"], "left")
+    last = F.last(F.element_at("_changes", -1)["here"], ignorenulls=True).over(ahead)
+    return grid.select("_dept", "_slice", "_changes", F.coalesce(last, F.lit(False)).alias("_began")), splits
+
+
 def with_department_exists(commands: DataFrame, departments: DataFrame, kinds: Sequence[str] = ("create", "changeDepartment"),
                            rows: int | None = None) -> DataFrame:
     """Adds ``department_exists``: was the referenced department there at command time?
 
-    An as-of join as one union and a running scan per department: the lifecycle rows and
-    the commands meet in time order. Few departments take all commands, so the scan is
-    cut into cells like any hot key. Commands that need no lookup pass by it.
-    ``departments`` is the output of ``lifecycle_events``.
+    ``departments`` is the output of ``lifecycle_events``. Where they are few, checked by a
+    count, they are sent to the commands: each command finds its slice of time by binary
+    search and looks at the changes in it, and nothing is shuffled. Beyond that the lookup
+    is one union and a running scan per department: lifecycle rows and commands meet in
+    time order, and departments that take many commands are cut into cells like any hot
+    key. Commands that need no lookup pass by either.
     """
     reference = F.col("department.id")
     asks = F.coalesce(F.col("kind").isin(list(kinds)) & reference.isNotNull(), F.lit(False))
+    grid = _department_grid(departments) if rows is None else None
+    if grid is not None:
+        known, splits = grid
+        sliced = cells.with_bucket(commands.withColumn("_dept", F.when(asks, reference)), utc_micros("cmd_ts"), splits, "_slice")
+        found = sliced.join(F.broadcast(known), ["_dept", "_slice"], "left")
+        # At the same instant the lifecycle goes first.
+        before = F.filter("_changes", lambda c: c["ts"] <= F.col("cmd_ts"))
+        seen = F.try_element_at(before, F.lit(-1))["here"]
+        exists = F.when(F.col("_dept").isNotNull(), F.coalesce(seen, F.col("_began"), F.lit(False)))
+        return found.select(*commands.columns, exists.alias("department_exists"))
     asking = commands.filter(asks).withColumn("_dept", reference)
     tie = (F.col("seq_nr") + _LIFECYCLE_TIE).alias("cmd_id")
     marks = departments.select(F.col("entity_id").alias("_dept"), F.col("ts").alias("cmd_ts"), tie, F.col("kind").alias("_mark"))
@@ -161,7 +204,7 @@ def with_department_exists(commands: DataFrame, departments: DataFrame, kinds: S
     answered = scanned.filter(F.col("_mark").isNull()).select(
         *commands.columns, F.coalesce(F.col("_last") == "created", F.lit(False)).alias("department_exists")
     )
-    if plan.hot:
+    if plan.cuts:
         # The gate that follows reads this more than once.
         answered = stored(answered, "answered")
     return answered.unionByName(commands.filter(~asks).withColumn("department_exists", F.lit(None).cast("boolean")))

@@ -73,6 +73,29 @@ def test_scan_by_sequence(spark):
         assert r["b"] == (f"{prefix}{before}" if before else None)
 
 
+@pytest.mark.parametrize("listed", [10_000, 3])
+def test_more_hot_keys_than_a_list_holds(spark, monkeypatch, listed):
+    """Also with a null key; the bound of a cell does not grow with the data."""
+    monkeypatch.setattr(cells, "MAX_HOT_KEYS", listed)
+    rows = [(None if k == 5 else f"k{k}", T0 + timedelta(seconds=(i * 37 + k) % 1000), k * 1000 + i, f"v{i}" if i % 3 == 0 else None) for k in range(12) for i in range(60)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    plan = cells.by_time(df, "k", "ts", "id", rows=20)
+    assert plan.every == (listed == 3) and plan.cuts and (plan.every or None in plan.hot)
+    placed = plan.apply(df)
+    assert placed.groupBy("k", CELL).count().agg(F.max("count")).first()[0] <= 45
+    out = cells.running_count(cells.running_last(placed, plan, {"before": F.col("v")}, before=True), plan, "number")
+    named = [("null" if r[0] is None else r[0], *r[1:]) for r in rows]
+    assert {r["id"]: (r["before"], r["number"]) for r in out.collect()} == {i: (w[0], w[2]) for i, w in _walk(named).items()}
+
+
+def test_more_than_ten_thousand_hot_keys(spark):
+    df = spark.range(33_000).select(F.concat(F.lit("k"), (F.col("id") % 11_000)).alias("entity_id"), (F.floor(F.col("id") / 11_000) + 1).alias("seq_nr"))
+    plan = cells.by_sequence(df, rows=2)
+    assert plan.every and not plan.hot
+    out = cells.running_count(plan.apply(df), plan, "n")
+    assert out.filter("n <> seq_nr").count() == 0
+
+
 def test_micros_ignores_session_zone(spark):
     df = spark.createDataFrame([(T0 + timedelta(minutes=m),) for m in range(0, 200, 7)], "ts timestamp_ntz")
     zone = spark.conf.get("spark.sql.session.timeZone")
