@@ -11,7 +11,7 @@ import os
 import time
 
 from ledgerfold.plans.catalog import QUERIES
-from ledgerfold.session import build_session
+from ledgerfold.session import build_session, release
 from ledgerfold.sources.tables import table
 
 HEADLINE = [
@@ -45,6 +45,7 @@ def main() -> None:
         "metric": "event_sourcing_queries_total", "value": total, "unit": "sec", "queries": times,
         "sf": os.path.basename(folder.rstrip("/")).removeprefix("sf"), "rows_per_sec": rates,
     }))
+    release(spark)
     spark.stop()
 
 

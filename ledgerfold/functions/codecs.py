@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SUGGEST_SUFFIX = "_sugg"
-TERM_SUFFIX = "_term"
 
 
 def variant_kind(variants: list[str]) -> Column:
@@ -27,10 +26,6 @@ def flatten_variants(events: DataFrame, variants: dict[str, list[str]], keep: li
     return events.select(*keep, variant_kind(list(variants)).alias("kind"), *payload)
 
 
-def is_removed(kind: Column) -> Column:
-    return kind == "removed"
-
-
 def utc_micros(ts: str) -> Column:
     """Microseconds since 1970 of a TIMESTAMP_NTZ column, whatever the session time zone."""
     day = F.datediff(F.col(ts).cast("date"), F.lit("1970-01-01").cast("date")).cast("bigint")
@@ -55,14 +50,6 @@ def suggest_name(name: str) -> str:
     return name + SUGGEST_SUFFIX
 
 
-def name_of_suggest(name: str) -> str:
-    return name.removesuffix(SUGGEST_SUFFIX)
-
-
-def term_suggestion_name(name: str) -> str:
-    return name + TERM_SUFFIX
-
-
 def document_json(view: DataFrame, suggest: list[str]) -> Column:
     """A view row as JSON, with a copy of every suggested property."""
     copies = [F.col(p).alias(suggest_name(p)) for p in suggest]

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-import regex
-
 WORD_BREAK = r"[^\p{L}\p{N}]+"
 
 
@@ -20,7 +19,7 @@ def tokens(text: Column) -> Column:
 
 def words_of(query: str) -> list[str]:
     """The words of a query given on the driver, cut as ``tokens`` cuts a column."""
-    return [w for w in regex.split(WORD_BREAK, query.lower()) if w]
+    return re.findall(r"[^\W_]+", query.lower())
 
 
 def _literal(words: Sequence[str]) -> Column:
@@ -43,8 +42,11 @@ def has_phrase(words: Column, terms: Sequence[str]) -> Column:
     return F.contains(spaced, F.lit(" " + " ".join(terms) + " "))
 
 
-def has_prefix(words: Column, prefix: str) -> Column:
-    return F.exists(words, lambda w: F.startswith(w, F.lit(prefix.lower())))
+def has_prefix(words: Column, terms: Sequence[str]) -> Column:
+    """The terms side by side, the last as the beginning of a word."""
+    if not terms:
+        return F.lit(False)
+    return F.contains(F.concat(F.lit(" "), F.array_join(words, " ")), F.lit(" " + " ".join(terms)))
 
 
 def only(words: Column, terms: Sequence[str]) -> Column:

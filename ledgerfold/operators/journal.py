@@ -48,6 +48,12 @@ def since(journal: DataFrame, bucket: str) -> DataFrame:
     return journal.filter(F.col("timebucket") >= bucket)
 
 
+def after(journal: DataFrame, ts: str) -> DataFrame:
+    """Events later than an instant; the bucket predicate prunes a stored journal."""
+    at = F.lit(ts).cast("timestamp_ntz")
+    return since(journal.filter(F.col("ts") > at), f"{ts[:4]}{ts[5:7]}{ts[8:10]}T{ts[11:13]}:00")
+
+
 def envelopes(journal: DataFrame) -> DataFrame:
     """Offset and creation time of every event."""
     return journal.select("entity_id", F.col("seq_nr").alias("offset"), F.col("ts").alias("created_at"))

@@ -22,6 +22,9 @@ DEPARTMENT_FIELDS = ("id", "name", "description")
 SUGGESTED = ("username", "email")
 
 STREAM_PAGE = 20
+# Rows ahead of a page up to which every task keeps them all, and rows of a page that are
+# broadcast to fetch the rest of their columns.
+DEEP, BROADCAST_PAGE = 10_000, 10_000
 SUGGESTIONS = 5
 K1, B = 1.2, 0.75
 
@@ -37,22 +40,18 @@ def find_all(view: DataFrame, limit: int | None = None) -> DataFrame:
 
 def matching(view: DataFrame, query: str | None, fields: Sequence[str] = USER_FIELDS, mode: str = "any") -> DataFrame:
     """Rows whose fields match. ``mode``: ``any`` term in any field, ``all`` terms over
-    the fields together, ``phrase`` within one field, ``prefix`` of a word. A blank
-    query matches all rows."""
+    the fields together, ``phrase`` within one field, ``prefix`` the same with the last
+    word begun. A blank query matches all rows."""
     wanted = query_or_none(query)
     if wanted is None:
         return view
     terms = text.words_of(wanted)
-    if mode == "phrase":
-        return view.filter(reduce(lambda a, b: a | b, [text.has_phrase(text.tokens(F.col(f)), terms) for f in fields]))
+    if mode in ("phrase", "prefix"):
+        test = text.has_phrase if mode == "phrase" else text.has_prefix
+        return view.filter(reduce(lambda a, b: a | b, [test(text.tokens(F.col(f)), terms) for f in fields]))
     # A word never crosses two fields, so they are cut into words together.
     words = text.tokens(F.concat_ws(" ", *fields))
-    tests = {
-        "any": lambda: text.has_any(words, terms),
-        "all": lambda: text.has_all(words, terms),
-        "prefix": lambda: text.has_prefix(words, wanted.strip()),
-    }
-    return view.filter(tests[mode]())
+    return view.filter({"any": text.has_any, "all": text.has_all}[mode](words, terms))
 
 
 def _order(sorts: Iterable[tuple[str, bool]], tie: str = "id") -> list[Column]:
@@ -61,11 +60,22 @@ def _order(sorts: Iterable[tuple[str, bool]], tie: str = "id") -> list[Column]:
     return [*keys, F.col(tie).asc()]
 
 
-def page_of(hits: DataFrame, page: int, page_size: int, sorts: Iterable[tuple[str, bool]] = ()) -> DataFrame:
-    """Page 0, 1, ... of the hits: a bounded top-k per task, no full sort."""
+def _page(hits: DataFrame, order: list[Column], page: int, page_size: int, deep: int) -> DataFrame:
     if page_size <= 0:
         return hits.limit(0)
-    return hits.orderBy(*_order(sorts)).offset(page * page_size).limit(page_size)
+    first = page * page_size
+    if first + page_size <= deep:
+        return hits.orderBy(*order).offset(first).limit(page_size)
+    ranked = cells.global_rank(hits, order, "_position")
+    wanted = ranked.filter((F.col("_position") >= first) & (F.col("_position") < first + page_size))
+    return wanted.orderBy("_position").drop("_position")
+
+
+def page_of(hits: DataFrame, page: int, page_size: int, sorts: Iterable[tuple[str, bool]] = (), deep: int = DEEP) -> DataFrame:
+    """Page 0, 1, ... of the hits. A page near the front is a bounded top-k per task; one
+    beyond ``deep`` rows comes from a range-partitioned sort, so that no task keeps all
+    the rows ahead of it. The rows are the same."""
+    return _page(hits, _order(sorts), page, page_size, deep)
 
 
 def hit_count(hits: DataFrame) -> DataFrame:
@@ -154,8 +164,8 @@ def relevant(view: DataFrame, query: str, page: int, page_size: int, fields: Seq
     texts = view.select("id", F.concat_ws(" ", *fields).alias("text"))
     scored = ranked(texts, query, key="id").withColumn("score", F.round("score", 6))
     best = [F.col("score").desc(), F.col("id").asc()]
-    top = scored.orderBy(*best).offset(page * page_size).limit(page_size)
-    return view.join(F.broadcast(top), "id").orderBy(*best)
+    top = _page(scored, best, page, page_size, DEEP)
+    return view.join(F.broadcast(top) if page_size <= BROADCAST_PAGE else top, "id").orderBy(*best)
 
 
 def dangling(users: DataFrame, departments: DataFrame) -> DataFrame:

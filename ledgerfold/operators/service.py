@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerfold.functions.codecs import redact_secret, with_default_id
 from ledgerfold.operators import admission, gate
 from ledgerfold.operators.replies import replies
+from ledgerfold.session import stored
 
 
 def handle(commands: DataFrame, entity: str = "user", surface: str = "grpc", departments: DataFrame | None = None,
@@ -25,5 +26,7 @@ def handle(commands: DataFrame, entity: str = "user", surface: str = "grpc", dep
         decided, spec = gate.user_gate(passing, departments, carried), gate.USER_GATE
     else:
         decided, spec = gate.department_gate(passing, carried), gate.DEPARTMENT_GATE
+    # Written once: events and replies are both read from it.
+    decided = stored(decided, "decisions")
     answers = replies(decided, entity, surface).unionByName(replies(admission.rejected(checked), entity, surface))
     return gate.events(decided, spec), answers

@@ -93,6 +93,24 @@ def snapshots(journal: DataFrame, spec: EntitySpec, every: int = 100, keep: int
     return latest.select("entity_id", "s.*")
 
 
+def checkpoint(journal: DataFrame, spec: EntitySpec, ts: str, plan: CellPlan | None = None) -> DataFrame:
+    """Every entity as it is at an instant, absent ones included: a snapshot from which a
+    recovery needs no event of that instant or before."""
+    upto = journal.filter(F.col("ts") <= F.lit(ts).cast("timestamp_ntz"))
+    return _folded(upto, spec, plan).select(
+        "entity_id", F.col("last_seq").alias("seq_nr"), F.lit(ts).cast("timestamp_ntz").alias("ts"), "present", *[f.name for f in spec.fields]
+    )
+
+
+def resume(taken: DataFrame, tail: DataFrame, spec: EntitySpec, secrets: bool = False) -> DataFrame:
+    """State from a checkpoint and the events after it. Of a stored journal only the
+    buckets of the tail are read."""
+    names = [f.name for f in spec.fields]
+    kind = F.when(F.col("present"), F.lit(spec.created)).otherwise(F.lit(spec.removed))
+    leading = taken.select("entity_id", "seq_nr", "ts", kind.alias("kind"), *names)
+    return state_fold(leading.unionByName(tail.select("entity_id", "seq_nr", "ts", "kind", *names)), spec, secrets)
+
+
 def recover(taken: DataFrame, journal: DataFrame, spec: EntitySpec, secrets: bool = False,
             plan: CellPlan | None = None) -> DataFrame:
     """State from the latest snapshot of each entity and the events after it.

@@ -19,15 +19,4 @@ DEPARTMENT_COMMANDS = (
     "cmd_id bigint, cmd_ts timestamp_ntz, entity_id string, kind string, name string, description string, "
     "subject string, expires_at timestamp_ntz"
 )
-REPLIES = "cmd_id bigint, entity_id string, reply_kind string, ok boolean, message string"
 USER_VIEW = f"id string, username string, email string, address {ADDRESS}, department {DEPARTMENT_REF}"
-DEPARTMENT_VIEW = "id string, name string, description string"
-RECORDS = "topic string, key string, value string"
-
-# Nested oneof forms of the same events, as they arrive on the wire.
-USER_EVENT_ONEOF = (
-    f"entity_id string, ts timestamp_ntz, created struct<username:string,email:string,pass:string,address:{ADDRESS},"
-    f"department:{DEPARTMENT_REF}>, removed struct<at:string>, addressUpdated struct<address:{ADDRESS}>, "
-    f"passwordUpdated struct<pass:string>, emailUpdated struct<email:string>, "
-    f"departmentUpdated struct<department:{DEPARTMENT_REF}>"
-)

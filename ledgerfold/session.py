@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -36,14 +37,17 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     return builder.getOrCreate()
 
 
+_MADE: dict[str, list[str]] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor sees: ``spark.checkpoint.dir`` where the cluster
-    names one. Only in local mode, where it is unset, a new folder is made and kept in
-    the session for the next call."""
+    """The folder every executor sees: ``spark.checkpoint.dir`` where the cluster names
+    one. Only if all runs in one process (``local`` or ``local[...]``) and it is unset, a
+    new folder is made and kept in the session for the next call."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
         folder = spark.conf.get("ledgerfold.work.dir", None)
-    if not folder and not spark.sparkContext.master.startswith("local"):
+    if not folder and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not folder:
         folder = tempfile.mkdtemp(prefix="ledgerfold-")
@@ -52,8 +56,21 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def work_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, until ``release``."""
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    _MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes what this application has put below the shared folder, once no frame that
+    reads it is needed any more. The number of folders deleted."""
+    paths = _MADE.pop(spark.sparkContext.applicationId, [])
+    deleted = 0
+    for path in paths:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        deleted += place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    return deleted
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:

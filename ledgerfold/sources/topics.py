@@ -21,13 +21,6 @@ def records(journal: DataFrame, spec: EntitySpec, topic: str) -> DataFrame:
     return journal.select(F.lit(topic).alias("topic"), F.col("entity_id").alias("key"), value.alias("value"))
 
 
-def write_batch(rows: DataFrame, sink: str, **options: str) -> None:
-    """To Kafka (``sink='kafka'`` with its options, where the connector is installed) or
-    the same rows to files of another format."""
-    writer = rows.write.format(sink).options(**options)
-    writer.save() if sink == "kafka" else writer.mode("append").save()
-
-
 def write_stream(rows: DataFrame, checkpoint: str, sink: str = "parquet", name: str | None = None, trigger: dict | None = None,
                  **options: str) -> StreamingQuery:
     writer = rows.writeStream.format(sink).outputMode("append").options(**options).option("checkpointLocation", checkpoint)

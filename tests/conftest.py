@@ -7,7 +7,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from ledgerfold.operators.cells import CELL_ROWS_CONF  # noqa: E402
-from ledgerfold.session import build_session  # noqa: E402
+from ledgerfold.session import build_session, release  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -15,6 +15,7 @@ def spark():
     session = build_session("local[8]", 4, **{"spark.driver.memory": "8g"})
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    release(session)
     session.stop()
 
 
