@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from ledgerfold.functions import codecs, validation
 from ledgerfold.operators import admission, fold, gate, journal, replies, search, service, state
+from ledgerfold.operators.cells import uncut
 from ledgerfold.operators.specs import DEPARTMENT, USER
 from ledgerfold.schemas import DEPARTMENT_JOURNAL, USER_VIEW
 from ledgerfold.session import stored, work_path
 from ledgerfold.sources import derived, topics
-from ledgerfold.sources.store import ViewStore, read_journal, stream_journal, write_journal
-from ledgerfold.sources.tables import table, table_stream
+from ledgerfold.sources.store import ViewSearch, ViewStore, read_journal, read_snapshots, write_journal, write_snapshots
+from ledgerfold.sources.tables import SCHEMAS, stream_files, table, write_in_time_order
 from ledgerfold.streaming import gate as streaming_gate
 from ledgerfold.streaming import views as streaming_views
 
@@ -25,6 +26,7 @@ CUT = "2024-01-16 00:00:00"
 SNAPSHOT_EVERY = 20
 RANK_QUERY = "the par und"
 ALL_QUERY = "the and with"
+PHRASE = "of the"
 
 
 def query(function: Query) -> Query:
@@ -203,6 +205,40 @@ def union_of_tags(spark, folder):
     return _events(journal.union_of_tags(_user_journal(spark, folder), USER))
 
 
+@query
+def text_id_tags(spark, folder):
+    """Tags of text ids, as the hash gives them and with a shard for every id."""
+    ids, tag = journal.entity_ids(derived.text_id_journal(spark, folder)), journal.shard_tag
+    return ids.select("entity_id", tag(F.col("entity_id"), USER.base_tag).alias("tag"), tag(F.col("entity_id"), USER.base_tag, safe=True).alias("safe_tag"))
+
+
+def _stored_text_ids(spark: SparkSession, folder: str, safe: bool) -> DataFrame:
+    path = work_path(spark, "text-ids")
+    write_journal(journal.with_tags(derived.text_id_journal(spark, folder), USER, safe=safe), path, partitions=("tag",))
+    return read_journal(spark, path)
+
+
+@query
+def text_id_union(spark, folder):
+    """All shards of a stored journal together are the journal."""
+    return journal.union_of_tags(_stored_text_ids(spark, folder, False), USER).select("entity_id", "seq_nr", "tag")
+
+
+@query
+def text_id_lookup(spark, folder):
+    """Single entities of a journal stored with safe tags."""
+    rows = _stored_text_ids(spark, folder, True)
+    found = [journal.by_entity(rows, USER, i) for i in ("polygenelubricants", "user id 42", "user id 1")]
+    return found[0].union(found[1]).union(found[2]).select("entity_id", "seq_nr", "tag")
+
+
+@query
+def tag_counts(spark, folder):
+    """Every tag of users, with its events."""
+    events = _user_journal(spark, folder).groupBy("tag").count()
+    return journal.tags_of(spark, USER).join(events, "tag", "left").select("tag", F.coalesce("count", F.lit(0)).alias("events"))
+
+
 # Folds
 
 
@@ -227,12 +263,17 @@ def incremental_view(spark, folder):
 
 @query
 def merged_view(spark, folder):
-    """The view of the first half, with the rows touched later replaced or deleted."""
+    """The stored view of the first half, with the rows that the second half touches
+    replaced or deleted. Of these rows only what the first half left is read again."""
     rows = _user_journal(spark, folder)
     early = F.col("ts") < F.lit(CUT).cast("timestamp_ntz")
-    touched = rows.filter(~early).select(F.col("entity_id").alias("id")).distinct()
-    changed = touched.join(fold.view_fold(rows, USER), "id", "left").withColumn("deleted", F.col("username").isNull())
-    return _user_rows(fold.merge_view(fold.view_fold(rows.filter(early), USER), changed))
+    first = stored(fold.summarise(rows.filter(early), USER), "first-half")
+    second = fold.summarise(rows.filter(~early), USER)
+    touched = first.join(second.select("entity_id"), "entity_id", "left_semi").unionByName(second)
+    changed = fold.merge(touched, USER)
+    gone = changed.filter(F.col("last_seq") <= F.col("removed_seq")).select(F.col("entity_id").alias("id"))
+    delta = fold.finish(changed, USER).withColumn("deleted", F.lit(False)).unionByName(gone.withColumn("deleted", F.lit(True)), allowMissingColumns=True)
+    return _user_rows(fold.merge_view(fold.finish(first, USER), delta))
 
 
 @query
@@ -280,6 +321,17 @@ def recover_from_snapshot(spark, folder):
     return _user_rows(state.recover(taken, rows, USER, plan=plan), "last_seq")
 
 
+@query
+def recover_tail(spark, folder):
+    """A checkpoint of all entities and the buckets of a stored journal after it."""
+    path = work_path(spark, "recovery")
+    rows, plan = _planned(spark, folder)
+    write_journal(uncut(rows).drop("event_id"), f"{path}/journal")
+    write_snapshots(state.checkpoint(rows, USER, CUT, plan), f"{path}/snapshots", 1, USER, keep=1)
+    tail = journal.after(read_journal(spark, f"{path}/journal"), CUT)
+    return _user_rows(state.resume(read_snapshots(spark, f"{path}/snapshots", USER), tail, USER), "last_seq")
+
+
 # Validation, admission, gates
 
 
@@ -291,22 +343,27 @@ def validate_address(spark, folder):
 
 @query
 def validate_fields(spark, folder):
-    """Field rules over requests whose texts were cut short by the event id."""
+    """Field rules over requests some of whose texts break one."""
     rows, event = _user_commands(spark, folder), F.col("cmd_id")
-    cut = rows.select(
+    sent = rows.select(
         "cmd_id", "kind",
-        F.substring("username", F.lit(1), (event % 7 + 1).cast("int")).alias("username"),
+        F.when(event % 7 == 0, "ab").otherwise(F.col("username")).alias("username"),
         F.when(event % 5 == 0, F.replace("email", F.lit("@"), F.lit("."))).otherwise(F.col("email")).alias("email"),
-        F.substring("pass", F.lit(1), (event % 8 + 1).cast("int")).alias("pass"),
-        F.struct(F.substring("address.country", F.lit(1), (event % 3).cast("int")).alias("country")).alias("address"),
+        F.when(event % 8 == 0, "abc").otherwise(F.col("pass")).alias("pass"),
+        F.struct(F.when(event % 3 == 0, "U").otherwise(F.col("address.country")).alias("country")).alias("address"),
     )
-    return cut.select("cmd_id", validation.joined(admission.rule_errors(admission.RULES["user"])).alias("errors"))
+    return sent.select("cmd_id", validation.joined(admission.rule_errors(admission.RULES["user"])).alias("errors"))
+
+
+def _mixed(spark: SparkSession, folder: str) -> DataFrame:
+    return derived.mixed_commands(table(spark, folder, "events"))
 
 
 @query
 def authz_rejects(spark, folder):
-    checked = admission.admit(_user_commands(spark, folder), "user", "grpc")
-    return admission.rejected(checked).select("cmd_id", "entity_id", "kind", "reply_kind")
+    """Commands turned away ahead of the entity, and why."""
+    checked = admission.admit(codecs.with_default_id(_mixed(spark, folder), always_username=True), "user", "grpc")
+    return admission.rejected(checked).select("cmd_id", "entity_id", "kind", "reply_kind", validation.joined(F.col("errors")).alias("errors"))
 
 
 @query
@@ -365,18 +422,15 @@ def reply_messages_rest(spark, folder):
 
 @query
 def service_replies(spark, folder):
-    """All checks in a row: caller, fields, gate; one reply per command. At this
-    surface the user name is the id."""
-    commands = _user_commands(spark, folder).withColumn("entity_id", F.col("username"))
-    _, answers = service.handle(commands, departments=_lifecycle(spark, folder))
+    """All checks in a row: caller, fields, gate; one reply per command."""
+    _, answers = service.handle(_mixed(spark, folder), departments=_lifecycle(spark, folder))
     return answers
 
 
 @query
 def secured_events(spark, folder):
     """Events of the admitted commands, with a digest in place of the password."""
-    commands = _user_commands(spark, folder).withColumn("entity_id", F.col("username"))
-    events, _ = service.handle(commands, departments=_lifecycle(spark, folder), salt="pepper")
+    events, _ = service.handle(_mixed(spark, folder), departments=_lifecycle(spark, folder), salt="pepper")
     return events.select("entity_id", "seq_nr", "kind", "email", "pass")
 
 
@@ -406,10 +460,18 @@ def get_department(spark, folder):
 
 @query
 def search_all_page(spark, folder):
-    items, _ = search.search(_user_view(spark, folder), None, 0, 10, [("username", True)])
+    """A blank query is no query; the order comes as a name and a direction."""
+    items, _ = ViewSearch(_user_view(spark, folder)).search("  ", 0, 10, [codecs.sort_of("username", "ASC")])
     return _user_rows(items)
 
 
+@query
+def search_far_page(spark, folder):
+    """A page beyond what tasks keep for the front ones."""
+    hits = search.matching(derived.customer_view(spark, folder), None)
+    return _user_rows(search.page_of(hits, 6, 20, [("address.city", False)], deep=50))
+
+
 @query
 def search_terms(spark, folder):
     return _user_rows(search.matching(derived.customer_view(spark, folder), "machinery d3"))
@@ -422,7 +484,15 @@ def search_all_terms(spark, folder):
 
 @query
 def search_phrase(spark, folder):
-    return _user_rows(search.matching(derived.customer_view(spark, folder), "United States", mode="phrase"))
+    """Terms side by side in one field; the same terms the other way round match nothing."""
+    view = derived.customer_view(spark, folder)
+    there = search.matching(view, "city 7", mode="phrase")
+    return _user_rows(there.unionByName(search.matching(view, "7 city", mode="phrase")))
+
+
+@query
+def search_phrase_documents(spark, folder):
+    return search.matching(table(spark, folder, "documents"), PHRASE, fields=("text",), mode="phrase").select("doc_id")
 
 
 @query
@@ -430,6 +500,11 @@ def search_prefix(spark, folder):
     return _user_rows(search.matching(derived.customer_view(spark, folder), "mach", mode="prefix"))
 
 
+@query
+def search_phrase_prefix(spark, folder):
+    return _user_rows(search.matching(derived.customer_view(spark, folder), "city 1", mode="prefix"))
+
+
 @query
 def search_field(spark, folder):
     return _user_rows(search.matching(derived.customer_view(spark, folder), "12", fields=("address.number",)))
@@ -471,6 +546,15 @@ def suggest_users(spark, folder):
     return search.suggest(derived.customer_view(spark, folder), "C").select("property", "rank", "text", "score", "freq")
 
 
+@query
+def suggest_lists(spark, folder):
+    """One list per property: completions of a prefix, and none of a missing one."""
+    view = derived.customer_view(spark, folder)
+    lists = [ViewSearch(view).suggest(codecs.prefix_or_empty(p)).withColumn("prefix", F.lit(p or "")) for p in ("c1", None)]
+    rows = lists[0].unionByName(lists[1])
+    return rows.select("prefix", "property", F.array_join("suggestions.text", ",").alias("texts"))
+
+
 @query
 def bm25_documents(spark, folder):
     scored = search.ranked(table(spark, folder, "documents"), RANK_QUERY)
@@ -549,42 +633,80 @@ def stored_view(spark, folder):
     return _user_rows(store.all())
 
 
+def _event_stream(spark: SparkSession, folder: str, path: str) -> DataFrame:
+    """The events as a stream of eight files and more, one for each micro-batch."""
+    write_in_time_order(table(spark, folder, "events"), f"{path}/events", "ts", "user_id")
+    return stream_files(spark, f"{path}/events", SCHEMAS["events"])
+
+
+def _department_stream(spark: SparkSession, folder: str, path: str) -> DataFrame:
+    write_in_time_order(derived.department_journal(spark, folder), f"{path}/journal", "ts", "entity_id")
+    return stream_files(spark, f"{path}/journal", DEPARTMENT_JOURNAL)
+
+
 @query
 def stream_user_view(spark, folder):
     path = work_path(spark, "user-view")
     store = ViewStore(spark, f"{path}/view", USER)
-    stream = derived.user_journal_stream(table_stream(spark, folder, "events"))
-    streaming_views.build_view(stream, store, f"{path}/checkpoint").awaitTermination()
+    stream = derived.user_journal_stream(_event_stream(spark, folder, path))
+    streaming_views.build_view(stream, store, f"{path}/checkpoint", compact_every=3).awaitTermination()
+    return _user_rows(store.all())
+
+
+@query
+def stream_resumed_view(spark, folder):
+    """The stream stops after half of its files and goes on where it was."""
+    path = work_path(spark, "resumed-view")
+    store = ViewStore(spark, f"{path}/view", USER)
+    events = table(spark, folder, "events")
+    late = F.col("ts") >= F.lit(CUT).cast("timestamp_ntz")
+    for part in (events.filter(~late), events.filter(late)):
+        write_in_time_order(part, f"{path}/events", "ts", "user_id", 4)
+        stream = derived.user_journal_stream(stream_files(spark, f"{path}/events", SCHEMAS["events"]))
+        streaming_views.build_view(stream, store, f"{path}/checkpoint").awaitTermination()
     return _user_rows(store.all())
 
 
 @query
 def stream_department_view(spark, folder):
-    """The department journal is written out first: its numbers follow time, not ids."""
     path = work_path(spark, "department-view")
-    write_journal(derived.department_journal(spark, folder), f"{path}/journal", partitions=("tag",))
     store = ViewStore(spark, f"{path}/view", DEPARTMENT)
-    stream = stream_journal(spark, f"{path}/journal", DEPARTMENT_JOURNAL)
-    streaming_views.build_view(stream, store, f"{path}/checkpoint").awaitTermination()
+    streaming_views.build_view(_department_stream(spark, folder, path), store, f"{path}/checkpoint").awaitTermination()
     return store.all()
 
 
+def _republished(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("topic string, key string, value string").parquet(f"{path}/records")
+
+
 @query
 def stream_republish(spark, folder):
     path = work_path(spark, "republish")
-    stream = derived.user_journal_stream(table_stream(spark, folder, "events"))
+    stream = derived.user_journal_stream(_event_stream(spark, folder, path))
     streaming_views.republish(stream, USER, topics.USER_TOPIC, f"{path}/checkpoint", path=f"{path}/records").awaitTermination()
-    return spark.read.schema("topic string, key string, value string").parquet(f"{path}/records")
+    return _republished(spark, path)
+
+
+@query
+def stream_republish_departments(spark, folder):
+    path = work_path(spark, "republish-departments")
+    stream = _department_stream(spark, folder, path)
+    streaming_views.republish(stream, DEPARTMENT, topics.DEPARTMENT_TOPIC, f"{path}/checkpoint", path=f"{path}/records").awaitTermination()
+    return _republished(spark, path)
 
 
 @query
 def stream_gate(spark, folder):
+    """The departments are read anew for every batch of commands."""
     path = work_path(spark, "gate")
-    commands = derived.user_commands(table_stream(spark, folder, "events"))
-    departments = _lifecycle(spark, folder)
-    running = streaming_gate.run(
-        commands, gate.USER_GATE, lambda batch, carried: gate.user_gate(batch, departments, carried), path, f"{path}/checkpoint"
-    )
-    running.awaitTermination()
+    commands = derived.user_commands(_event_stream(spark, folder, path))
+    journal_rows = gate.events(_department_decisions(spark, folder), gate.DEPARTMENT_GATE)
+    journal_rows.write.parquet(f"{path}/departments")
+
+    def decide(batch: DataFrame, carried: DataFrame) -> DataFrame:
+        departments = spark.read.schema(journal_rows.schema).parquet(f"{path}/departments")
+        return gate.user_gate(batch, gate.lifecycle_events(departments), carried)
+
+    streaming_gate.run(commands, gate.USER_GATE, decide, path, f"{path}/checkpoint", compact_every=3).awaitTermination()
     rows = gate.events(streaming_gate.decisions(spark, path), gate.USER_GATE)
     return rows.select("entity_id", "seq_nr", _stamp("ts"), "kind", "username", "email", *_address(), _department())

@@ -3,7 +3,7 @@ windows and joins, without cells, partial folds or carried state."""
 
 from __future__ import annotations
 
-from ledgerfold.plans.catalog import ALL_QUERY, CUT, RANK_QUERY, SNAPSHOT_EVERY
+from ledgerfold.plans.catalog import ALL_QUERY, CUT, PHRASE, RANK_QUERY, SNAPSHOT_EVERY
 
 STAMP = "'%Y-%m-%d %H:%M:%S.%f'"
 ADDRESS = "address.street AS street, address.number AS number, address.zip AS zip, address.city AS city, " \
@@ -11,11 +11,13 @@ ADDRESS = "address.street AS street, address.number AS number, address.zip AS zi
 USER_COLUMNS = f"id, username, email, {ADDRESS}, department_id"
 
 
-def _tag(column: str, base: str) -> str:
-    codes = f"list_transform(string_split({column}, ''), lambda c: unicode(c)::BIGINT)"
+def _tag(column: str, base: str, lowest: int = -2) -> str:
+    """Over UTF-16 units; ``lowest`` is the shard of the hash without an absolute value."""
+    units = "CASE WHEN unicode(c) < 65536 THEN [unicode(c)::BIGINT] ELSE [55296 + (unicode(c) - 65536) // 1024, 56320 + (unicode(c) - 65536) % 1024] END"
+    codes = f"flatten(list_transform(string_split({column}, ''), lambda c: {units}))"
     rolled = f"list_reduce(list_prepend(0::BIGINT, {codes}), lambda a, u: (a * 31 + u) % 4294967296)"
     signed = f"CASE WHEN {rolled} > 2147483647 THEN {rolled} - 4294967296 ELSE {rolled} END"
-    return f"'{base}' || (abs({signed}) % 3)::VARCHAR"
+    return f"'{base}' || CASE WHEN {rolled} = 2147483648 THEN {lowest} ELSE abs({signed}) % 3 END::VARCHAR"
 
 
 def _country(event: str) -> str:
@@ -138,6 +140,17 @@ COMMANDS = f"""uc AS (
          'd' || (event_id % 7 + 1) AS department_id, event_id % 13 <> 0 AS known
   FROM events)"""
 
+MIXED = COMMANDS.replace("uc AS (", "plain AS (", 1) + """,
+uc AS (
+  SELECT cmd_id, ts, CASE WHEN kind <> 'create' THEN username ELSE name END AS entity_id,
+         CASE WHEN kind = 'changeEmail' AND cmd_id % 5 = 0 THEN 'changePassword' WHEN kind = 'changeAddress' AND cmd_id % 4 = 0 THEN 'get' ELSE kind END AS kind,
+         name AS username, CASE WHEN cmd_id % 19 = 0 THEN replace(email, '@', '.') ELSE email END AS email, address, department_id,
+         known AND cmd_id % 23 <> 0 AS known
+  FROM (SELECT *, CASE WHEN cmd_id % 17 = 0 THEN 'ab' ELSE username END AS name FROM plain) p)"""
+
+BROKEN = """concat_ws(', ', CASE WHEN kind = 'create' AND length(username) < 4 THEN 'username must have at least 4 characters' END,
+  CASE WHEN kind IN ('create', 'changeEmail') AND NOT contains(email, '@') THEN 'email must be an email address' END)"""
+
 ADDRESS_ERRORS = (
     "CASE WHEN NOT regexp_full_match(address.zip, '\\d{5}([-\\s]\\d{4})?') THEN ['Zip: ' || address.zip || ' is not valid'] ELSE [] END || "
     "CASE WHEN address.country NOT IN ('CA', 'UA', 'US', 'MX') THEN ['Country: ' || address.country || ' is not valid ISO country'] ELSE [] END"
@@ -150,8 +163,8 @@ seen AS (
   FROM uc ASOF LEFT JOIN marks ON uc.department_id = marks.dept AND uc.ts >= marks.mark_ts)"""
 
 
-def _user_decisions(condition: str = "true") -> str:
-    return f"""{DEPARTMENT_DECISIONS}, {COMMANDS}, {AS_OF},
+def _user_decisions(condition: str = "true", commands: str = COMMANDS) -> str:
+    return f"""{DEPARTMENT_DECISIONS}, {commands}, {AS_OF},
 checked AS (
   SELECT *, CASE WHEN kind IN ('create', 'changeAddress') THEN {ADDRESS_ERRORS} ELSE [] END
          || CASE WHEN kind IN ('create', 'changeDepartment') AND NOT department_exists
@@ -163,13 +176,13 @@ ud AS (
               ELSE CASE kind WHEN 'create' THEN 'AlreadyExists' WHEN 'changeEmail' THEN 'EmailChanged'
                    WHEN 'changeAddress' THEN CASE WHEN len(errs) > 0 THEN 'AddressChangedFailed' ELSE 'AddressChanged' END
                    WHEN 'changeDepartment' THEN CASE WHEN len(errs) > 0 THEN 'DepartmentChangedFailed' ELSE 'DepartmentChanged' END
-                   ELSE 'Removed' END END AS reply_kind
+                   WHEN 'changePassword' THEN 'PasswordChanged' WHEN 'get' THEN 'State' ELSE 'Removed' END END AS reply_kind
   FROM (SELECT *, coalesce(last_value(CASE WHEN kind = 'create' AND len(errs) = 0 THEN 'created' WHEN kind = 'remove' THEN 'removed' END
                     IGNORE NULLS) OVER (PARTITION BY entity_id ORDER BY ts, cmd_id
                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) = 'created', false) AS present FROM checked) b),
 decided AS (
   SELECT *, CASE reply_kind WHEN 'Created' THEN 'created' WHEN 'EmailChanged' THEN 'emailUpdated' WHEN 'AddressChanged' THEN 'addressUpdated'
-              WHEN 'DepartmentChanged' THEN 'departmentUpdated' WHEN 'Removed' THEN 'removed' END AS event_kind FROM ud),
+              WHEN 'DepartmentChanged' THEN 'departmentUpdated' WHEN 'PasswordChanged' THEN 'passwordUpdated' WHEN 'Removed' THEN 'removed' END AS event_kind FROM ud),
 ue AS (
   SELECT entity_id, row_number() OVER (PARTITION BY entity_id ORDER BY ts, cmd_id) AS seq_nr, ts, event_kind AS kind,
          CASE WHEN event_kind = 'created' THEN username END AS username,
@@ -181,11 +194,12 @@ ue AS (
 
 GRPC_MESSAGE = """CASE reply_kind WHEN 'Created' THEN 'User registered' WHEN 'Removed' THEN 'User removed' WHEN 'EmailChanged' THEN 'User email updated'
   WHEN 'AddressChanged' THEN 'User address updated' WHEN 'DepartmentChanged' THEN 'User department updated'
-  WHEN 'AlreadyExists' THEN 'User already exists' WHEN 'NotExists' THEN 'User not exists'
+  WHEN 'PasswordChanged' THEN 'User password updated' WHEN 'State' THEN ''
+  WHEN 'AlreadyExists' THEN 'User already exists' WHEN 'NotExists' THEN CASE WHEN kind = 'get' THEN 'NotExists' ELSE 'User not exists' END
   WHEN 'CreatedFailed' THEN 'User register error (' || errors || ')'
   WHEN 'AddressChangedFailed' THEN 'User address update error (' || errors || ')'
   WHEN 'DepartmentChangedFailed' THEN 'User department update error (' || errors || ')' END"""
-OK = "reply_kind IN ('Created', 'Removed', 'EmailChanged', 'AddressChanged', 'DepartmentChanged')"
+OK = "reply_kind IN ('Created', 'Removed', 'EmailChanged', 'PasswordChanged', 'AddressChanged', 'DepartmentChanged', 'State')"
 
 CV = """cv AS (
   SELECT c_custkey::VARCHAR AS id, c_name AS username, 'c' || c_custkey || '@' || lower(c_mktsegment) || '.com' AS email,
@@ -236,10 +250,10 @@ _DEPARTMENT_PAYLOAD = (
 _EVENT_COLUMNS = f"entity_id, seq_nr, strftime(ts, {STAMP}) AS ts, kind, username, email, {ADDRESS}, department_id"
 
 
-def _suggest(name: str) -> str:
+def _suggest(name: str, prefix: str = "c") -> str:
     return (
         f"SELECT '{name}' AS property, (row_number() OVER (ORDER BY {name}, id))::INTEGER AS rank, {name} AS text, 1.0::DOUBLE AS score, 1 AS freq "
-        f"FROM cv WHERE starts_with(lower({name}), 'c') QUALIFY rank <= 5"
+        f"FROM cv WHERE starts_with(lower({name}), '{prefix}') QUALIFY rank <= 5"
     )
 
 
@@ -263,8 +277,13 @@ def statements() -> dict[str, str]:
         "to_json({'id': id, 'username': username, 'email': email, 'address': address, 'department': CASE WHEN department_id IS NOT NULL "
         "THEN {'id': department_id} END, 'username_sugg': username, 'email_sugg': email})::VARCHAR"
     )
-    admitted = "kind IN ('create') OR known"
-    denied = f"SELECT cmd_id, username AS entity_id, 'Unauthenticated' AS reply_kind, false AS ok, 'Unauthenticated' AS message FROM uc WHERE NOT ({admitted})"
+    denied = "NOT known AND kind NOT IN ('create', 'get')"
+    admitted = f"NOT ({denied}) AND {BROKEN} = ''"
+    rejected = f"""SELECT *, CASE WHEN {denied} THEN 'Unauthenticated' ELSE 'Invalid' END AS reply_kind, CASE WHEN {denied} THEN '' ELSE {BROKEN} END AS errors
+  FROM uc WHERE NOT ({admitted})"""
+    mixed = f"WITH {_user_decisions(admitted, MIXED)}, rej AS ({rejected})"
+    text_ids = f"""ti AS (SELECT CASE WHEN user_id % 50 = 7 THEN 'polygenelubricants' WHEN user_id % 50 = 8 THEN chr(128512) || ' ' || user_id
+    ELSE 'user id ' || user_id END AS entity_id, event_id + 1 AS seq_nr FROM events)"""
     return {
         "journal_scan": f"WITH {UJ} SELECT {JOURNAL_COLUMNS} FROM uj",
         "department_journal_scan": f"WITH {DJ} SELECT entity_id, seq_nr, strftime(ts, {STAMP}) AS ts, kind, name, description, tag, timebucket FROM dj",
@@ -292,6 +311,11 @@ SELECT p AS projection, tag, strftime(m.ts, {STAMP}) AS ts, m.id AS entity_id, m
 FROM lasts JOIN (VALUES ('userView'), ('userKafka'), ('departmentView'), ('departmentKafka')) v(p) ON lower(tag[1]) = p[1]""",
         "time_buckets": f"WITH {UJ} SELECT tag, timebucket, count(*) AS events FROM uj GROUP BY tag, timebucket",
         "union_of_tags": f"WITH {UJ} SELECT {JOURNAL_COLUMNS} FROM uj",
+        "text_id_tags": f"WITH {text_ids} SELECT DISTINCT entity_id, {_tag('entity_id', 'UserEvent')} AS tag, {_tag('entity_id', 'UserEvent', 2)} AS safe_tag FROM ti",
+        "text_id_union": f"WITH {text_ids} SELECT entity_id, seq_nr, {_tag('entity_id', 'UserEvent')} AS tag FROM ti",
+        "text_id_lookup": f"""WITH {text_ids} SELECT entity_id, seq_nr, {_tag('entity_id', 'UserEvent', 2)} AS tag FROM ti
+  WHERE entity_id IN ('polygenelubricants', 'user id 42', 'user id 1')""",
+        "tag_counts": f"""WITH {UJ} SELECT 'UserEvent' || n AS tag, (SELECT count(*) FROM uj WHERE tag = 'UserEvent' || n) AS events FROM range(3) r(n)""",
         "user_view": view,
         "department_view": department_view,
         "incremental_view": view,
@@ -309,18 +333,19 @@ FROM eff GROUP BY entity_id HAVING arg_max(kind, seq_nr) FILTER (kind IN ('creat
 SELECT entity_id, seq_nr, present, username, email, {ADDRESS}, department_id FROM hist WHERE seq_nr % {SNAPSHOT_EVERY} = 0
 QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY seq_nr DESC) <= 2""",
         "recover_from_snapshot": state,
+        "recover_tail": state,
         "validate_address": f"WITH {COMMANDS} SELECT cmd_id, array_to_string({ADDRESS_ERRORS}, ', ') AS errors FROM uc",
-        "validate_fields": f"""WITH {COMMANDS}, cut AS (
-  SELECT cmd_id, kind, left(username, (cmd_id % 7 + 1)::INTEGER) AS username,
+        "validate_fields": f"""WITH {COMMANDS}, sent AS (
+  SELECT cmd_id, kind, CASE WHEN cmd_id % 7 = 0 THEN 'ab' ELSE username END AS username,
          CASE WHEN cmd_id % 5 = 0 THEN replace(email, '@', '.') ELSE email END AS email,
-         left('pass' || cmd_id, (cmd_id % 8 + 1)::INTEGER) AS pass, left(address.country, (cmd_id % 3)::INTEGER) AS country FROM uc)
+         CASE WHEN cmd_id % 8 = 0 THEN 'abc' ELSE 'pass' || cmd_id END AS pass, CASE WHEN cmd_id % 3 = 0 THEN 'U' ELSE address.country END AS country FROM uc)
 SELECT cmd_id, concat_ws(', ',
   CASE WHEN kind = 'create' AND length(username) < 4 THEN 'username must have at least 4 characters' END,
   CASE WHEN kind IN ('create', 'changeEmail') AND NOT contains(email, '@') THEN 'email must be an email address' END,
   CASE WHEN kind = 'create' AND length(pass) < 4 THEN 'pass must have at least 4 characters' END,
   CASE WHEN kind IN ('create', 'changeAddress') AND length(country) < 2 THEN 'address.country must have at least 2 characters' END) AS errors
-FROM cut""",
-        "authz_rejects": f"WITH {COMMANDS} SELECT cmd_id, entity_id, kind, 'Unauthenticated' AS reply_kind FROM uc WHERE NOT known AND kind <> 'create'",
+FROM sent""",
+        "authz_rejects": f"{mixed} SELECT cmd_id, entity_id, kind, reply_kind, errors FROM rej",
         "dept_exists_as_of": f"WITH {DEPARTMENT_DECISIONS}, {COMMANDS}, {AS_OF} SELECT cmd_id, kind, department_id, department_exists FROM seen",
         "department_gate_events": f"WITH {DEPARTMENT_DECISIONS} SELECT entity_id, seq_nr, strftime(ts, {STAMP}) AS ts, kind, name, description FROM de",
         "department_gate_replies": f"""WITH {DEPARTMENT_DECISIONS}
@@ -340,12 +365,13 @@ SELECT cmd_id, entity_id, found, {ADDRESS}, CASE WHEN found THEN n END AS userna
         "reply_messages_rest": f"""{decisions} SELECT cmd_id, entity_id, reply_kind, {OK} AS ok,
   CASE WHEN {OK} THEN entity_id ELSE {GRPC_MESSAGE} END AS message,
   CASE WHEN {OK} THEN 200 WHEN kind = 'remove' THEN 404 ELSE 400 END AS status FROM decided""",
-        "service_replies": f"""WITH {_user_decisions(admitted)}
-SELECT cmd_id, username AS entity_id, reply_kind, {OK} AS ok, {GRPC_MESSAGE} AS message FROM decided
-UNION ALL {denied}""",
-        "secured_events": f"""WITH {_user_decisions(admitted)}
-SELECT 'user' || ue.entity_id AS entity_id, seq_nr, ue.kind, ue.email,
-       CASE WHEN ue.kind = 'created' THEN sha256('pepper' || 'pass' || regexp_extract(ue.email, 'u(\\d+)@', 1)) END AS pass FROM ue""",
+        "service_replies": f"""{mixed} SELECT cmd_id, entity_id, reply_kind, {OK} AS ok, {GRPC_MESSAGE} AS message FROM decided
+UNION ALL SELECT cmd_id, entity_id, reply_kind, false AS ok, CASE WHEN reply_kind = 'Unauthenticated' THEN reply_kind
+  WHEN kind = 'create' THEN 'User register error (' || errors || ')' ELSE 'User email update error (' || errors || ')' END AS message FROM rej""",
+        "secured_events": f"""{mixed}
+SELECT entity_id, row_number() OVER (PARTITION BY entity_id ORDER BY ts, cmd_id) AS seq_nr, event_kind AS kind,
+       CASE WHEN event_kind IN ('created', 'emailUpdated') THEN email END AS email,
+       CASE WHEN event_kind IN ('created', 'passwordUpdated') THEN sha256('pepper' || 'pass' || cmd_id) END AS pass FROM decided WHERE event_kind IS NOT NULL""",
         "gated_state": f"WITH {_user_decisions()}, {_user_view('ue')} SELECT {USER_COLUMNS} FROM uv",
         "get_user": f"{view} WHERE id = '42'",
         "list_users": customers,
@@ -354,9 +380,13 @@ SELECT 'user' || ue.entity_id AS entity_id, seq_nr, ue.kind, ue.email,
         "search_terms": f"{customers} WHERE {_any(['machinery', 'd3'])}",
         "search_all_terms": f"{customers} WHERE ({_any(['machinery'])}) AND ({_any(['d3'])})",
         "search_phrase": f"{customers} WHERE " + " OR ".join(
-            f"regexp_matches(lower(coalesce({f}, '')), '(^|[^\\p{{L}}\\p{{N}}])united[^\\p{{L}}\\p{{N}}]+states($|[^\\p{{L}}\\p{{N}}])')" for f in _FIELDS),
+            f"regexp_matches(lower(coalesce({f}, '')), '(^|[^\\p{{L}}\\p{{N}}])city[^\\p{{L}}\\p{{N}}]+7($|[^\\p{{L}}\\p{{N}}])')" for f in _FIELDS),
+        "search_phrase_documents": "SELECT doc_id FROM documents WHERE regexp_matches(lower(coalesce(text, '')), "
+            f"'(^|[^\\p{{L}}\\p{{N}}]){'[^\\p{L}\\p{N}]+'.join(PHRASE.split())}($|[^\\p{{L}}\\p{{N}}])')",
         "search_prefix": f"{customers} WHERE " + " OR ".join(
             f"len(list_filter({_tokens(f)}, lambda w: starts_with(w, 'mach'))) > 0" for f in _FIELDS),
+        "search_phrase_prefix": f"{customers} WHERE regexp_matches(address.city, '^city 1')",
+        "search_far_page": f"{customers} ORDER BY lower(address.city) DESC, id LIMIT 20 OFFSET 120",
         "search_field": f"{customers} WHERE {_any(['12'], ('address.number',))}",
         "search_field_sorted": f"{customers} WHERE {_any(['machinery'], ('email',))} ORDER BY lower(address.city) DESC, lower(username), id LIMIT 20 OFFSET 40",
         "search_count": f"WITH {CV} SELECT count(*) AS count FROM cv WHERE {_any(['machinery', 'd3'])}",
@@ -365,6 +395,9 @@ SELECT 'user' || ue.entity_id AS entity_id, seq_nr, ue.kind, ue.email,
         "search_stream_pages": f"""WITH {CV}, hits AS (SELECT * FROM cv WHERE {_any(['machinery', 'd3'])})
 SELECT ((row_number() OVER (ORDER BY lower(username) DESC, id) - 1) // 20)::INTEGER AS page, id, username FROM hits""",
         "suggest_users": f"WITH {CV} ({_suggest('username')}) UNION ALL ({_suggest('email')})",
+        "suggest_lists": f"""WITH {CV}, s AS (({_suggest('username', 'c1')}) UNION ALL ({_suggest('email', 'c1')}))
+SELECT prefix, property, coalesce((SELECT string_agg(text, ',' ORDER BY rank) FROM s WHERE s.property = p.property AND prefix = 'c1'), '') AS texts
+FROM (VALUES ('username'), ('email')) p(property), (VALUES ('c1'), ('')) x(prefix)""",
         "bm25_documents": f"{_bm25()} SELECT doc_id, score FROM scored",
         "bm25_top": f"{_bm25()} SELECT doc_id, score FROM scored ORDER BY score DESC, doc_id LIMIT 10",
         "search_relevance": _bm25(
@@ -379,7 +412,9 @@ SELECT ((row_number() OVER (ORDER BY lower(username) DESC, id) - 1) // 20)::INTE
         "stored_journal_lookup": f"WITH {UJ} SELECT {JOURNAL_COLUMNS} FROM uj WHERE entity_id = '42'",
         "stored_view": view,
         "stream_user_view": view,
+        "stream_resumed_view": view,
         "stream_department_view": department_view,
         "stream_republish": f"WITH {UJ} {_json('event_id + 1', 'c-user', _USER_PAYLOAD)} FROM uj",
+        "stream_republish_departments": f"WITH {DJ} {_json('seq_nr', 'c-department', _DEPARTMENT_PAYLOAD)} FROM dj",
         "stream_gate": gate_events,
     }

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ledgerfold.operators.cells import CellPlan, uncut
 from ledgerfold.operators.journal import number_events, with_tags
 from ledgerfold.operators.specs import DEPARTMENT, USER
+from ledgerfold.schemas import ADDRESS, DEPARTMENT_REF
 from ledgerfold.sources.tables import table
 
 # How the tables' own codes read as event and command kinds.
@@ -101,6 +102,31 @@ def user_commands(events: DataFrame) -> DataFrame:
     })
 
 
+def mixed_commands(events: DataFrame) -> DataFrame:
+    """User commands as a surface receives them: some names too short, some addresses that
+    are none, passwords and reads among the changes, claims that run out, and no id yet
+    where a user registers."""
+    rows, event, kind = user_commands(events), F.col("cmd_id"), F.col("kind")
+    hour = F.make_dt_interval(hours=F.lit(1))
+    return rows.withColumns({
+        "kind": F.when((kind == "changeEmail") & (event % 5 == 0), "changePassword").when((kind == "changeAddress") & (event % 4 == 0), "get").otherwise(kind),
+        "username": F.when(event % 17 == 0, "ab").otherwise(F.col("username")),
+        "email": F.when(event % 19 == 0, F.replace("email", F.lit("@"), F.lit("."))).otherwise(F.col("email")),
+        "entity_id": F.when(kind != "create", F.col("username")),
+        "expires_at": F.when(event % 23 == 0, F.col("cmd_ts") - hour).when(event % 3 == 0, F.col("cmd_ts") + hour),
+    })
+
+
+def text_id_journal(spark: SparkSession, folder: str) -> DataFrame:
+    """User events under text ids: hashes of both signs, characters beyond the basic
+    plane, and one id with the lowest hash."""
+    user = F.col("user_id")
+    ids = F.when(user % 50 == 7, "polygenelubricants").when(user % 50 == 8, F.concat(F.lit("\U0001F600 "), _text(user))).otherwise(F.concat(F.lit("user id "), _text(user)))
+    rows = table(spark, folder, "events").select(ids.alias("entity_id"), (F.col("event_id") + 1).alias("seq_nr"), "ts", F.lit("created").alias("kind"))
+    empty = [F.lit(None).cast("string").alias(n) for n in ("username", "email", "pass")]
+    return rows.select("*", *empty, F.lit(None).cast(ADDRESS).alias("address"), F.lit(None).cast(DEPARTMENT_REF).alias("department"))
+
+
 def _department_rows(orders: DataFrame, kinds: dict[str, str]) -> DataFrame:
     key = F.col("o_orderkey")
     days = F.expr("datediff(cast(o_orderdate as date), date'1995-01-01')")

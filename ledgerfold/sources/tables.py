@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ledgerfold.functions.codecs import utc_micros
+from ledgerfold.operators.cells import with_bucket
 
 SCHEMAS = {
     "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
@@ -18,8 +22,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
 
 
-def table_stream(spark: SparkSession, folder: str, name: str, files_per_trigger: int = 1000) -> DataFrame:
-    return (
-        spark.readStream.schema(SCHEMAS[name]).option("pathGlobFilter", f"{name}.parquet")
-        .option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
-    )
+def write_in_time_order(rows: DataFrame, path: str, ts: str, key: str, slices: int = 8) -> None:
+    """``rows`` as files for a stream to find one after the other: slices of time, each
+    written after the one before, and in a slice all rows of a key in one file."""
+    at = utc_micros(ts).cast("double")
+    cuts = rows.select(at.alias("t")).stat.approxQuantile("t", [n / slices for n in range(1, slices)], 0.001)
+    splits = tuple(sorted(set(cuts)))
+    placed = with_bucket(rows, at, splits, "_slice")
+    for number in range(len(splits) + 1):
+        placed.filter(F.col("_slice") == number).drop("_slice").repartition(key).write.mode("append").parquet(path)
+
+
+def stream_files(spark: SparkSession, path: str, schema: str, files_per_trigger: int = 1) -> DataFrame:
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
