@@ -157,3 +157,20 @@ def test_departments_that_come_while_the_gate_runs(spark, tmp_path):
     run(2, "second")
     found = {r["entity_id"]: r["reply_kind"] for r in streaming_gate.decisions(spark, str(tmp_path / "out")).collect()}
     assert found == {"first": "CreatedFailed", "second": "Created"}
+
+
+@pytest.mark.parametrize("name, least", [
+    ("stream_user_view", 8), ("stream_resumed_view", 8), ("stream_department_view", 8), ("stream_republish", 8),
+    ("stream_republish_departments", 8), ("stream_gate", 8),
+])
+def test_registered_streams_run_many_batches(spark, monkeypatch, name, least):
+    from pyspark.sql.streaming import StreamingQuery
+
+    from ledgerfold.plans.catalog import QUERIES
+
+    ended, wait = [], StreamingQuery.awaitTermination
+    monkeypatch.setattr(StreamingQuery, "awaitTermination", lambda self, *a: (wait(self, *a), ended.append(self))[0])
+    assert QUERIES[name](spark, "/root/testdata/sf0.001").count()
+    batches = [p["batchId"] for q in ended for p in q.recentProgress if p["numInputRows"] > 0]
+    assert len(batches) == len(set(batches)) >= least
+    assert len(ended) == (2 if name == "stream_resumed_view" else 1)
