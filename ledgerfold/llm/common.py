@@ -17,11 +17,18 @@ SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 _SHIPPED: set[str] = set()
 
+#: Rows of long texts that are handed to a Python worker at a time, where the session has
+#: Spark's default, which is meant for short rows.
+BATCH_ROWS, BATCH_CONF = 1_000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 
 def ship(spark: SparkSession) -> None:
-    """Hands this package to the Python workers, once per application. Spark's own file
-    server sends the archive, so only the driver needs the folder that it lies in."""
+    """Hands this package to the Python workers, once per application, and bounds their
+    batches. Spark's own file server sends the archive, so only the driver needs the folder
+    that it lies in."""
     context = spark.sparkContext
+    if spark.conf.get(BATCH_CONF) == "10000":
+        spark.conf.set(BATCH_CONF, str(BATCH_ROWS))
     if context.applicationId not in _SHIPPED:
         package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
         archive = os.path.join(tempfile.mkdtemp(prefix="ledgerfold-"), "ledgerfold.zip")

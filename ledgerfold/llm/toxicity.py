@@ -38,7 +38,7 @@ REPORTING = frozenset(
     "dit disait appelle mot insulte sagte nannte wort schimpfwort dijo llama palabra insulto".split()
 )
 #: Words whose match a worker remembers.
-MEMO = 300_000
+MEMO = 100_000
 
 
 def edits(term: str) -> int:
