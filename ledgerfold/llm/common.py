@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import os
 import string
 import tempfile
 import zipfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerfold.session import stored
@@ -15,11 +18,14 @@ from ledgerfold.session import stored
 #: Fixed: words are runs of letters a-z, digits and everything beyond ASCII.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
+#: The C library's call that returns free memory, where there is one.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
 _SHIPPED: set[str] = set()
 
 #: Rows of long texts that are handed to a Python worker at a time, where the session has
 #: Spark's default, which is meant for short rows.
-BATCH_ROWS, BATCH_CONF = 1_000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS, BATCH_CONF = 500, "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
@@ -42,6 +48,26 @@ def ship(spark: SparkSession) -> None:
         _SHIPPED.add(context.applicationId)
 
 
+def give_back() -> None:
+    """Hands a Python worker's free memory back to the system. Several workers share an
+    executor's memory with its JVM, and idle ones keep what they have."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+def trimmed(function):
+    """For the body of an Arrow UDF: gives back what each batch took."""
+
+    @functools.wraps(function)
+    def run(*columns):
+        result = function(*columns)
+        give_back()
+        return result
+
+    return run
+
+
 SCHEMAS = {
     "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
     "embeddings": "vec_id bigint, embedding array<float>, label int",
@@ -83,7 +109,13 @@ def components(links: DataFrame, label: str) -> DataFrame:
     the logarithm of the component size. Nothing is gathered: per node only a minimum is
     taken, and the join that hands it out is split by adaptive execution if a node is hot.
     """
-    edges = stored(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), label)
+    def written(rows: DataFrame) -> tuple[DataFrame, tuple]:
+        """The links, stored, and a mark of them as a set, taken while they are written."""
+        seen = Observation()
+        marked = rows.observe(seen, F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x"), F.bit_xor(F.xxhash64("v", "u")).alias("y"))
+        return stored(marked, label), tuple(seen.get.values())
+
+    edges, mark = written(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -91,11 +123,8 @@ def components(links: DataFrame, label: str) -> DataFrame:
         floor = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(floor, "u")
         small = joined.select("v", "m").where("v <> m").union(joined.select("u", "m")).toDF("u", "v").distinct()
-        rounds = stored(small, label)
-        # A round that leaves the set of links as it was has reached the stars.
-        moved = rounds.join(edges, ["u", "v"], "left_anti").limit(1).count()
-        edges = rounds
-        if not moved:
+        before, (edges, mark) = mark, written(small)
+        if mark == before:  # a round that changes nothing has reached the stars
             break
     stars = edges.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
     return stars.union(stars.select("root", "root").distinct())

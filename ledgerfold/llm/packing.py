@@ -25,7 +25,7 @@ from ledgerfold.session import stored
 #: Permitted sequence lengths, and what a sequence costs beside its own length.
 SIZES, OVERHEAD = (512, 1024, 2048, 4096, 8192), 64
 #: Pieces of one length that one task numbers at a time, on average.
-RUN = 2_000
+RUN = 500
 
 
 @dataclass

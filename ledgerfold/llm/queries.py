@@ -60,8 +60,8 @@ def op5_best_fit_packing(spark, folder):
     return packing.pack(tokens.counted(docs, word_tokenizer()))
 
 
-def word_tokenizer(path: str | None = None) -> tokens.Tokenizer:
-    return tokens.Tokenizer(path or public_tokenizers.path("word_bpe_49k.json"), by_space=True)
+def word_tokenizer(path: str | None = None, memo: int = tokens.MEMO) -> tokens.Tokenizer:
+    return tokens.Tokenizer(path or public_tokenizers.path("word_bpe_49k.json"), by_space=True, memo=memo)
 
 
 @query

@@ -14,12 +14,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
-from ledgerfold.llm.common import ship
+from ledgerfold.llm.common import ship, trimmed
 from ledgerfold.session import stored, work_path
 
 CACHE_SCHEMA = "digest binary, n_tokens bigint, version string"
-#: Chunks whose counts a worker remembers, and the longest that it does.
-MEMO, MEMO_CHARS = 700_000, 64
+#: Chunks whose counts a worker remembers, about 170 bytes each, and the longest that it
+#: does.
+MEMO, MEMO_CHARS = 200_000, 64
 #: Marks that may follow a word; no apostrophe, which tokenizers read with the letters.
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -27,10 +28,12 @@ MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 @dataclass(frozen=True)
 class Tokenizer:
     """A ``.json`` or ``.model`` file. ``by_space`` tells that the tokenizer drops white
-    space and that no token spans it, so a text's count is the sum over its chunks."""
+    space and that no token spans it, so a text's count is the sum over its chunks, of
+    which a worker remembers ``memo``."""
 
     path: str
     by_space: bool = False
+    memo: int = MEMO
 
     @property
     def version(self) -> str:
@@ -85,7 +88,7 @@ def count_texts(texts: list[str], tokenizer: Tokenizer) -> list[int]:
     count, count_words, memo = _ready(tokenizer)
     if not tokenizer.by_space:
         return count(texts) if texts else []
-    if len(memo) > MEMO:
+    if len(memo) > tokenizer.memo:
         memo.clear()
     rows, totals, missing = [], [], set()
     for text in texts:
@@ -115,6 +118,7 @@ def counter(tokenizer: Tokenizer):
     """The count as a column function; null counts as empty."""
 
     @arrow_udf(T.LongType())
+    @trimmed
     def n_tokens(texts: pa.Array) -> pa.Array:
         counts = []
         for start in range(0, len(texts), 256):
@@ -159,7 +163,8 @@ def cached_counts(docs: DataFrame, tokenizer: Tokenizer, cache: str | None = Non
     fresh = rows.join(missing.hint("shuffle_hash"), first, "left_semi")
     encoded = fresh.select("digest", counter(tokenizer)("text").alias("n_tokens")).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     encoded.withColumn("version", F.lit(version)).write.mode("append").parquet(folder)
-    return base.join(known(), "digest", "left").select("doc_id", "n_bytes", "n_tokens")
+    counts = stored(known(), "counts")
+    return base.join(counts, "digest", "left").select("doc_id", "n_bytes", "n_tokens")
 
 
 def counted(docs: DataFrame, tokenizer: Tokenizer) -> DataFrame:

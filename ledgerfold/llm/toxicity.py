@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from ledgerfold.llm.common import hashed, ship, words
+from ledgerfold.llm.common import give_back, hashed, ship, trimmed, words
 from ledgerfold.session import stored
 
 #: Bounds of the fit: labelled rows, and terms and stems of the lexicon.
@@ -38,7 +38,7 @@ REPORTING = frozenset(
     "dit disait appelle mot insulte sagte nannte wort schimpfwort dijo llama palabra insulto".split()
 )
 #: Words whose match a worker remembers.
-MEMO = 100_000
+MEMO = 50_000
 
 
 def edits(term: str) -> int:
@@ -245,13 +245,16 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     lexicon = _terms(rows)
 
     @arrow_udf("array<double>")
+    @trimmed
     def counted(texts: pa.Array) -> pa.Array:
         return pa.array([features(t, lexicon) for t in texts.to_pylist()], pa.list_(pa.float64()))
 
-    seen = rows.select(counted("text").alias("x"), "toxic").collect()  # at most ``sample`` short rows
-    if not seen:
+    seen = rows.select(counted("text").alias("x"), F.col("toxic").cast("double")).toArrow()  # at most ``sample`` short rows
+    if not seen.num_rows:
         return Model(lexicon, tuple([0.0] * N_FEATURES), -2.0)
-    weights, bias = _fit(np.array([r[0] for r in seen]), np.array([float(r[1]) for r in seen]))
+    x = seen["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, N_FEATURES)
+    weights, bias = _fit(x, seen["toxic"].to_numpy())
+    give_back()
     return Model(lexicon, tuple(weights.tolist()), bias)
 
 
@@ -260,6 +263,7 @@ def scorer(model: Model):
     terms, stems, weights, bias = model.lexicon.terms, model.lexicon.stems, model.weights, model.bias
 
     @arrow_udf("double")
+    @trimmed
     def score(texts: pa.Array) -> pa.Array:
         own = _model(terms, stems, weights, bias)
         return pa.array([s for start in range(0, len(texts), 256) for s in own.scores(texts.slice(start, 256).to_pylist())], pa.float64())
