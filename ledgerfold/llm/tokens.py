@@ -14,13 +14,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
-from ledgerfold.llm.common import ship, trimmed
+from ledgerfold.llm.common import give_back, ship
 from ledgerfold.session import stored, work_path
 
 CACHE_SCHEMA = "digest binary, n_tokens bigint, version string"
 #: Chunks whose counts a worker remembers, about 170 bytes each, and the longest that it
 #: does.
-MEMO, MEMO_CHARS = 200_000, 64
+MEMO, MEMO_CHARS = 700_000, 64
 #: Marks that may follow a word; no apostrophe, which tokenizers read with the letters.
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -29,7 +29,8 @@ MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 class Tokenizer:
     """A ``.json`` or ``.model`` file. ``by_space`` tells that the tokenizer drops white
     space and that no token spans it, so a text's count is the sum over its chunks, of
-    which a worker remembers ``memo``."""
+    which a worker remembers ``memo``. Workers that are given less than ``MEMO`` are
+    short of memory and hand back what each batch took."""
 
     path: str
     by_space: bool = False
@@ -118,11 +119,12 @@ def counter(tokenizer: Tokenizer):
     """The count as a column function; null counts as empty."""
 
     @arrow_udf(T.LongType())
-    @trimmed
     def n_tokens(texts: pa.Array) -> pa.Array:
         counts = []
         for start in range(0, len(texts), 256):
             counts += count_texts([t or "" for t in texts.slice(start, 256).to_pylist()], tokenizer)
+        if tokenizer.memo < MEMO:
+            give_back()
         return pa.array(counts, pa.int64())
 
     return n_tokens
