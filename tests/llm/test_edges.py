@@ -275,3 +275,11 @@ def test_substring_in_the_middle_of_lines(spark):
     assert found == {2: (22, 60, 1), 4: (24, 60, 1), 5: (25, 51, 1)}
     cut = {r["doc_id"]: r["text"] for r in substring.without_repeats(frame(spark, docs)).collect()}
     assert cut[2] == f"{filler(2, 22)} {filler(-2, 30)}." and cut[1] == docs[0][1]
+
+
+def test_substring_that_the_earliest_text_holds_in_part(spark):
+    """Text 0 has 49 words of a passage, one too few; of the others only the first keeps it."""
+    words = PASSAGE.split()[:55]
+    docs = [(d, " ".join([f"a{d}x{i}" for i in range(20)] + (words[:49] if d == 0 else words) + [f"b{d}x{i}" for i in range(20)])) for d in range(30)]
+    found = {r["doc_id"]: (r["first_word"], r["n_words"], r["class_doc_id"]) for r in substring.repeats(frame(spark, docs)).collect()}
+    assert found == {d: (20, 55, 1) for d in range(2, 30)}
