@@ -105,7 +105,7 @@ def sentence_ids(text: str | None) -> list[str]:
     """Identifiers of the known sentences of a text, in their order."""
     found = []
     for sentence in ENDS.split(text or ""):
-        head = PARTS.search(sentence.lower() if len(sentence) < 64 else sentence[:64].lower())
+        head = PARTS.search(sentence.lower())
         if head and head.group() in FIRST and (name := KNOWN.get(normalised(sentence))):
             found.append(name)
     return found

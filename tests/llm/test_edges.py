@@ -127,6 +127,10 @@ def test_licenses(spark, odd, none):
     assert licenses.scan(odd).count() == len(ODD) and licenses.scan(none).count() == 0
 
 
+def test_license_behind_a_rule():
+    assert licenses.sentence_ids("*" * 80 + " All rights reserved.") == ["reserved"]
+
+
 def test_packing(spark):
     rows = [(1, 100), (1, 100), (None, 3), (2, 0), (3, None), (4, 25), (5, 7)]
     packed = packing.pack(frame(spark, rows, "doc_id bigint, n_tokens bigint"), (16, 32), 4).collect()
