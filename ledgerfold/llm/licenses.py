@@ -87,8 +87,8 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("LicenseRef-all-rights-reserved", ("reserved",)),
 )
 
-#: A sentence ends at a line end, or after . ! ? before a blank.
-ENDS = re.compile(r"[\r\n]+|(?<=[.!?])[ \t]+")
+#: A piece ends at a line end, or after . ! ? ; : before a blank.
+ENDS = re.compile(r"[ \t]*(?:\r\n|\r|\n)|(?<=[.!?;:])[ \t]+")
 PARTS = re.compile(r"[a-z0-9]+")
 
 
@@ -99,14 +99,27 @@ def normalised(sentence: str) -> str:
 
 KNOWN = {normalised(form): name for name, forms in SENTENCES.items() for form in forms}
 FIRST = frozenset(s.split(" ")[0] for s in KNOWN)
+#: What a known sentence can begin with, whole words each.
+BEGUN = frozenset(" ".join(s.split(" ")[:i]) for s in KNOWN for i in range(1, s.count(" ") + 1))
 
 
 def sentence_ids(text: str | None) -> list[str]:
-    """Identifiers of the known sentences of a text, in their order."""
-    found = []
-    for sentence in ENDS.split(text or ""):
-        head = PARTS.search(sentence.lower())
-        if head and head.group() in FIRST and (name := KNOWN.get(normalised(sentence))):
+    """Identifiers of the known sentences of a text, in their order. A sentence is a piece,
+    or several that follow each other without a blank line: licences are wrapped."""
+    pieces, found, i = ENDS.split(text or ""), [], 0
+    while i < len(pieces):
+        head = PARTS.search(pieces[i].lower())
+        i += 1
+        if not head or head.group() not in FIRST:
+            continue
+        sentence, name, j = normalised(pieces[i - 1]), None, i
+        while True:
+            if sentence in KNOWN:
+                name, i = KNOWN[sentence], j
+            if sentence not in BEGUN or j == len(pieces) or not (more := normalised(pieces[j])):
+                break
+            sentence, j = f"{sentence} {more}", j + 1
+        if name:
             found.append(name)
     return found
 

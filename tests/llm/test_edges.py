@@ -127,6 +127,18 @@ def test_licenses(spark, odd, none):
     assert licenses.scan(odd).count() == len(ODD) and licenses.scan(none).count() == 0
 
 
+@pytest.mark.parametrize("mark", ["", "# ", " * ", "// "])
+def test_wrapped_licenses(mark):
+    import textwrap
+
+    for licence, rule in licenses.RULES:
+        for width in (70, 80):
+            lines = [line for name in rule for line in textwrap.wrap(f"Copyright me. {licenses.SENTENCES[name][-1]}", width)]
+            assert licenses.matched(licenses.sentence_ids("\r\n".join(mark + line for line in lines))) == [licence]
+    assert licenses.sentence_ids('Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.') == ["apache2-notice", "apache2-compliance"]
+    assert licenses.sentence_ids("All rights\n\nreserved.") == []
+
+
 def test_license_behind_a_rule():
     assert licenses.sentence_ids("*" * 80 + " All rights reserved.") == ["reserved"]
 
