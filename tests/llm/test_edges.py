@@ -296,19 +296,19 @@ def test_substring_in_the_middle_of_lines(spark):
 def test_substring_that_the_earliest_text_holds_in_part(spark):
     """Text 0 has 49 words of a passage, one too few; of the others only the first keeps it."""
     words = PASSAGE.split()[:55]
-    docs = [(d, " ".join([f"a{d}x{i}" for i in range(20)] + (words[:49] if d == 0 else words) + [f"b{d}x{i}" for i in range(20)])) for d in range(30)]
+    docs = [(100 * p + d, " ".join([f"a{p}y{d}x{i}" for i in range(20)] + [f"p{p}{w}" for w in (words[:49] if d == 0 else words)] + [f"b{p}y{d}x{i}" for i in range(20)])) for p in range(12) for d in range(30)]
     found = {r["doc_id"]: (r["first_word"], r["n_words"], r["class_doc_id"]) for r in substring.repeats(frame(spark, docs)).collect()}
-    assert found == {d: (20, 55, 1) for d in range(2, 30)}
+    assert found == {100 * p + d: (20, 55, 100 * p + 1) for p in range(12) for d in range(2, 30)}
 
 
 @pytest.mark.parametrize("n", [8, 60])
 def test_substring_round_a_phrase_of_many_texts(spark, n):
-    """A phrase that n texts hold alone, and two of them within a passage of sixty words."""
+    """A phrase that n texts hold alone, and two of them within a passage of 52 words."""
     own = lambda d, k: [f"{k}{d}x{i}" for i in range(60)]
-    words = PASSAGE.split()
-    for at in range(0, 45, 5):
-        docs = [(d, " ".join(own(1000 * at + d, "a") + (words if d in (n // 2, n - 2) else words[at:at + 15]) + own(1000 * at + d, "b"))) for d in range(n)]
+    words = PASSAGE.split()[:52]
+    for at in range(30):
+        docs = [(d, " ".join(own(1000 * at + d, "a") + (words if d in (n // 2, n - 2) else words[3:48]) + own(1000 * at + d, "b"))) for d in range(n)]
         docs = [(1000 * at + d, t.replace("passage", f"p{at}y")) for d, t in docs]
         every = docs if at == 0 else every + docs
     found = {r["doc_id"]: (r["first_word"], r["n_words"], r["class_doc_id"]) for r in substring.repeats(frame(spark, every)).collect()}
-    assert found == {1000 * at + n - 2: (60, 60, 1000 * at + n // 2) for at in range(0, 45, 5)}
+    assert found == {1000 * at + n - 2: (60, 52, 1000 * at + n // 2) for at in range(30)}
