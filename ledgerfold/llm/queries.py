@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from ledgerfold.llm import decontam, html, licenses, neardup, packing, substring, tokens, topk, toxicity, urls
+from ledgerfold.llm import decontam, html, licenses, neardup, packing, substring, tokens, topk, toxicity, urls, whitening
 from ledgerfold.llm.common import table
 
 #: Rules of the URL filter, and the host labels of gambling, pharmacy and advert sites
@@ -83,3 +83,8 @@ def op8_near_duplicates(spark, folder):
 @query
 def op10_substring_dedup(spark, folder):
     return substring.repeats(table(spark, folder, "documents"))
+
+
+@query
+def op11_embedding_whitening(spark, folder):
+    return whitening.components(table(spark, folder, "embeddings"))
