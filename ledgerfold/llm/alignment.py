@@ -284,7 +284,7 @@ def _long(rows: DataFrame, files: Vocabularies, chunk: int) -> DataFrame:
             yield _batch(done, _FRAGMENT_ARROW)
             give_back()
 
-    def reduce(key, table: pa.Table) -> pa.Table:
+    def reduce(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         width, whole, ok = _coder(files).width, EMPTY, True
         parts = sorted(zip(*(table[c].to_pylist() for c in ("k", "a", "b", "ga", "gb", "ok", "doc_id"))), key=lambda p: p[0])
         for _, a, b, ga, gb, fine, _ in parts:
