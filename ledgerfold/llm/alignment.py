@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import os
 import re
 from dataclasses import dataclass
@@ -31,15 +32,35 @@ CHUNK = 1 << 15
 FAN = 8
 #: Bytes of text whose links are counted together.
 BLOCK = 8 << 20
-#: Pieces whose tokens a worker remembers, and the longest that it does.
-MEMO, MEMO_CHARS = 150_000, 48
+#: Pieces whose tokens a worker remembers, twice as many at most, and the longest of them.
+MEMO, MEMO_CHARS = 120_000, 48
+#: Bytes of compressed tokens whose links are looked up at a time.
+PART = 1 << 20
 #: A single blank between two characters that are none: neither tokenizer has a token that
 #: goes on over it (``Coder`` checks that for the vocabulary of the second).
 JOINT = re.compile(r"(?<=\S) (?=\S)")
 
 
+@dataclass(frozen=True)
+class Vocabularies:
+    """The files of the two tokenizers: A a byte-level ``.json``, B a ``.model``. ``wide``
+    is for ids beyond 65,535."""
+
+    a: str
+    b: str
+    wide: bool = False
+
+    @property
+    def kind(self) -> type:
+        return np.uint32 if self.wide else np.uint16
+
+    @property
+    def width(self) -> int:
+        return np.dtype(self.kind).itemsize
+
+
 class Fragment(NamedTuple):
-    """Token ids of a byte range as bytes of ``Coder.kind``, and the numbers of tokens up
+    """Token ids of a byte range as bytes of ``Vocabularies.kind``, and the numbers of tokens up
     to each common end in it, the open prefix first. What is left over is the open suffix.
     Without a common end all of it is open at both sides."""
 
@@ -72,19 +93,19 @@ def _byte_level() -> dict[str, int]:
 
 
 class Coder:
-    """Both tokenizers in a worker process: a byte-level ``.json`` (A), which sees a blank
-    and the text, and a ``.model`` (B), which adds that blank itself."""
+    """Both tokenizers in a worker process: A sees a blank and the text, B adds that blank
+    itself."""
 
-    def __init__(self, a_path: str, b_path: str):
+    def __init__(self, files: Vocabularies):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the cores belong to the tasks
         import sentencepiece
         from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_file(a_path)
+        self.a = Tokenizer.from_file(files.a)
         self.a.no_truncation()
         self.a.no_padding()
         self.a.encode_special_tokens = True
-        self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
+        self.b = sentencepiece.SentencePieceProcessor(model_file=files.b)
         plain = _byte_level()
         self.a_bytes = [b""] * self.a.get_vocab_size()
         for token, i in self.a.get_vocab().items():
@@ -93,57 +114,81 @@ class Coder:
         if any("▁" in p.lstrip("▁") for p in pieces):
             raise ValueError("a piece of the second vocabulary goes on over a blank: texts cannot be cut there")
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        if not files.wide and max(len(self.a_bytes), len(self.b_bytes)) > 1 << 16:
+            raise ValueError("these vocabularies need Vocabularies(wide=True)")
         self.a_sizes, self.b_sizes = (np.array([len(t) for t in table], np.int64) for table in (self.a_bytes, self.b_bytes))
-        self.kind = np.uint16 if max(len(self.a_bytes), len(self.b_bytes)) <= 1 << 16 else np.uint32
-        self.memo: dict[str, tuple | None] = {}
-
-    @property
-    def width(self) -> int:
-        return np.dtype(self.kind).itemsize
+        self.kind, self.width = files.kind, files.width
+        # An id as text, with what follows it inside a group and at its end.
+        self.a_marks = [f"{i}{m}" for i in range(len(self.a_bytes)) for m in ",|"]
+        self.b_marks = [f"{i}{m}" for i in range(len(self.b_bytes)) for m in ",;"]
+        self.recent: dict[str, tuple] = {}
+        self.older: dict[str, tuple] = {}
+
+    def forget(self) -> None:
+        """Drops the memory of pieces, which only stages that encode have a use for."""
+        self.recent, self.older = {}, {}
+        give_back()
 
     def ids(self, raw: bytes) -> np.ndarray:
         return np.frombuffer(raw, self.kind)
 
-    def _encode(self, pieces: list[str]) -> dict[str, tuple | None]:
-        """piece -> (ids of A, of B, its groups as text, tokens of A and B in each group),
-        of a blank and the piece; None where the tokens' bytes are not those."""
-        found: dict[str, tuple | None] = {}
-        texts = [" " + p for p in pieces]
-        for piece, text, one, two in zip(pieces, texts, self.a.encode_batch_fast(texts, add_special_tokens=False), self.b.encode(pieces, num_threads=1)):
-            a, raw = one.ids, text.encode()
-            x, y = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in two]
-            if b"".join(x) != raw or b"".join(y) != raw:
-                found[piece] = None
-                continue
-            groups, ga, gb, i, j, at, to = [], [], [], 0, 0, 0, 0
-            first, second = 0, 0
-            while i < len(x):
-                at, i = at + len(x[i]), i + 1
-                while to < at:
-                    to, j = to + len(y[j]), j + 1
-                if at == to:
-                    groups.append(",".join(map(str, a[first:i])) + "|" + ",".join(map(str, two[second:j])))
-                    ga.append(i - first)
-                    gb.append(j - second)
-                    first, second = i, j
-            found[piece] = (np.array(a, self.kind).tobytes(), np.array(two, self.kind).tobytes(), ";".join(groups), ga, gb)
-        return found
+    def _encode(self, pieces: list[str], together: int = 64) -> dict[str, tuple]:
+        """piece -> (ids of A, ids of B, its groups as text) of a blank and the piece;
+        empty where the tokens' bytes are not those. Pieces are encoded ``together``, with
+        joints between them, and one by one where that does not give their bytes."""
+        runs, odd = [], [p for p in pieces if not p or p[0].isspace() or p[-1].isspace()]
+        plain = [p for p in pieces if p and not p[0].isspace() and not p[-1].isspace()]
+        runs += [plain[i:i + together] for i in range(0, len(plain), together)] + [[p] for p in odd]
+        texts = [" ".join(r) for r in runs]
+        first = [e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+        second = self.b.encode(texts, num_threads=1)
+        found, again, good = {}, [], []
+        for i, (run, text) in enumerate(zip(runs, texts)):
+            raw = (" " + text).encode()
+            if b"".join(map(self.a_bytes.__getitem__, first[i])) == raw and b"".join(map(self.b_bytes.__getitem__, second[i])) == raw:
+                good.append(i)
+            elif len(run) == 1:
+                found[run[0]] = ()
+            else:
+                again += run
+        if good:
+            names = [p for i in good for p in runs[i]]
+            a, b = (np.fromiter(itertools.chain.from_iterable(x[i] for i in good), self.kind) for x in (first, second))
+            ends, stops = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
+            until = np.cumsum([len(p.encode()) + 1 for p in names])
+            common = np.intersect1d(ends, stops, assume_unique=True)
+            ia, ib = (np.searchsorted(x, until, side="right").tolist() for x in (ends, stops))
+            # A's tokens of a group come before B's: the place of each in one sequence.
+            group_a, group_b = np.searchsorted(common, ends), np.searchsorted(common, stops)
+            marks = np.empty(len(a) + len(b), object)
+            at = np.arange(len(a)) + np.searchsorted(group_b, group_a)
+            marks[at] = [self.a_marks[m] for m in (a.astype(np.int64) * 2 + (common[group_a] == ends)).tolist()]
+            at = np.arange(len(b)) + np.searchsorted(group_a, group_b, side="right")
+            marks[at] = [self.b_marks[m] for m in (b.astype(np.int64) * 2 + (common[group_b] == stops)).tolist()]
+            marks, one, two, w = marks.tolist(), a.tobytes(), b.tobytes(), self.width
+            i = j = 0
+            for name, x, y in zip(names, ia, ib):
+                found[name] = one[w * i:w * x], two[w * j:w * y], "".join(marks[i + j:x + y])
+                i, j = x, y
+        return found | self._encode(again, 1) if again else found
 
     def encode(self, texts: list[str]) -> list[list[tuple] | None]:
         """For each text the entries of its pieces, in order; None if one has no tokens."""
-        rows = [JOINT.split(t) for t in texts]
-        memo = self.memo
-        if len(memo) > MEMO:
-            memo.clear()
-        new = list({p for row in rows for p in row if p not in memo})
-        fresh: dict[str, tuple | None] = {}
-        for start in range(0, len(new), 4096):
-            fresh.update(self._encode(new[start:start + 4096]))
-        memo.update({p: e for p, e in fresh.items() if len(p) <= MEMO_CHARS})
+        if len(self.recent) > MEMO:
+            self.recent, self.older = {}, self.recent
+        recent, older = self.recent, self.older
+        rows, missing = [JOINT.split(t) for t in texts], set()
+        for row in rows:
+            missing.update(p for p in row if p not in recent)
+        fresh = {p: older[p] for p in missing if p in older}
+        new = [p for p in missing if p not in fresh]
+        for start in range(0, len(new), 8192):
+            fresh.update(self._encode(new[start:start + 8192]))
+        recent.update((p, e) for p, e in fresh.items() if len(p) <= MEMO_CHARS)
         result = []
         for row in rows:
-            entries = [memo[p] if p in memo else fresh[p] for p in row]
-            result.append(None if None in entries else entries)
+            entries = [recent[p] if p in recent else fresh[p] for p in row]
+            result.append(None if () in entries else entries)
         return result
 
     def range_of(self, window: str, low: int, high: int) -> Fragment | None:
@@ -193,17 +238,9 @@ def ranges(text: str, chunk: int = CHUNK) -> list[tuple[int, int, int, str]]:
     return rows
 
 
-@dataclass(frozen=True)
-class Vocabularies:
-    """The files of the two tokenizers: A a byte-level ``.json``, B a ``.model``."""
-
-    a: str
-    b: str
-
-
 @functools.lru_cache(maxsize=1)
 def _coder(files: Vocabularies) -> Coder:
-    return Coder(files.a, files.b)
+    return Coder(files)
 
 
 _DOC = "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string, tokens binary, block bigint"
@@ -241,7 +278,7 @@ def _short(rows: DataFrame, files: Vocabularies) -> DataFrame:
                         done.append(_row(doc_id, b"", b"", 0, "", coder.width, number))
                         continue
                     a, b = b"".join([e[0] for e in entries]), b"".join([e[1] for e in entries])
-                    groups = ";".join([e[2] for e in entries])
+                    groups = "".join([e[2] for e in entries])[:-1]
                     done.append(_row(doc_id, a, b, groups.count("|"), groups, coder.width, number))
                     filled += len(text)
                     if filled > BLOCK:
@@ -252,8 +289,8 @@ def _short(rows: DataFrame, files: Vocabularies) -> DataFrame:
     return rows.mapInArrow(run, _DOC)
 
 
-def _groups(coder: Coder, part: Fragment) -> list[tuple[list[int], list[int]]]:
-    a, b, i, j, groups = coder.ids(part.a).tolist(), coder.ids(part.b).tolist(), 0, 0, []
+def _groups(files: Vocabularies, part: Fragment) -> list[tuple[list[int], list[int]]]:
+    a, b, i, j, groups = np.frombuffer(part.a, files.kind).tolist(), np.frombuffer(part.b, files.kind).tolist(), 0, 0, []
     for x, y in zip(part.ga, part.gb):
         groups.append((a[i:i + x], b[j:j + y]))
         i, j = i + x, j + y
@@ -285,19 +322,18 @@ def _long(rows: DataFrame, files: Vocabularies, chunk: int) -> DataFrame:
             give_back()
 
     def reduce(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        width, whole, ok = _coder(files).width, EMPTY, True
+        whole, ok = EMPTY, True
         parts = sorted(zip(*(table[c].to_pylist() for c in ("k", "a", "b", "ga", "gb", "ok", "doc_id"))), key=lambda p: p[0])
         for _, a, b, ga, gb, fine, _ in parts:
-            whole, ok = compose(whole, Fragment(a, b, tuple(ga), tuple(gb)), width), ok and fine
+            whole, ok = compose(whole, Fragment(a, b, tuple(ga), tuple(gb)), files.width), ok and fine
         return pa.Table.from_batches([_batch([(key[0].as_py(), parts[0][6], key[1].as_py(), *whole, ok)], _FRAGMENT_ARROW)])
 
     def finish(batches):
-        coder = _coder(files)
         for batch in batches:
             done = []
             for uid, doc_id, _, a, b, ga, gb, ok in zip(*(c.to_pylist() for c in batch.columns)):
                 part = Fragment(a, b, tuple(ga), tuple(gb)) if ok else EMPTY
-                done.append(_row(doc_id, part.a, part.b, len(part.ga), _text_of(_groups(coder, part)), coder.width, -1 - uid))
+                done.append(_row(doc_id, part.a, part.b, len(part.ga), _text_of(_groups(files, part)), files.width, -1 - uid))
             yield _batch(done, _DOC_ARROW)
 
     numbered = rows.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text")
@@ -340,12 +376,19 @@ def groups(rows: DataFrame, files: Vocabularies) -> DataFrame:
                 ends, stops = np.cumsum(coder.a_sizes[a]), np.cumsum(coder.b_sizes[b])
                 common = np.intersect1d(ends, stops, assume_unique=True)
                 ga, gb = (tuple(np.diff(np.searchsorted(x, common, side="right"), prepend=0).tolist()) for x in (ends, stops))
-                lists.append([{"a": x, "b": y} for x, y in _groups(coder, Fragment(a.tobytes(), b.tobytes(), ga, gb))])
+                lists.append([{"a": x, "b": y} for x, y in _groups(files, Fragment(a.tobytes(), b.tobytes(), ga, gb))])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, kind)], names=["doc_id", "groups"])
 
     return rows.select("doc_id", "tokens").mapInArrow(run, "doc_id bigint, groups array<struct<a: array<int>, b: array<int>>>")
 
 
+def _parts(tokens: list[bytes]) -> list[tuple[int, int]]:
+    """Cuts (from, to) of a list of texts into parts of about ``PART`` bytes."""
+    part = np.cumsum([len(t) for t in tokens]) // PART
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(tokens)]
+    return list(zip(cuts, cuts[1:]))
+
+
 def _joined(coder: Coder, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Links of several texts, and how many the texts up to each have."""
     parts = [_unpacked(coder, t) for t in tokens]
@@ -366,6 +409,7 @@ def pairs(rows: DataFrame, files: Vocabularies) -> DataFrame:
 
     def run(batches):
         coder, found, size, at = _coder(files), [], 0, None
+        coder.forget()
         for batch in batches:
             blocks, tokens = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
             cuts = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(blocks)]
@@ -374,8 +418,9 @@ def pairs(rows: DataFrame, files: Vocabularies) -> DataFrame:
                     yield counted(at, found)
                     found, size = [], 0
                 at = int(blocks[i])
-                found.append(_joined(coder, tokens[i:j])[0])
-                size += len(found[-1])
+                for x, y in _parts(tokens[i:j]):
+                    found.append(_joined(coder, tokens[i + x:i + y])[0])
+                    size += len(found[-1])
             give_back()
         if found:
             yield counted(at, found)
@@ -415,14 +460,19 @@ def report(docs: DataFrame, files: Vocabularies, chunk: int = CHUNK) -> DataFram
         coder, tokens = _coder(files), left["tokens"].to_pylist()
         if not tokens:
             return shape.empty_table()
-        links, until = _joined(coder, tokens)
+        coder.forget()
         pair = (right["a"].to_numpy().astype(np.int64) << 32) | right["b"].to_numpy().astype(np.int64)
         order = np.argsort(pair)
-        place = order[np.searchsorted(pair, links, sorter=order)]
-        n, best = right["n"].to_numpy()[place], right["best"].to_numpy(zero_copy_only=False)[place].astype(np.int64)
-        sums = [np.diff(np.concatenate([[0], np.cumsum(v)])[until], prepend=0) for v in (best, n)]
+        pair = pair[order]
+        values = [right["best"].to_numpy(zero_copy_only=False)[order].astype(np.int64), right["n"].to_numpy()[order]]
+        sums: list[list[np.ndarray]] = [[], []]
+        for i, j in _parts(tokens):
+            links, until = _joined(coder, tokens[i:j])
+            place = np.searchsorted(pair, links)
+            for done, value in zip(sums, values):
+                done.append(np.diff(np.concatenate([[0], np.cumsum(value[place])])[until], prepend=0))
         give_back()
-        return left.select(columns).append_column("n_best", pa.array(sums[0])).append_column("count_sum", pa.array(sums[1]))
+        return left.select(columns).append_column("n_best", pa.array(np.concatenate(sums[0]))).append_column("count_sum", pa.array(np.concatenate(sums[1])))
 
     kinds = "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string, n_best bigint, count_sum bigint"
     full = rows.where("tokens IS NOT NULL").groupBy("block").cogroup(known.groupBy("block")).applyInArrow(scored, kinds)

@@ -22,7 +22,7 @@ ODD = ["", " ", "  x", "a  b", "a \n b", "tab\tand\x00nul", "İstanbul ﬁ ½ 
 
 @pytest.fixture(scope="module")
 def coder():
-    return alignment.Coder(FILES.a, FILES.b)
+    return alignment.Coder(FILES)
 
 
 def plain(text):
@@ -148,7 +148,7 @@ def test_ranges_compose_to_the_whole(text, chunk):
     for part in parts:
         done = compose(done, part, coder.width)
     assert coder.ids(done.a).tolist() == [i for _, _, i in whole[0]] and coder.ids(done.b).tolist() == [i for _, _, i in whole[1]]
-    assert alignment._groups(coder, done) == groups_of(*whole)
+    assert alignment._groups(FILES, done) == groups_of(*whole)
 
 
 def test_ranges_cut_inside_tokens(coder):
