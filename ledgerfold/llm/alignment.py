@@ -33,7 +33,7 @@ FAN = 8
 #: Bytes of text whose links are counted together.
 BLOCK = 8 << 20
 #: Pieces whose tokens a worker remembers, twice as many at most, and the longest of them.
-MEMO, MEMO_CHARS = 120_000, 48
+MEMO, MEMO_CHARS = 200_000, 48
 #: Bytes of compressed tokens whose links are looked up at a time.
 PART = 1 << 20
 #: A single blank between two characters that are none: neither tokenizer has a token that
@@ -177,17 +177,17 @@ class Coder:
         if len(self.recent) > MEMO:
             self.recent, self.older = {}, self.recent
         recent, older = self.recent, self.older
-        rows, missing = [JOINT.split(t) for t in texts], set()
-        for row in rows:
-            missing.update(p for p in row if p not in recent)
+        rows = [JOINT.split(t) for t in texts]
+        known = [list(map(recent.get, row)) for row in rows]
+        missing = {p for row, found in zip(rows, known) if None in found for p, e in zip(row, found) if e is None}
         fresh = {p: older[p] for p in missing if p in older}
         new = [p for p in missing if p not in fresh]
         for start in range(0, len(new), 8192):
             fresh.update(self._encode(new[start:start + 8192]))
         recent.update((p, e) for p, e in fresh.items() if len(p) <= MEMO_CHARS)
         result = []
-        for row in rows:
-            entries = [recent[p] if p in recent else fresh[p] for p in row]
+        for row, found in zip(rows, known):
+            entries = [fresh[p] if e is None else e for p, e in zip(row, found)] if None in found else found
             result.append(None if () in entries else entries)
         return result
 
