@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from ledgerfold.llm import alignment, decontam, html, licenses, neardup, packing, substring, tokens, topk, toxicity, urls, whitening
+from ledgerfold.llm import alignment, decontam, html, langid, licenses, neardup, packing, substring, tokens, topk, toxicity, urls, whitening
 from ledgerfold.llm.common import table
 
 #: Rules of the URL filter, and the host labels of gambling, pharmacy and advert sites
@@ -94,3 +94,8 @@ def op11_embedding_whitening(spark, folder):
 def op12_cross_tokenizer_alignment(spark, folder):
     files = alignment.Vocabularies(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
     return alignment.report(table(spark, folder, "documents"), files)
+
+
+@query
+def op13_language_id(spark, folder):
+    return langid.identified(table(spark, folder, "documents"))
