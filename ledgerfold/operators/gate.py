@@ -148,7 +148,7 @@ SMALL_LIFECYCLE, SMALL_GRID, GRID_CONF = 200_000, 400_000, "ledgerfold.lifecycle
 _PER_SLICE = 256
 
 
-def _department_grid(departments: DataFrame) -> tuple[DataFrame, tuple[float, ...]] | None:
+def department_grid(departments: DataFrame) -> tuple[DataFrame, tuple[float, ...]] | None:
     """Small enough lifecycles as one row per (department, slice of time): the state the
     slice begins with and the changes within it. None if they are too many."""
     limit = int(departments.sparkSession.conf.get(GRID_CONF, str(SMALL_LIFECYCLE)))
@@ -184,7 +184,7 @@ def with_department_exists(commands: DataFrame, departments: DataFrame, kinds: S
     """
     reference = F.col("department.id")
     asks = F.coalesce(F.col("kind").isin(list(kinds)) & reference.isNotNull(), F.lit(False))
-    grid = _department_grid(departments) if rows is None else None
+    grid = department_grid(departments) if rows is None else None
     if grid is not None:
         known, splits = grid
         sliced = cells.with_bucket(commands.withColumn("_dept", F.when(asks, reference)), utc_micros("cmd_ts"), splits, "_slice")

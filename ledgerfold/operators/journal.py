@@ -36,7 +36,12 @@ def by_tag(journal: DataFrame, tag: str) -> DataFrame:
 def from_offsets(journal: DataFrame, offsets: DataFrame, plan: CellPlan | None = None) -> DataFrame:
     """Events at or after each entity's stored offset; all events where none is stored.
     ``offsets`` (entity_id, offset) has one row per entity. The last handled event is
-    read again, which the folds tolerate."""
+    read again, which the folds tolerate. A streamed journal is joined with the offsets as
+    they are when the query starts, and is not counted first."""
+    if journal.isStreaming:
+        known = offsets.select(F.col("entity_id").alias("_entity"), F.col("offset").alias("_offset"))
+        resumed = journal.join(known, F.col("entity_id").eqNullSafe(F.col("_entity")), "left")
+        return resumed.filter(F.col("seq_nr") >= F.coalesce(F.col("_offset"), F.lit(0))).select(*journal.columns)
     plan = plan or cells.by_sequence(journal)
     wanted = [c for c in journal.columns if c != cells.CELL]
     resumed = cells.join_unique(journal, offsets.select("entity_id", F.col("offset").alias("_offset")), plan)

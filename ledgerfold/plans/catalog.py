@@ -11,12 +11,13 @@ from ledgerfold.functions import codecs, validation
 from ledgerfold.operators import admission, fold, gate, journal, replies, search, service, state
 from ledgerfold.operators.cells import uncut
 from ledgerfold.operators.specs import DEPARTMENT, USER
-from ledgerfold.schemas import DEPARTMENT_JOURNAL, USER_VIEW
+from ledgerfold.schemas import DEPARTMENT_JOURNAL, USER_JOURNAL, USER_VIEW
 from ledgerfold.session import stored, work_path
 from ledgerfold.sources import derived, topics
 from ledgerfold.sources.store import ViewSearch, ViewStore, read_journal, read_snapshots, write_journal, write_snapshots
 from ledgerfold.sources.tables import SCHEMAS, stream_files, table, write_in_time_order
 from ledgerfold.streaming import gate as streaming_gate
+from ledgerfold.streaming import keyed
 from ledgerfold.streaming import views as streaming_views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -710,3 +711,81 @@ def stream_gate(spark, folder):
     streaming_gate.run(commands, gate.USER_GATE, decide, path, f"{path}/checkpoint", compact_every=3).awaitTermination()
     rows = gate.events(streaming_gate.decisions(spark, path), gate.USER_GATE)
     return rows.select("entity_id", "seq_nr", _stamp("ts"), "kind", "username", "email", *_address(), _department())
+
+
+@query
+def stream_keyed_gate(spark, folder):
+    """The gate with its state per entity in the state store, stopped half way."""
+    path = work_path(spark, "keyed-gate")
+    departments = stored(gate.lifecycle_events(gate.events(_department_decisions(spark, folder), gate.DEPARTMENT_GATE)), "lifecycles")
+    events = table(spark, folder, "events")
+    late = F.col("ts") >= F.lit(CUT).cast("timestamp_ntz")
+    for part in (events.filter(~late), events.filter(late)):
+        write_in_time_order(part, f"{path}/events", "ts", "user_id", 4)
+        commands = derived.user_commands(stream_files(spark, f"{path}/events", SCHEMAS["events"]))
+        keyed.run(keyed.user_commands(commands, departments), gate.USER_GATE, path, f"{path}/checkpoint").awaitTermination()
+    rows = gate.events(keyed.decisions(spark, path), gate.USER_GATE)
+    return rows.select("entity_id", "seq_nr", _stamp("ts"), "kind", "username", "email", *_address(), _department())
+
+
+def _untidy_events(spark: SparkSession, folder: str, path: str, part: int) -> DataFrame:
+    """The events as files out of order: the later half first, then the earlier half with
+    a third of the later one once more."""
+    events = table(spark, folder, "events")
+    late = F.col("ts") >= F.lit(CUT).cast("timestamp_ntz")
+    files = events.filter(late) if part == 0 else events.filter(~late | (F.col("event_id") % 3 == 0))
+    write_in_time_order(files, f"{path}/events", "ts", "user_id", 4)
+    return derived.user_journal_stream(stream_files(spark, f"{path}/events", SCHEMAS["events"]))
+
+
+@query
+def stream_state_view(spark, folder):
+    """The view folded in the state store, of late and repeated files, stopped half way."""
+    path = work_path(spark, "state-view")
+    store = ViewStore(spark, f"{path}/view", USER)
+    for part in (0, 1):
+        stream = _untidy_events(spark, folder, path, part)
+        streaming_views.fold_view(stream, store, f"{path}/checkpoint", compact_every=3).awaitTermination()
+    return _user_rows(store.all())
+
+
+@query
+def stream_republish_once(spark, folder):
+    """Repeated events give one record each, also after a stop."""
+    path = work_path(spark, "republish-once")
+    for part in (0, 1):
+        stream = _untidy_events(spark, folder, path, part)
+        streaming_views.republish(stream, USER, topics.USER_TOPIC, f"{path}/checkpoint", unique=True, path=f"{path}/records").awaitTermination()
+    return _republished(spark, path)
+
+
+def _tailed(spark: SparkSession, folder: str, label: str, read: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """What ``read(live journal, journal)`` gives of a journal that comes as a stream."""
+    path = work_path(spark, label)
+    rows = stored(_user_journal(spark, folder), "journal")
+    write_in_time_order(rows, f"{path}/journal", "ts", "entity_id")
+    live = read(stream_files(spark, f"{path}/journal", USER_JOURNAL), rows)
+    topics.write_stream(live, f"{path}/checkpoint", path=f"{path}/read").awaitTermination()
+    return _events(spark.read.schema(USER_JOURNAL).parquet(f"{path}/read"))
+
+
+@query
+def stream_from_offsets(spark, folder):
+    """A live read that starts at the stored offset of every entity."""
+    def read(live: DataFrame, rows: DataFrame) -> DataFrame:
+        offsets = rows.filter(F.col("ts") < F.lit(CUT).cast("timestamp_ntz")).groupBy("entity_id").agg(F.max("seq_nr").alias("offset"))
+        return journal.from_offsets(live, stored(offsets, "offsets"))
+
+    return _tailed(spark, folder, "tail", read)
+
+
+@query
+def stream_events_by_entity(spark, folder):
+    """Live events of one entity."""
+    return _tailed(spark, folder, "live-entity", lambda live, _: journal.by_entity(live, USER, "7", from_seq=5))
+
+
+@query
+def stream_events_by_tag(spark, folder):
+    """Live events of one shard."""
+    return _tailed(spark, folder, "live-tag", lambda live, _: journal.by_tag(live, "UserEvent1"))

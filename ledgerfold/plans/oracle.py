@@ -284,13 +284,16 @@ def statements() -> dict[str, str]:
     mixed = f"WITH {_user_decisions(admitted, MIXED)}, rej AS ({rejected})"
     text_ids = f"""ti AS (SELECT CASE WHEN user_id % 50 = 7 THEN 'polygenelubricants' WHEN user_id % 50 = 8 THEN chr(128512) || ' ' || user_id
     ELSE 'user id ' || user_id END AS entity_id, event_id + 1 AS seq_nr FROM events)"""
+    records = f"WITH {UJ} {_json('event_id + 1', 'c-user', _USER_PAYLOAD)} FROM uj"
+    resumed = f"""WITH {UJ}, off AS (SELECT entity_id, max(seq_nr) AS o FROM uj WHERE ts < TIMESTAMP '{CUT}' GROUP BY entity_id)
+SELECT {JOURNAL_COLUMNS} FROM uj LEFT JOIN off USING (entity_id) WHERE seq_nr >= coalesce(o, 0)"""
+    one_tag = f"WITH {UJ} SELECT {JOURNAL_COLUMNS} FROM uj WHERE tag = 'UserEvent1'"
     return {
         "journal_scan": f"WITH {UJ} SELECT {JOURNAL_COLUMNS} FROM uj",
         "department_journal_scan": f"WITH {DJ} SELECT entity_id, seq_nr, strftime(ts, {STAMP}) AS ts, kind, name, description, tag, timebucket FROM dj",
         "events_by_entity": f"WITH {UJ} SELECT {JOURNAL_COLUMNS} FROM uj WHERE entity_id = '42' AND seq_nr >= 5 ORDER BY seq_nr",
-        "events_by_tag": f"WITH {UJ} SELECT {JOURNAL_COLUMNS} FROM uj WHERE tag = 'UserEvent1'",
-        "events_from_offset": f"""WITH {UJ}, off AS (SELECT entity_id, max(seq_nr) AS o FROM uj WHERE ts < TIMESTAMP '{CUT}' GROUP BY entity_id)
-SELECT {JOURNAL_COLUMNS} FROM uj LEFT JOIN off USING (entity_id) WHERE seq_nr >= coalesce(o, 0)""",
+        "events_by_tag": one_tag,
+        "events_from_offset": resumed,
         "events_since_bucket": f"WITH {UJ} SELECT {JOURNAL_COLUMNS} FROM uj WHERE ts >= TIMESTAMP '2024-01-20'",
         "event_envelopes": f'WITH {UJ} SELECT entity_id, seq_nr AS "offset", strftime(ts, {STAMP}) AS created_at FROM uj',
         "oneof_events": f"""WITH {UJ}, k AS (SELECT event_id, entity_id, kind, CASE WHEN kind = 'created' THEN username END AS username,
@@ -414,7 +417,13 @@ FROM (VALUES ('username'), ('email')) p(property), (VALUES ('c1'), ('')) x(prefi
         "stream_user_view": view,
         "stream_resumed_view": view,
         "stream_department_view": department_view,
-        "stream_republish": f"WITH {UJ} {_json('event_id + 1', 'c-user', _USER_PAYLOAD)} FROM uj",
+        "stream_republish": records,
         "stream_republish_departments": f"WITH {DJ} {_json('seq_nr', 'c-department', _DEPARTMENT_PAYLOAD)} FROM dj",
         "stream_gate": gate_events,
+        "stream_keyed_gate": gate_events,
+        "stream_state_view": view,
+        "stream_republish_once": records,
+        "stream_from_offsets": resumed,
+        "stream_events_by_entity": f"WITH {UJ} SELECT {JOURNAL_COLUMNS} FROM uj WHERE entity_id = '7' AND seq_nr >= 5",
+        "stream_events_by_tag": one_tag,
     }

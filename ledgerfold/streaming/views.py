@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ledgerfold.operators import fold
 from ledgerfold.operators.specs import EntitySpec
 from ledgerfold.sources import topics
 from ledgerfold.sources.store import ViewStore
@@ -16,12 +18,12 @@ COMPACT_EVERY = 100
 
 
 def project(stream: DataFrame, name: str, checkpoint: str, handler: Callable[[DataFrame, int], None],
-            trigger: dict | None = None) -> StreamingQuery:
+            trigger: dict | None = None, mode: str = "append") -> StreamingQuery:
     """Run any batch handler over a journal stream, resuming from ``checkpoint``. A
     batch may come again after a failure, so the handler must be repeatable. An error in
     the handler fails the batch; nothing is skipped."""
     return (
-        stream.writeStream.queryName(name).foreachBatch(handler).option("checkpointLocation", checkpoint)
+        stream.writeStream.queryName(name).outputMode(mode).foreachBatch(handler).option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True})).start()
     )
 
@@ -44,8 +46,45 @@ def build_view(stream: DataFrame, store: ViewStore, checkpoint: str, trigger: di
     return project(stream, f"{store.spec.name}View", checkpoint, handle, trigger)
 
 
+def fold_view(stream: DataFrame, store: ViewStore, checkpoint: str, trigger: dict | None = None,
+              compact_every: int = COMPACT_EVERY) -> StreamingQuery:
+    """Keep a read model current, with the fold itself in the state store.
+
+    The summaries of all entities, removed ones too, are the state of a streaming aggregate
+    in update mode, so a batch writes one whole summary for each entity that it touches and
+    a restart goes on from the checkpoint. Late, repeated and reordered events change a
+    summary as they would have in order. The rows that ``store`` collects replace each other,
+    and its reads and compactions are those of ``build_view``.
+    """
+    store.create_or_extend()
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        store.append(batch, batch_id)
+        if batch_id and batch_id % compact_every == 0:
+            store.compact()
+            store.prune()
+
+    return project(fold.summarise(stream, store.spec), f"{store.spec.name}Fold", checkpoint, handle, trigger, "update")
+
+
+def once(stream: DataFrame, within: str | None = None) -> DataFrame:
+    """Each event of a journal stream the first time it comes, by entity and number.
+
+    The numbers seen are state and survive a restart. Without ``within`` they are kept for
+    good; with it (an interval such as "1 day", of event time) they are dropped once the
+    stream is that far beyond them, and repeats must come within it.
+    """
+    keys = ["entity_id", "seq_nr"]
+    if within is None:
+        return stream.dropDuplicates(keys)
+    timed = stream.withColumn("_at", F.col("ts").cast("timestamp")).withWatermark("_at", within)
+    return timed.dropDuplicatesWithinWatermark(keys).drop("_at")
+
+
 def republish(stream: DataFrame, spec: EntitySpec, topic: str, checkpoint: str, sink: str = "parquet",
-              trigger: dict | None = None, **options: str) -> StreamingQuery:
-    """Send every event on as a keyed record. Stateless and at least once."""
-    rows = topics.records(stream, spec, topic)
+              trigger: dict | None = None, unique: bool = False, within: str | None = None, **options: str) -> StreamingQuery:
+    """Send every event on as a keyed record: stateless and, if the journal repeats an
+    event, as often as it comes. ``unique`` sends each event ``once``; whether a batch that
+    fails half way is sent again is up to the sink (files are not, topics are)."""
+    rows = topics.records(once(stream, within) if unique else stream, spec, topic)
     return topics.write_stream(rows, checkpoint, sink, f"{spec.name}Topic", trigger, **options)
