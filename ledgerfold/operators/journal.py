@@ -92,11 +92,42 @@ def entity_ids(journal: DataFrame) -> DataFrame:
     return journal.select("entity_id").distinct()
 
 
+#: The last event of a tag, as a projection keeps it.
+OFFSETS = "tag string, ts timestamp_ntz, entity_id string, seq_nr bigint"
+
+
+def tag_offsets(journal: DataFrame) -> DataFrame:
+    """Last event per tag, by time, entity and number."""
+    return journal.groupBy("tag").agg(F.max(F.struct("ts", "entity_id", "seq_nr")).alias("at")).select("tag", "at.*")
+
+
+def merge_offsets(offsets: DataFrame) -> DataFrame:
+    """Offsets of several batches as one: they merge like the events that they stand for."""
+    return tag_offsets(offsets)
+
+
 def projection_offsets(journal: DataFrame, spec: EntitySpec) -> DataFrame:
     """Last event per (projection, tag), by time, entity and number."""
-    last = journal.groupBy("tag").agg(F.max(F.struct("ts", "entity_id", "seq_nr")).alias("at"))
     names = F.array(*[F.lit(p) for p in spec.projections])
-    return last.select(F.explode(names).alias("projection"), "tag", "at.*")
+    return tag_offsets(journal).select(F.explode(names).alias("projection"), "*")
+
+
+def beyond(journal: DataFrame, offsets: DataFrame) -> DataFrame:
+    """Events at or after the offset of their tag, and all of a tag without one; batch or
+    stream. What a projection that has lost its checkpoint must read: the last event comes
+    again, which the folds tolerate. Offsets are one row per tag and go by broadcast."""
+    known = offsets.select(F.col("tag").alias("_tag"), F.struct("ts", "entity_id", "seq_nr").alias("_at"))
+    joined = journal.join(F.broadcast(known), F.col("tag").eqNullSafe(F.col("_tag")), "left")
+    reached = F.col("_at").isNull() | (F.struct("ts", "entity_id", "seq_nr") >= F.col("_at"))
+    return joined.filter(reached).select(*journal.columns)
+
+
+def lag(journal: DataFrame, offsets: DataFrame) -> DataFrame:
+    """tag, lag: the events of each tag that a projection with these offsets still lacks."""
+    known = offsets.select(F.col("tag").alias("_tag"), F.struct("ts", "entity_id", "seq_nr").alias("_at"))
+    joined = journal.join(F.broadcast(known), F.col("tag").eqNullSafe(F.col("_tag")), "left")
+    lacks = F.col("_at").isNull() | (F.struct("ts", "entity_id", "seq_nr") > F.col("_at"))
+    return joined.groupBy("tag").agg(F.count_if(lacks).alias("lag"))
 
 
 def time_buckets(journal: DataFrame) -> DataFrame:

@@ -789,3 +789,41 @@ def stream_events_by_entity(spark, folder):
 def stream_events_by_tag(spark, folder):
     """Live events of one shard."""
     return _tailed(spark, folder, "live-tag", lambda live, _: journal.by_tag(live, "UserEvent1"))
+
+
+def _ledger(spark: SparkSession, folder: str, label: str, restart: bool) -> tuple[DataFrame, ViewStore]:
+    """The journal and a read model that keeps its offsets, fed with the journal's first
+    half and, with ``restart``, by a second query that has no checkpoint but the offsets."""
+    path = work_path(spark, label)
+    rows = stored(_user_journal(spark, folder), "journal")
+    store = ViewStore(spark, f"{path}/view", USER)
+    early = F.col("ts") < F.lit(CUT).cast("timestamp_ntz")
+    write_in_time_order(rows.filter(early), f"{path}/journal", "ts", "entity_id", 4)
+    live = stream_files(spark, f"{path}/journal", USER_JOURNAL)
+    streaming_views.build_view(live, store, f"{path}/checkpoint", compact_every=3, ledger=True).awaitTermination()
+    if restart:
+        write_in_time_order(rows.filter(~early), f"{path}/journal", "ts", "entity_id", 4)
+        reached = stored(store.offsets(), "offsets")
+        rest = journal.beyond(stream_files(spark, f"{path}/journal", USER_JOURNAL), reached)
+        streaming_views.build_view(rest, store, f"{path}/checkpoint-2", compact_every=3, ledger=True, first_batch=store.next_batch()).awaitTermination()
+    return rows, store
+
+
+@query
+def projection_ledger(spark, folder):
+    """The offsets that a projection has committed, after a start without its checkpoint."""
+    _, store = _ledger(spark, folder, "ledger", True)
+    return store.offsets().select(F.lit("userView").alias("projection"), "tag", _stamp("ts"), "entity_id", "seq_nr")
+
+
+@query
+def projection_ledger_view(spark, folder):
+    """The read model beside that ledger."""
+    return _user_rows(_ledger(spark, folder, "ledger-view", True)[1].all())
+
+
+@query
+def projection_lag(spark, folder):
+    """What a projection lacks that has read half of the journal."""
+    rows, store = _ledger(spark, folder, "lag", False)
+    return journal.lag(rows, store.offsets()).select(F.lit("userView").alias("projection"), "tag", "lag")

@@ -426,4 +426,8 @@ FROM (VALUES ('username'), ('email')) p(property), (VALUES ('c1'), ('')) x(prefi
         "stream_from_offsets": resumed,
         "stream_events_by_entity": f"WITH {UJ} SELECT {JOURNAL_COLUMNS} FROM uj WHERE entity_id = '7' AND seq_nr >= 5",
         "stream_events_by_tag": one_tag,
+        "projection_ledger": f"""WITH {UJ}, lasts AS (SELECT tag, max({{'ts': ts, 'id': entity_id, 'nr': seq_nr}}) AS m FROM uj GROUP BY tag)
+SELECT 'userView' AS projection, tag, strftime(m.ts, {STAMP}) AS ts, m.id AS entity_id, m.nr AS seq_nr FROM lasts""",
+        "projection_ledger_view": view,
+        "projection_lag": f"WITH {UJ} SELECT 'userView' AS projection, tag, count(*) FILTER (ts >= TIMESTAMP '{CUT}') AS lag FROM uj GROUP BY tag",
     }

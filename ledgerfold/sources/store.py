@@ -4,12 +4,15 @@ A journal is partitioned by time bucket and tag. A read model is a log of mergea
 partial results: each batch appends what changed, a read merges per entity. Every write
 goes to a folder of its own attempt and counts once Spark has marked it complete, so a
 rerun of a batch replaces the earlier attempt at one instant, a failed one is never seen,
-and no write touches what a reader may be reading. ``compact`` merges what has piled up
-into one folder, ``prune`` deletes what is replaced.
+and no write touches what a reader may be reading. ``compact`` merges what has piled up,
+but rewrites only the buckets of entities that it touches: a manifest names the valid folder
+of every bucket, and the offsets a projection has come to. ``prune`` deletes what no
+manifest names any more.
 """
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Callable
 
@@ -18,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerfold import schemas
-from ledgerfold.operators import fold, search
+from ledgerfold.operators import fold, journal, search
 from ledgerfold.operators.specs import EntitySpec
 
 
@@ -49,12 +52,30 @@ def committed(spark: SparkSession, path: str) -> dict[int, str]:
     return {number: folder for number, (_, folder) in sorted(found.items())}
 
 
-def write_journal(journal: DataFrame, path: str, mode: str = "append", partitions: tuple[str, ...] = ("timebucket", "tag")) -> None:
+def _write_text(spark: SparkSession, path: str, text: str) -> None:
+    system, place = _place(spark, path)
+    out = system.create(place, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def _read_text(spark: SparkSession, path: str) -> str:
+    system, place = _place(spark, path)
+    source = system.open(place)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8")
+    finally:
+        source.close()
+
+
+def write_journal(rows: DataFrame, path: str, mode: str = "append", partitions: tuple[str, ...] = ("timebucket", "tag")) -> None:
     """Write a tagged journal. Ranges over (partitions, entity, number) spread a busy
     hour or entity over many tasks and leave each file sorted for lookups. Small
     journals do better with the tag alone."""
     order = [*partitions, "entity_id", "seq_nr"]
-    ranged = journal.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     ranged.write.mode(mode).partitionBy(*partitions).parquet(path)
 
 
@@ -96,12 +117,22 @@ def read_snapshots(spark: SparkSession, path: str, spec: EntitySpec) -> DataFram
     return spark.read.schema(schema).parquet(runs[max(runs)]) if runs else spark.createDataFrame([], schema)
 
 
+#: Column and folder name of a bucket of entities in a read model's bases.
+_BUCKET = "_bucket"
+
+
 class MergedTable:
-    """Append-only partial results with a merge function."""
+    """Append-only partial results with a merge function.
+
+    ``buckets`` is the unit of compaction: about as many entities of a batch as there are
+    buckets make it rewrite everything, so choose more of them than a batch has entities, but
+    not so many that a bucket falls below a file of useful size. A table keeps the number
+    that it was first compacted with.
+    """
 
     def __init__(self, spark: SparkSession, path: str, schema: str, merge: Callable[[DataFrame], DataFrame],
-                 order: tuple[str, ...] = ("entity_id",)):
-        self.spark, self.path, self._merge, self.order = spark, path.rstrip("/"), merge, order
+                 order: tuple[str, ...] = ("entity_id",), buckets: int = 64):
+        self.spark, self.path, self._merge, self.order, self.buckets = spark, path.rstrip("/"), merge, order, buckets
         self._declared = schema
 
     def create_or_extend(self) -> T.StructType:
@@ -121,54 +152,124 @@ class MergedTable:
             return self.spark.createDataFrame([], self._declared).schema
         return self.spark.read.option("mergeSchema", "true").parquet(f"{self.path}/columns").schema
 
-    def append(self, rows: DataFrame, batch: int) -> None:
-        rows.write.parquet(attempt(f"{self.path}/delta", "batch", batch))
+    def append(self, rows: DataFrame, batch: int, offsets: DataFrame | None = None) -> None:
+        """Append a batch, with the ``journal.tag_offsets`` that it comes to. The offsets
+        are written ahead, under the name of the batch's attempt, and count from the
+        instant that the batch itself counts."""
+        target = attempt(f"{self.path}/delta", "batch", batch)
+        if offsets is not None:
+            offsets.coalesce(1).write.parquet(f"{self.path}/offsets/{target.rpartition('/')[2]}")
+        rows.write.parquet(target)
+
+    def _manifest(self, before: int | None = None) -> tuple[int | None, dict]:
+        """The latest manifest, of the batches ahead of ``before`` or of all, and the last
+        batch that it covers."""
+        found = committed(self.spark, f"{self.path}/manifest")
+        upto = max((n for n in found if before is None or n < before), default=None)
+        if upto is None:
+            return None, {"buckets": self.buckets, "folders": {}, "offsets": None}
+        return upto, json.loads(_read_text(self.spark, f"{found[upto]}/manifest.json"))
+
+    def _batches(self, after: int | None, before: int | None = None) -> list[str]:
+        batches = committed(self.spark, f"{self.path}/delta")
+        return [f for b, f in batches.items() if (after is None or b > after) and (before is None or b < before)]
 
     def read(self, before: int | None = None, where: Column | None = None) -> DataFrame:
         """One merged row per entity, of the batches ahead of ``before`` or of all.
         ``where`` keeps whole entities; it reaches the scans below the merge."""
         schema = self.schema()
-        bases, batches = committed(self.spark, f"{self.path}/base"), committed(self.spark, f"{self.path}/delta")
-        base = max((b for b in bases if before is None or b < before), default=None)
-        folders = [] if base is None else [bases[base]]
-        folders += [f for b, f in batches.items() if (base is None or b > base) and (before is None or b < before)]
+        upto, manifest = self._manifest(before)
+        folders = [f"{self.path}/{f}" for f in manifest["folders"].values()] + self._batches(upto, before)
         if not folders:
             return self.spark.createDataFrame([], schema)
         rows = self.spark.read.schema(schema).parquet(*folders)
         return self._merge(rows if where is None else rows.filter(where))
 
+    def next_batch(self) -> int:
+        """The number behind all batches that count."""
+        upto, _ = self._manifest()
+        return max([-1 if upto is None else upto, *committed(self.spark, f"{self.path}/delta")]) + 1
+
+    def offsets(self) -> DataFrame:
+        """tag, ts, entity_id, seq_nr: the last event of each tag in the batches that count."""
+        upto, manifest = self._manifest()
+        named = {name: f"{self.path}/offsets/{name}" for name in _list(self.spark, f"{self.path}/offsets")}
+        folders = [named[n] for n in (f.rpartition("/")[2] for f in self._batches(upto)) if n in named]
+        folders += [f"{self.path}/{manifest['offsets']}"] if manifest["offsets"] else []
+        if not folders:
+            return self.spark.createDataFrame([], journal.OFFSETS)
+        return journal.merge_offsets(self.spark.read.schema(journal.OFFSETS).parquet(*folders))
+
     def compact(self) -> None:
-        """Merge everything appended so far into one base folder, sorted for lookups."""
+        """Merge everything appended since the last time into the buckets of its entities;
+        the others stay as they are. Readers go on with the earlier manifest until the new
+        one is marked complete."""
+        upto, manifest = self._manifest()
         batches = committed(self.spark, f"{self.path}/delta")
-        if batches and max(batches) not in committed(self.spark, f"{self.path}/base"):
-            merged = self.read().repartitionByRange(*self.order).sortWithinPartitions(*self.order)
-            merged.write.parquet(attempt(f"{self.path}/base", "upto", max(batches)))
+        fresh = self._batches(upto)
+        if not fresh:
+            return
+        schema, bucket = self.schema(), F.pmod(F.xxhash64("entity_id"), F.lit(manifest["buckets"])).cast("int").alias(_BUCKET)
+        changed = self.spark.read.schema(schema).parquet(*fresh)
+        touched = sorted(r[0] for r in changed.select(bucket).distinct().collect())  # at most as many as buckets
+        name = f"upto={max(batches)}-{time.time_ns()}"
+        folders = dict(manifest["folders"])
+        if touched:
+            earlier = [f"{self.path}/{folders[str(b)]}" for b in touched if str(b) in folders]
+            rows = changed.unionByName(self.spark.read.schema(schema).parquet(*earlier)) if earlier else changed
+            merged = self._merge(rows).select("*", bucket).repartitionByRange(_BUCKET, *self.order)
+            merged.sortWithinPartitions(_BUCKET, *self.order).write.partitionBy(_BUCKET).parquet(f"{self.path}/base/{name}")
+            folders |= {str(b): f"base/{name}/{_BUCKET}={b}" for b in touched}
+        offsets, known = manifest["offsets"], self.offsets()
+        if _list(self.spark, f"{self.path}/offsets"):
+            offsets = f"offsets/{name}"
+            known.coalesce(1).write.parquet(f"{self.path}/{offsets}")
+        whole = json.dumps({"buckets": manifest["buckets"], "folders": folders, "offsets": offsets})
+        _write_text(self.spark, f"{self.path}/manifest/{name}/manifest.json", whole)
+        _write_text(self.spark, f"{self.path}/manifest/{name}/_SUCCESS", "")
 
     def prune(self) -> None:
-        """Delete what the last two bases replace. Readers of the newest base and a rerun
-        of the last batch need none of it."""
-        bases = committed(self.spark, f"{self.path}/base")
-        if len(bases) < 2:
+        """Delete what only manifests ahead of the last two name. Readers of the newest and a
+        rerun of the last batch need none of it."""
+        manifests = committed(self.spark, f"{self.path}/manifest")
+        if len(manifests) < 2:
             return
-        kept = sorted(bases)[-2]
-        for kind, last in (("delta", kept), ("base", kept - 1)):
+        before_last, last = sorted(manifests)[-2:]
+        texts = [json.loads(_read_text(self.spark, f"{manifests[n]}/manifest.json")) for n in (before_last, last)]
+        needed = {f for t in texts for f in (*t["folders"].values(), t["offsets"]) if f}
+
+        def delete(name: str) -> None:
+            system, place = _place(self.spark, f"{self.path}/{name}")
+            system.delete(place, True)
+
+        def number(name: str) -> int:
+            return int(name.partition("=")[2].partition("-")[0])
+
+        for kind in ("delta", "manifest", "offsets"):
+            limit = before_last - 1 if kind == "manifest" else before_last
             for name in _list(self.spark, f"{self.path}/{kind}"):
-                number = name.partition("=")[2].partition("-")[0]
-                if number.isdigit() and int(number) <= last:
-                    system, place = _place(self.spark, f"{self.path}/{kind}/{name}")
-                    system.delete(place, True)
+                if number(name) <= limit and f"{kind}/{name}" not in needed:
+                    delete(f"{kind}/{name}")
+        for name in _list(self.spark, f"{self.path}/base"):
+            own = [f"base/{name}/{b}" for b in _list(self.spark, f"{self.path}/base/{name}") if b.startswith(_BUCKET)]
+            if number(name) <= last and not needed.intersection(own):
+                delete(f"base/{name}")
+            elif number(name) <= last:
+                for folder in set(own) - needed:
+                    delete(folder)
 
 
 class ViewStore(MergedTable):
     """A read model of one entity type."""
 
-    def __init__(self, spark: SparkSession, path: str, spec: EntitySpec):
-        super().__init__(spark, path, fold.summary_schema(spec), lambda rows: fold.merge(rows, spec))
+    def __init__(self, spark: SparkSession, path: str, spec: EntitySpec, buckets: int = 64):
+        super().__init__(spark, path, fold.summary_schema(spec), lambda rows: fold.merge(rows, spec), buckets=buckets)
         self.spec = spec
 
-    def apply(self, events: DataFrame, batch: int) -> None:
-        """Fold a batch of events into the view."""
-        self.append(fold.summarise(events, self.spec), batch)
+    def apply(self, events: DataFrame, batch: int, ledger: bool = False) -> None:
+        """Fold a batch of events into the view; ``ledger`` keeps how far each tag got, of
+        events that have a ``tag`` and a ``ts``."""
+        self.append(fold.summarise(events, self.spec), batch, journal.tag_offsets(events) if ledger else None)
 
     def upsert(self, rows: DataFrame, batch: int, seq: str = "seq_nr") -> None:
         """Insert rows or set fields of existing ones (id, ``seq``, fields). Only the fields

@@ -29,16 +29,27 @@ def project(stream: DataFrame, name: str, checkpoint: str, handler: Callable[[Da
 
 
 def build_view(stream: DataFrame, store: ViewStore, checkpoint: str, trigger: dict | None = None,
-               compact_every: int = COMPACT_EVERY) -> StreamingQuery:
+               compact_every: int = COMPACT_EVERY, ledger: bool = False, first_batch: int = 0) -> StreamingQuery:
     """Keep a read model current.
 
     Each batch is folded by itself and appended; the fold is associative, so late,
-    repeated and reordered events need no state between batches.
+    repeated and reordered events need no state between batches. With ``ledger`` the read
+    model also keeps how far each tag got, committed with the batch: ``store.offsets`` tells
+    it, ``journal.lag`` what is still to come, and ``journal.beyond`` lets a query without
+    the old checkpoint go on. Such a query numbers its batches from 0 again and needs
+    ``first_batch``.
     """
     store.create_or_extend()
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        store.apply(batch, batch_id)
+        batch_id += first_batch
+        if ledger:
+            batch.persist()  # folded, and asked for its offsets
+        try:
+            store.apply(batch, batch_id, ledger)
+        finally:
+            if ledger:
+                batch.unpersist()
         if batch_id and batch_id % compact_every == 0:
             store.compact()
             store.prune()

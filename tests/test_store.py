@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,13 +80,85 @@ def test_pruning_keeps_the_view(spark, tmp_path):
         if batch in (1, 3, 4):
             store.compact()
     store.prune()
-    assert sorted(p.name.split("-")[0] for p in (tmp_path / "v" / "base").iterdir()) == ["upto=3", "upto=4"]
+    assert sorted(p.name.split("-")[0] for p in (tmp_path / "v" / "manifest").iterdir()) == ["upto=3", "upto=4"]
+    named = {f for m in (tmp_path / "v" / "manifest").iterdir() for f in json.loads((m / "manifest.json").read_text())["folders"].values()}
+    assert {str(p.relative_to(tmp_path / "v")) for p in (tmp_path / "v" / "base").glob("*/_bucket=*")} == named
     assert sorted(p.name.split("-")[0] for p in (tmp_path / "v" / "delta").iterdir()) == ["batch=4", "batch=5"]
     assert _by_id(store.all(secrets=True)) == model.view(rows)
     before_last = [r for b in range(5) for r in rows[b::6]]
     assert _by_id(fold.finish(store.read(before=5), USER, secrets=True)) == model.view(before_last)
 
 
+def _files(path):
+    """Data files of a table's bases, by bucket."""
+    return {p: p.stat().st_mtime_ns for p in path.glob("base/*/_bucket=*/*.parquet")}
+
+
+def test_compaction_rewrites_the_buckets_that_it_touches(spark, tmp_path):
+    """1 % of the entities: about 1 % of the files are new, the others stay named."""
+    entities = [f"e{i}" for i in range(400)]
+    rows = [(e, 1, model.START, "created", e, f"{e}@x", "p", None, None) for e in entities]
+    store = ViewStore(spark, str(tmp_path / "v"), USER, buckets=256)
+    store.apply(frame(spark, rows), 0)
+    store.compact()
+    first = _files(tmp_path / "v")
+    more = [(e, 2, model.START, "emailUpdated", None, "new", None, None, None) for e in entities[::100]]
+    store.apply(frame(spark, more), 1)
+    store.compact()
+    new = set(_files(tmp_path / "v")) - set(first)
+    assert len(first) > 150 and 0 < len(new) <= 4
+    assert _by_id(store.all(secrets=True)) == model.view(rows + more)
+    # The earlier manifest is still readable, and goes with the second next one.
+    assert _by_id(fold.finish(store.read(before=1), USER, secrets=True)) == model.view(rows)
+    store.apply(frame(spark, [(e, 3, model.START, "removed", None, None, None, None, None) for e in entities[::100]]), 2)
+    store.compact()
+    store.prune()
+    left = _files(tmp_path / "v")
+    assert len(set(left) & set(first)) == len(first) - len(new) and len(left) == len(first) + len(new)
+    assert store.all().count() == 396
+    reopened = ViewStore(spark, str(tmp_path / "v"), USER, buckets=8)
+    reopened.apply(frame(spark, more), 3)
+    reopened.compact()
+    assert reopened.all().count() == 396 and len(set(_files(tmp_path / "v")) - set(left)) <= 4
+
+
+def test_an_unfinished_compaction_is_not_read(spark, tmp_path):
+    rows = model.random_journal(16)
+    store = ViewStore(spark, str(tmp_path / "v"), USER)
+    store.apply(frame(spark, rows[:50]), 0)
+    store.compact()
+    store.apply(frame(spark, rows[50:]), 1)
+    store.compact()
+    (next((tmp_path / "v" / "manifest").glob("upto=1-*")) / "_SUCCESS").unlink()
+    assert _by_id(store.all(secrets=True)) == model.view(rows)
+    store.compact()
+    assert _by_id(store.all(secrets=True)) == model.view(rows)
+
+
+def test_offsets_count_with_their_batch(spark, tmp_path):
+    rows = sorted(model.random_journal(17), key=lambda r: (r[2], r[0], r[1]))
+    store = ViewStore(spark, str(tmp_path / "v"), USER)
+    whole = journal.with_tags(frame(spark, rows), USER)
+    assert store.offsets().count() == 0 and store.next_batch() == 0
+
+    def want(n):
+        return sorted(map(tuple, journal.tag_offsets(journal.with_tags(frame(spark, rows[:n]), USER)).collect()))
+
+    for batch, (i, j) in enumerate([(0, 30), (30, 60), (60, 90)]):
+        store.apply(journal.with_tags(frame(spark, rows[i:j]), USER), batch, ledger=True)
+        if batch == 1:
+            store.compact()
+        assert sorted(map(tuple, store.offsets().collect())) == want(j) and store.next_batch() == batch + 1
+    (next((tmp_path / "v" / "delta").glob("batch=2-*")) / "_SUCCESS").unlink()
+    assert sorted(map(tuple, store.offsets().collect())) == want(60)
+    lag = {r["tag"]: r["lag"] for r in journal.lag(whole, store.offsets()).collect()}
+    at = {r["tag"]: (r["ts"], r["entity_id"], r["seq_nr"]) for r in store.offsets().collect()}
+    later = [r for r in whole.collect() if r["tag"] not in at or (r["ts"], r["entity_id"], r["seq_nr"]) > at[r["tag"]]]
+    assert sum(lag.values()) == len(later) > 0
+    beyond = journal.beyond(whole, store.offsets())
+    assert beyond.count() == len(later) + len(at)
+
+
 def test_upsert_and_delete(spark, tmp_path):
     store = ViewStore(spark, str(tmp_path / "v"), USER)
     schema = "id string, seq_nr bigint, username string, email string"
