@@ -33,7 +33,7 @@ FAN = 8
 #: Bytes of text whose links are counted together.
 BLOCK = 8 << 20
 #: Pieces whose tokens a worker remembers, twice as many at most, and the longest of them.
-MEMO, MEMO_CHARS = 200_000, 48
+MEMO, MEMO_CHARS = 120_000, 48
 #: Bytes of compressed tokens whose links are looked up at a time.
 PART = 1 << 20
 #: A single blank between two characters that are none: neither tokenizer has a token that
@@ -243,13 +243,19 @@ def _coder(files: Vocabularies) -> Coder:
     return Coder(files)
 
 
+@functools.lru_cache(maxsize=1)
+def _packers() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
+    """One of each for a worker process: to make them takes longer than a short text does."""
+    return zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
+
+
 _DOC = "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string, tokens binary, block bigint"
 _FRAGMENT = "uid bigint, doc_id bigint, k int, a binary, b binary, ga array<int>, gb array<int>, ok boolean"
 
 
 def _row(doc_id, a: bytes, b: bytes, n_groups: int, groups: str, width: int, block: int) -> tuple:
     n_a, n_b = len(a) // width, len(b) // width
-    packed = zstandard.ZstdCompressor(level=3).compress(n_a.to_bytes(8, "little") + a + b) if n_a else None
+    packed = _packers()[0].compress(n_a.to_bytes(8, "little") + a + b) if n_a else None
     sha = hashlib.sha256(groups.encode()).hexdigest() if n_a else ""
     return doc_id, n_a, n_b, n_groups, n_a + n_b - n_groups, sha, packed, block
 
@@ -357,7 +363,7 @@ def encoded(docs: DataFrame, files: Vocabularies, chunk: int = CHUNK) -> DataFra
 
 
 def _unpacked(coder: Coder, tokens: bytes) -> tuple[np.ndarray, np.ndarray]:
-    raw = zstandard.ZstdDecompressor().decompress(tokens)
+    raw = _packers()[1].decompress(tokens)
     cut = 8 + int.from_bytes(raw[:8], "little") * coder.width
     return coder.ids(raw[8:cut]), coder.ids(raw[cut:])
 
@@ -404,7 +410,8 @@ def pairs(rows: DataFrame, files: Vocabularies) -> DataFrame:
     shape = pa.schema([("block", pa.int64()), ("a", pa.int32()), ("b", pa.int32()), ("n", pa.int64())])
 
     def counted(block: int, found: list[np.ndarray]):
-        key, n = np.unique(np.concatenate(found), return_counts=True)
+        seen = pa.chunked_array([pa.array(f) for f in found]).value_counts()
+        key, n = (seen.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), block, np.int64)), pa.array((key >> 32).astype(np.int32)), pa.array((key & 0xFFFFFFFF).astype(np.int32)), pa.array(n.astype(np.int64))], schema=shape)
 
     def run(batches):
@@ -468,9 +475,10 @@ def report(docs: DataFrame, files: Vocabularies, chunk: int = CHUNK) -> DataFram
         sums: list[list[np.ndarray]] = [[], []]
         for i, j in _parts(tokens):
             links, until = _joined(coder, tokens[i:j])
-            place = np.searchsorted(pair, links)
+            coded = pa.array(links).dictionary_encode()
+            place, at = np.searchsorted(pair, coded.dictionary.to_numpy()), coded.indices.to_numpy()
             for done, value in zip(sums, values):
-                done.append(np.diff(np.concatenate([[0], np.cumsum(value[place])])[until], prepend=0))
+                done.append(np.diff(np.concatenate([[0], np.cumsum(value[place][at])])[until], prepend=0))
         give_back()
         return left.select(columns).append_column("n_best", pa.array(np.concatenate(sums[0]))).append_column("count_sum", pa.array(np.concatenate(sums[1])))
 
