@@ -99,9 +99,10 @@ def count_texts(texts: list[str], tokenizer: Tokenizer) -> list[int]:
         missing.update(new)
         rows.append(new)
         totals.append(sum(filter(None, found)))
-    # Letters and the marks behind them are tokenized apart.
+    # Letters and the marks behind them are tokenized apart, but for a letter that is one no
+    # more in lower case: the tokenizer lowers it to a letter and a mark, which joins them.
     cuts = {c: len(c.rstrip(MARKS)) for c in missing}
-    cuts = {c: n for c, n in cuts.items() if 0 < n < len(c) and c[:n].isalpha()}
+    cuts = {c: n for c, n in cuts.items() if 0 < n < len(c) and c[:n].isalpha() and c[:n].lower().isalpha()}
     parts = {c for c in missing if c not in cuts}
     parts.update(part for c, n in cuts.items() for part in (c[:n], c[n:]))
     known = {c: memo[c] for c in parts if c in memo}

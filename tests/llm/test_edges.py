@@ -312,3 +312,19 @@ def test_substring_round_a_phrase_of_many_texts(spark, n):
         every = docs if at == 0 else every + docs
     found = {r["doc_id"]: (r["first_word"], r["n_words"], r["class_doc_id"]) for r in substring.repeats(frame(spark, every)).collect()}
     assert found == {1000 * at + n - 2: (60, 52, 1000 * at + n // 2) for at in range(30)}
+
+
+def test_token_counts_of_any_text():
+    """Against the library, over letters that change their kind in lower case, marks and
+    white space of all sorts."""
+    import random
+
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, own, noise = Tokenizer.from_file(path), tokens.Tokenizer(path, by_space=True), random.Random(7)
+    parts = ["İ", "I", "ı", "Σ", "ß", "é", "e\u0301", "ǅ", "ﬁ", "K", "x", "the", "Word", "12", "½", "'s", "'", "-", ".", "@", "!!", "_", " ", "  ", "\n", "\t", "\u00a0", "\u3000", "语", "😀", "<|endoftext|>"]
+    texts = ["".join(noise.choice(parts) for _ in range(noise.randint(0, 8))) for _ in range(20_000)] + ["İ-", "İ. @l", "İİ!"]
+    for start in range(0, len(texts), 256):
+        some = texts[start:start + 256]
+        assert tokens.count_texts(some, own) == [len(e.ids) for e in library.encode_batch(some, add_special_tokens=False)]
