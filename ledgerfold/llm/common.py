@@ -56,11 +56,26 @@ def give_back() -> None:
         _TRIM(0)
 
 
+_KEPT: dict[str, dict] = {}
+
+
+def kept(owner: str) -> dict:
+    """What ``owner`` keeps between the batches of a Python worker. Later stages reuse the
+    worker, so the first batch of another owner drops what the one before has kept."""
+    if owner not in _KEPT:
+        _KEPT.clear()
+        give_back()
+    return _KEPT.setdefault(owner, {})
+
+
 def trimmed(function):
-    """For the body of an Arrow UDF: gives back what each batch took."""
+    """For the body of an Arrow UDF: gives back what each batch took, and what the
+    operators of earlier stages keep."""
+    owner = function.__module__
 
     @functools.wraps(function)
     def run(*columns):
+        kept(owner)
         result = function(*columns)
         give_back()
         return result

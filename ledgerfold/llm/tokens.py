@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
-from ledgerfold.llm.common import give_back, ship
+from ledgerfold.llm.common import give_back, kept, ship
 from ledgerfold.session import stored, work_path
 
 CACHE_SCHEMA = "digest binary, n_tokens bigint, version string"
@@ -42,13 +42,11 @@ class Tokenizer:
             return hashlib.sha256(file.read()).hexdigest()
 
 
-_READY: dict = {}
-
-
 def _ready(tokenizer: Tokenizer):
     """Per worker process: functions from texts and from words to counts, and a memory of
     chunks."""
-    if tokenizer not in _READY:
+    ready = kept(__name__)
+    if tokenizer not in ready:
         if tokenizer.path.endswith(".json"):
             os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the cores belong to the tasks
             from tokenizers import Tokenizer as Library
@@ -80,8 +78,8 @@ def _ready(tokenizer: Tokenizer):
 
             def count_words(texts):
                 return None
-        _READY[tokenizer] = (count, count_words, {})
-    return _READY[tokenizer]
+        ready[tokenizer] = (count, count_words, {})
+    return ready[tokenizer]
 
 
 def count_texts(texts: list[str], tokenizer: Tokenizer) -> list[int]:

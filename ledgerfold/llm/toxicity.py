@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from ledgerfold.llm.common import give_back, hashed, ship, trimmed, words
+from ledgerfold.llm.common import give_back, hashed, kept, ship, trimmed, words
 from ledgerfold.session import stored
 
 #: Bounds of the fit: labelled rows, and terms and stems of the lexicon.
@@ -118,6 +118,8 @@ class Lexicon:
             step = (state, letter if letter in self.letters else "")
             state = self.steps.get(step)
             if state is None:
+                if len(self.steps) >= MEMO:
+                    self.steps.clear()
                 state = self.steps[step] = self._step(*step)
             if not state:
                 break
@@ -271,16 +273,13 @@ def scorer(model: Model):
     return score
 
 
-_MODELS: dict = {}
-
-
 def _model(terms, stems, weights, bias) -> Model:
     """Built once per worker process, with the automaton's states and the words seen."""
-    key = (terms, stems, weights, bias)
-    if key not in _MODELS:
-        _MODELS.clear()
-        _MODELS[key] = Model(Lexicon(terms, stems), weights, bias)
-    return _MODELS[key]
+    models, key = kept(__name__), (terms, stems, weights, bias)
+    if key not in models:
+        models.clear()
+        models[key] = Model(Lexicon(terms, stems), weights, bias)
+    return models[key]
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
