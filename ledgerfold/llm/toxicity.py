@@ -174,14 +174,17 @@ class Model:
 
 def _terms(sample: DataFrame) -> Lexicon:
     """Words and stems of the sample that stand in toxic texts far more often than chance
-    would have it: with ``n`` words tested, a term that is as common elsewhere passes with
+    would have it. Texts of one ``key`` and label count as one, so a word that only the
+    copies of one toxic text hold is no term. With ``n`` words tested, a term that is as common elsewhere passes with
     a probability below 0.05 in all."""
-    totals = sample.agg(F.count("*"), F.sum("toxic")).first()
+    groups = sample.select("key", "toxic").distinct()
+    totals = groups.agg(F.count("*"), F.sum("toxic")).first()
     share = (totals[1] or 0) / max(1, totals[0])
     if not 0 < share < 1:
         return Lexicon((), ())
     found = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}]{3,40})"), F.lit(1)))
-    counts = sample.select("toxic", F.explode(found).alias("word")).groupBy("word").agg(F.sum("toxic").alias("hits"), F.count("*").alias("texts"))
+    held = sample.select("key", "toxic", F.explode(found).alias("word")).distinct()
+    counts = held.groupBy("word").agg(F.sum("toxic").alias("hits"), F.count("*").alias("texts"))
     counts = stored(counts, "word-counts")
     tested = counts.where(F.col("texts") >= LEAST_TEXTS).count()
 
@@ -230,8 +233,9 @@ def held_out(doc_id: str) -> Column:
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Learns from the labelled texts whose ``crc32(doc_id) mod 5`` is not 0: of these the
-    ``sample`` rows with the smallest hash of their id, equal texts once. Without rows of
-    both labels the model has no terms and scores everything alike."""
+    ``sample`` rows with the smallest hash of their id, equal texts once, toxic if any of
+    their rows is. Without rows of both labels the model has no terms and scores
+    everything alike."""
     ship(docs.sparkSession)
     known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(~held_out("doc_id"))
     known = known.groupBy(F.col("doc_id").alias("id")).agg(F.max(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("toxic"))
@@ -239,11 +243,10 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     # At most ``sample`` pairs of numbers: a bounded broadcast, so texts are not shuffled.
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("id"))
     rows = stored(rows.where("text IS NOT NULL").select("text", "toxic"), "labelled")
-    # One text of those that share their smallest five-word hash: a word that only the
-    # copies of one toxic text hold is no term.
+    # Texts that share their smallest five-word hash are near copies for the choice of terms.
     five = F.when(F.size("w") >= 5, F.transform(F.sequence(F.lit(1), F.size("w") - 4), lambda i: F.xxhash64(F.slice("w", i, 5))))
     rows = rows.withColumn("w", hashed(words(F.col("text")))).withColumn("key", F.coalesce(F.array_min(five), F.xxhash64("w")))
-    rows = stored(rows.groupBy("key").agg(F.min_by("text", F.struct("text", "toxic")).alias("text"), F.max("toxic").alias("toxic")), "labelled")
+    rows = stored(rows.groupBy("text").agg(F.min("key").alias("key"), F.max("toxic").alias("toxic")), "labelled")
     lexicon = _terms(rows)
 
     @arrow_udf("array<double>")
