@@ -1,6 +1,9 @@
 """Nulls, empty and very long texts, ties and repeated rows, empty tables, odd columns."""
 
+import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 import brute
 import public_tokenizers
@@ -328,3 +331,53 @@ def test_token_counts_of_any_text():
     for start in range(0, len(texts), 256):
         some = texts[start:start + 256]
         assert tokens.count_texts(some, own) == [len(e.ids) for e in library.encode_batch(some, add_special_tokens=False)]
+
+
+def test_a_passage_ahead_of_a_reworded_continuation():
+    """A chain of edits is cut where it is too different, not given up."""
+    rng = np.random.default_rng(1)
+    new = lambda n: rng.integers(0, 1 << 30, n).astype(np.int32)
+    passage = new(400)
+    later = passage.copy()
+    later[30] = 1
+    later[60::8] = new(len(later[60::8]))  # one word of eight is another
+    a, b = np.concatenate([new(30), passage, new(30)]), np.concatenate([new(50), later])
+    for seeds in ([0], [0, 62, 200, 300]):
+        at = np.array(seeds) + 10
+        runs = substring.common_runs(a, b, at + 30, at + 50)
+        assert runs == [(30, 90, 50, 110)]
+
+
+@given(st.lists(st.tuples(st.integers(0, 280), st.integers(0, 2)), max_size=25), st.integers(0, 9))
+@settings(max_examples=60, deadline=None)
+def test_passages_of_a_chain(edits, seed):
+    """Every passage meets the rule, none comes twice, and where no window of the chain's
+    stretches is longer and similar, the longest is found."""
+    a = np.random.default_rng(seed).integers(0, 1 << 30, 300).astype(np.int32)
+    b = a.tolist()
+    for place, kind in edits:
+        place = min(place, len(b) - 1)
+        b[place:place + 1] = {0: [-1 - place], 1: [], 2: [b[place], -1000 - place]}[kind]
+    b = np.array(b, np.int32)
+    if len(b) < 5 or (a[:5] != b[:5]).any():
+        return
+    runs = substring.common_runs(a, b, np.array([0]), np.array([0]))
+    assert len(set(runs)) == len(runs)
+    assert all(min(end - first, to - at) >= substring.LEAST and substring._similar(a[first:end], b[at:to]) for first, end, at, to in runs)
+    chain = substring._chain(a, b, 0, 0).tolist()
+    best = max((y[0] + y[2] - x[0] for i, x in enumerate(chain) for y in chain[i:]
+                if min(y[0] + y[2] - x[0], y[1] + y[2] - x[1]) >= substring.LEAST
+                and substring._similar(a[x[0]:y[0] + y[2]], b[x[1]:y[1] + y[2]])), default=0)
+    found = max((end - first for first, end, _, _ in runs), default=0)
+    assert found >= best - 8  # where the sum and the sets differ by a shingle
+    assert bool(best) == bool(found)
+
+
+def test_labelled_texts_are_all_learned_from(spark):
+    """Texts that share a line and differ in their labels keep them."""
+    line = "please read the rules of this board before you post anything"
+    labels = frame(spark, [(i, i % 2) for i in range(200)], "doc_id bigint, toxic int")
+    docs = [(i, f"{' '.join(f'w{i}x{k}' for k in range(8))} {'grobulous' if i % 2 else 'friendly'} {line}") for i in range(200)]
+    model = toxicity.learn(frame(spark, docs), labels)
+    clean, toxic = model.scores([docs[2][1], docs[1][1]])
+    assert clean < 0.5 < toxic
