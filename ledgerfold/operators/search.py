@@ -99,11 +99,18 @@ def all_pages(hits: DataFrame, sorts: Iterable[tuple[str, bool]] = (), page_size
 def suggest(view: DataFrame, prefix: str, properties: Sequence[str] = SUGGESTED, size: int = SUGGESTIONS) -> DataFrame:
     """Completions: flat rows (property, rank, text, score, freq). An empty prefix
     suggests nothing. One bounded top-k per property instead of a two-group window."""
+    def hits(name: str) -> DataFrame:
+        hit = F.startswith(F.lower(F.col(name)), F.lit(prefix.lower())) if prefix else F.lit(False)
+        return view.filter(hit).select("id", F.col(name).alias("text"))
+
+    return completions([(name, hits(name)) for name in properties], size)
+
+
+def completions(found: Sequence[tuple[str, DataFrame]], size: int = SUGGESTIONS) -> DataFrame:
+    """The first ``size`` of each property's hits (``id``, ``text``), as ``suggest`` gives them."""
     parts = []
-    for number, name in enumerate(properties):
-        value = F.col(name)
-        hit = F.startswith(F.lower(value), F.lit(prefix.lower())) if prefix else F.lit(False)
-        best = view.filter(hit).select("id", value.alias("text")).orderBy("text", "id").limit(size)
+    for number, (name, hits) in enumerate(found):
+        best = hits.select("id", "text").orderBy("text", "id").limit(size)
         parts.append(best.select(F.lit(number).alias("position"), F.lit(name).alias("property"), "id", "text"))
     rows = reduce(DataFrame.unionByName, parts)
     # At most `size` rows per property reach this window.

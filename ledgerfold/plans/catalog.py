@@ -14,6 +14,7 @@ from ledgerfold.operators.specs import DEPARTMENT, USER
 from ledgerfold.schemas import DEPARTMENT_JOURNAL, USER_JOURNAL, USER_VIEW
 from ledgerfold.session import stored, work_path
 from ledgerfold.sources import derived, topics
+from ledgerfold.sources.lookup import Completions, Postings
 from ledgerfold.sources.store import ViewSearch, ViewStore, read_journal, read_snapshots, write_journal, write_snapshots
 from ledgerfold.sources.tables import SCHEMAS, stream_files, table, write_in_time_order
 from ledgerfold.streaming import gate as streaming_gate
@@ -547,6 +548,40 @@ def suggest_users(spark, folder):
     return search.suggest(derived.customer_view(spark, folder), "C").select("property", "rank", "text", "score", "freq")
 
 
+@query
+def lookup_suggest_users(spark, folder):
+    """Suggestions from the sorted table, after a batch that renames, one that corrects and
+    removes, and one that brings back."""
+    view = derived.customer_view(spark, folder)
+    kept = Completions(spark, work_path(spark, "completions"))
+    kept.apply(view.withColumn("username", F.concat(F.lit("C0"), "username")), 0)
+    kept.compact()
+    third = F.pmod(F.crc32("id"), F.lit(3)) == 0
+    kept.apply(view.filter(~third), 1, removed=view.filter(third))
+    kept.apply(view.filter(third), 2)
+    return kept.suggest("C").select("property", "rank", "text", "score", "freq")
+
+
+def _document_postings(spark, folder):
+    docs = table(spark, folder, "documents")
+    kept = Postings(spark, work_path(spark, "postings"), ("text",), "doc_id", "bigint")
+    kept.apply(docs, 0)
+    return docs, kept
+
+
+@query
+def lookup_search_documents(spark, folder):
+    """All terms, from the postings of every document."""
+    docs, kept = _document_postings(spark, folder)
+    return kept.matching(docs, ALL_QUERY, "all").select("doc_id", "lang", "source")
+
+
+@query
+def lookup_phrase_documents(spark, folder):
+    docs, kept = _document_postings(spark, folder)
+    return kept.matching(docs, PHRASE, "phrase").select("doc_id")
+
+
 @query
 def suggest_lists(spark, folder):
     """One list per property: completions of a prefix, and none of a missing one."""

@@ -288,6 +288,12 @@ def statements() -> dict[str, str]:
     resumed = f"""WITH {UJ}, off AS (SELECT entity_id, max(seq_nr) AS o FROM uj WHERE ts < TIMESTAMP '{CUT}' GROUP BY entity_id)
 SELECT {JOURNAL_COLUMNS} FROM uj LEFT JOIN off USING (entity_id) WHERE seq_nr >= coalesce(o, 0)"""
     one_tag = f"WITH {UJ} SELECT {JOURNAL_COLUMNS} FROM uj WHERE tag = 'UserEvent1'"
+    phrase_documents = (
+        "SELECT doc_id FROM documents WHERE regexp_matches(lower(coalesce(text, '')), "
+        f"'(^|[^\\p{{L}}\\p{{N}}]){'[^\\p{L}\\p{N}]+'.join(PHRASE.split())}($|[^\\p{{L}}\\p{{N}}])')"
+    )
+    all_documents = f"SELECT doc_id, lang, source FROM documents WHERE list_has_all({_tokens('text')}, {ALL_QUERY.split()})"
+    suggested = f"WITH {CV} ({_suggest('username')}) UNION ALL ({_suggest('email')})"
     return {
         "journal_scan": f"WITH {UJ} SELECT {JOURNAL_COLUMNS} FROM uj",
         "department_journal_scan": f"WITH {DJ} SELECT entity_id, seq_nr, strftime(ts, {STAMP}) AS ts, kind, name, description, tag, timebucket FROM dj",
@@ -384,8 +390,8 @@ SELECT entity_id, row_number() OVER (PARTITION BY entity_id ORDER BY ts, cmd_id)
         "search_all_terms": f"{customers} WHERE ({_any(['machinery'])}) AND ({_any(['d3'])})",
         "search_phrase": f"{customers} WHERE " + " OR ".join(
             f"regexp_matches(lower(coalesce({f}, '')), '(^|[^\\p{{L}}\\p{{N}}])city[^\\p{{L}}\\p{{N}}]+7($|[^\\p{{L}}\\p{{N}}])')" for f in _FIELDS),
-        "search_phrase_documents": "SELECT doc_id FROM documents WHERE regexp_matches(lower(coalesce(text, '')), "
-            f"'(^|[^\\p{{L}}\\p{{N}}]){'[^\\p{L}\\p{N}]+'.join(PHRASE.split())}($|[^\\p{{L}}\\p{{N}}])')",
+        "search_phrase_documents": phrase_documents,
+        "lookup_phrase_documents": phrase_documents,
         "search_prefix": f"{customers} WHERE " + " OR ".join(
             f"len(list_filter({_tokens(f)}, lambda w: starts_with(w, 'mach'))) > 0" for f in _FIELDS),
         "search_phrase_prefix": f"{customers} WHERE regexp_matches(address.city, '^city 1')",
@@ -394,10 +400,12 @@ SELECT entity_id, row_number() OVER (PARTITION BY entity_id ORDER BY ts, cmd_id)
         "search_field_sorted": f"{customers} WHERE {_any(['machinery'], ('email',))} ORDER BY lower(address.city) DESC, lower(username), id LIMIT 20 OFFSET 40",
         "search_count": f"WITH {CV} SELECT count(*) AS count FROM cv WHERE {_any(['machinery', 'd3'])}",
         "search_departments": f"{department_view} WHERE {_any(['d2', 'dep3', 'dep9'], ('id', 'name', 'description'))}",
-        "search_documents": f"SELECT doc_id, lang, source FROM documents WHERE list_has_all({_tokens('text')}, {ALL_QUERY.split()})",
+        "search_documents": all_documents,
+        "lookup_search_documents": all_documents,
         "search_stream_pages": f"""WITH {CV}, hits AS (SELECT * FROM cv WHERE {_any(['machinery', 'd3'])})
 SELECT ((row_number() OVER (ORDER BY lower(username) DESC, id) - 1) // 20)::INTEGER AS page, id, username FROM hits""",
-        "suggest_users": f"WITH {CV} ({_suggest('username')}) UNION ALL ({_suggest('email')})",
+        "suggest_users": suggested,
+        "lookup_suggest_users": suggested,
         "suggest_lists": f"""WITH {CV}, s AS (({_suggest('username', 'c1')}) UNION ALL ({_suggest('email', 'c1')}))
 SELECT prefix, property, coalesce((SELECT string_agg(text, ',' ORDER BY rank) FROM s WHERE s.property = p.property AND prefix = 'c1'), '') AS texts
 FROM (VALUES ('username'), ('email')) p(property), (VALUES ('c1'), ('')) x(prefix)""",
