@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 
 import brute
 import public_tokenizers
-from ledgerfold.llm import decontam, html, licenses, neardup, packing, substring, tokens, topk, toxicity, urls
+from ledgerfold.llm import common, decontam, html, licenses, neardup, packing, substring, tokens, topk, toxicity, urls
 from ledgerfold.llm.common import components
 from pyspark.sql import functions as F
 
@@ -381,3 +381,11 @@ def test_labelled_texts_are_all_learned_from(spark):
     model = toxicity.learn(frame(spark, docs), labels)
     clean, toxic = model.scores([docs[2][1], docs[1][1]])
     assert clean < 0.5 < toxic
+
+
+def test_a_worker_keeps_one_operators_memory():
+    common.kept("one")["memo"] = {"a": 1}
+    assert common.kept("one") == {"memo": {"a": 1}}
+    common.trimmed(lambda column: column)([1])  # a batch of this module
+    assert common._KEPT.keys() == {__name__}
+    assert common.kept("one") == {} and common._KEPT.keys() == {"one"}
