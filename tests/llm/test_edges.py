@@ -1,5 +1,7 @@
 """Nulls, empty and very long texts, ties and repeated rows, empty tables, odd columns."""
 
+import random
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -205,13 +207,67 @@ def test_html(spark):
     assert html.extracted(frame(spark, [], shape)).count() == 0
 
 
+def wrapper_of(*pages):
+    return html._merged(html.page_wrapper(html.blocks(p)) for p in pages)
+
+
 def test_wrapper_groups():
-    slots = [html.Slot(p, t) for p, t in [("nav", "a"), ("h2", "x"), ("p", "1"), ("h2", "y"), ("p", "2"), ("p", "3"), ("end", "z")]]
-    folded = html.folded(slots)
-    assert [(s.path, s.repeats) for s in folded] == [("nav", False), ("h2", True), ("p", True), ("end", False)]
-    other = html.folded([html.Slot("nav", "a"), html.Slot("ad", "buy"), html.Slot("h2", "q"), html.Slot("end", "z")])
-    merged = html.aligned(folded, other)
-    assert {s.path: s.text for s in merged}["nav"] == "a" and {s.path for s in merged if s.optional} == {"ad", "p"}
+    merged = wrapper_of("<ul><li>Home</ul><p>a<p>End", "<ul><li>Home</ul><h2>x</h2><p>b<p>c<p>End", "<ul><li>Home</ul><p>d<p>End")
+    assert [html.path_of(f) for f in merged.fixed] == ["ul/li", "p"] and merged.pages == 3
+    assert merged.groups == [[], [html.Slot("p", True, False), html.Slot("h2", False, True)], []]
+    assert html._read(html._text(merged)) == merged
+    copies = wrapper_of("<p>a<p>b", "<p>a<p>b", "<p>a<p>b")
+    assert copies.pages == 1 and len(copies.fixed) == 2
+    assert html.slots_of(html.blocks("<ul><li>Home</ul><p>new<p>End"), merged) == [("p", "new")]
+    assert html.slots_of(html.blocks("<p>new<p>End"), merged) is None and html.slots_of(html.blocks("<ul><li>Home</ul><h5>q</h5><p>End"), merged) is None
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_common_run_is_longest(seed):
+    rng = random.Random(seed)
+    left, right = ([str(x) for x in rng.sample(range(30), 20)] for _ in range(2))
+    longest = [[0] * 21 for _ in range(21)]
+    for i in range(20):
+        for j in range(20):
+            longest[i + 1][j + 1] = longest[i][j] + 1 if left[i] == right[j] else max(longest[i][j + 1], longest[i + 1][j])
+    run = html.common(left, right)
+    assert len(run) == longest[20][20] and all(left[a] == right[b] for a, b in run)
+    assert all(x[0] < y[0] and x[1] < y[1] for x, y in zip(run, run[1:]))
+
+
+def test_pages_without_marks(spark, monkeypatch):
+    """Fixed texts are told by the wrapper alone; marked articles keep a sentence that all share."""
+    shape = "page_id bigint, url string, html string"
+    plain = [(n, f"http://plain/{n}", f"<p>Home</p><p>Story {n}</p>{'<p>More ' + str(n) + '</p>' if n % 2 else ''}<p>Copyright Foo</p>") for n in range(6)]
+    divs = [(10 + n, f"http://divs/{n}", f"<div><div>Top</div><div>Text {n}<br>and on</div><div>Same</div><div>Tail {n}</div></div>") for n in range(4)]
+    marked = [(20 + n, f"http://plain/m{n}", f"<p>Home</p><article><p>All share this.</p><p>Story {n}</p></article>") for n in range(4)]
+    two = [(30 + n, f"http://two/{n}", f"<p>Once upon a time</p><p>Story {n}</p>") for n in range(2)]
+    copies = [(40 + n, f"http://copies/{n}", "<p>Home</p><p>A story</p>") for n in range(5)]
+    rows = frame(spark, plain + divs + marked + two + copies, shape).repartition(5)
+    texts = {r["page_id"]: r["text"] for r in html.extracted(rows).collect()}
+    assert [texts[n] for n in range(6)] == [f"Story {n}\nMore {n}" if n % 2 else f"Story {n}" for n in range(6)]
+    assert [texts[10 + n] for n in range(4)] == [f"Text {n} and on\nTail {n}" for n in range(4)]
+    assert [texts[20 + n] for n in range(4)] == [f"All share this.\nStory {n}" for n in range(4)]
+    assert [texts[30 + n] for n in range(2)] == [f"Once upon a time\nStory {n}" for n in range(2)]
+    assert {texts[40 + n] for n in range(5)} == {"Home\nA story"}
+    with monkeypatch.context() as patch:  # joined by template, not sent
+        patch.setattr(html, "BROADCAST_BYTES", -1)
+        assert {r["page_id"]: r["text"] for r in html.extracted(rows).collect()} == texts
+    monkeypatch.setattr(html, "wrappers", lambda pages: frame(spark, [], "host string, template string, wrapper string"))
+    without = {r["page_id"]: r["text"] for r in html.extracted(rows).collect()}
+    assert {n for n in texts if texts[n] != without[n]} == {*range(6), *range(10, 14)}
+
+
+def test_wrapper_of_many_different_pages_stays_small():
+    """Ten thousand pages of one host, each with names of its own: bounded and linear."""
+    page = "<body><div><p>Home</p>{}<p>End</p></div></body>"
+    merged, largest = None, 0
+    for n in range(10_000):
+        own = html.page_wrapper(html.blocks(page.format("".join(f"<div class=x{chr(97 + (n * 7 + k) % 26)}{chr(97 + n // 26 % 26)}{chr(97 + n // 676)}><p>{n} {k}</div>" for k in range(20)))))
+        merged = own if merged is None else html.aligned(merged, own)
+        largest = max(largest, len(html._text(merged)))
+    assert largest < 20_000 and merged.pages == 10_000
+    assert [html.path_of(f) for f in merged.fixed] == ["body/div/p", "body/div/p"] and merged.groups == [[], None, []]
 
 
 def test_near_duplicates(spark, odd, none):
