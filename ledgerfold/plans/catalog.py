@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerfold.functions import codecs, validation
-from ledgerfold.operators import admission, fold, gate, journal, replies, search, service, state
+from ledgerfold.operators import admission, custom, fold, gate, journal, replies, search, service, state
 from ledgerfold.operators.cells import uncut
 from ledgerfold.operators.specs import DEPARTMENT, USER
 from ledgerfold.schemas import DEPARTMENT_JOURNAL, USER_JOURNAL, USER_VIEW
 from ledgerfold.session import stored, work_path
 from ledgerfold.sources import derived, topics
 from ledgerfold.sources.lookup import Completions, Postings
+from ledgerfold.sources.pages import SortedHits
 from ledgerfold.sources.store import ViewSearch, ViewStore, read_journal, read_snapshots, write_journal, write_snapshots
 from ledgerfold.sources.tables import SCHEMAS, stream_files, table, write_in_time_order
 from ledgerfold.streaming import gate as streaming_gate
@@ -308,6 +310,13 @@ def user_history(spark, folder):
     return rows.select("entity_id", "seq_nr", "kind", "present", "username", "email", *_address(), _department())
 
 
+@query
+def custom_fold_runs(spark, folder):
+    """A fold in user code: every user's longest run of events of one kind."""
+    rows, plan = _planned(spark, folder)
+    return custom.fold(rows, custom.longest_run(), plan=plan)
+
+
 @query
 def snapshot_points(spark, folder):
     rows, plan = _planned(spark, folder)
@@ -543,6 +552,22 @@ def search_stream_pages(spark, folder):
     return search.all_pages(hits, [("username", False)]).select("page", "id", "username")
 
 
+@query
+def search_seek_pages(spark, folder):
+    """Three pages by continuation over a mixed order, and one behind a key of no row."""
+    hits = search.matching(derived.customer_view(spark, folder), "machinery d3")
+    arranged = SortedHits(spark, work_path(spark, "hits"), [("department.id", False), ("username", True)], block=64).write(hits)
+    page, rows = arranged.page(("d3", "customer#000000050x", "0")), []
+    pages = [page.select(F.lit(99).alias("page"), "id", "username")]
+    for number in range(3):
+        page = arranged.page(arranged.key_of(rows[-1]) if rows else None)
+        rows = page.collect()
+        pages.append(page.select(F.lit(number).alias("page"), "id", "username"))
+        if not rows:
+            break
+    return reduce(DataFrame.unionByName, pages)
+
+
 @query
 def suggest_users(spark, folder):
     return search.suggest(derived.customer_view(spark, folder), "C").select("property", "rank", "text", "score", "freq")

@@ -404,6 +404,14 @@ SELECT entity_id, row_number() OVER (PARTITION BY entity_id ORDER BY ts, cmd_id)
         "lookup_search_documents": all_documents,
         "search_stream_pages": f"""WITH {CV}, hits AS (SELECT * FROM cv WHERE {_any(['machinery', 'd3'])})
 SELECT ((row_number() OVER (ORDER BY lower(username) DESC, id) - 1) // 20)::INTEGER AS page, id, username FROM hits""",
+        "search_seek_pages": f"""WITH {CV}, hits AS (SELECT id, username, department_id AS d FROM cv WHERE {_any(['machinery', 'd3'])}),
+placed AS (SELECT *, row_number() OVER (ORDER BY d DESC, lower(username), id) - 1 AS position FROM hits),
+behind AS (SELECT * FROM placed WHERE d < 'd3' OR (d = 'd3' AND lower(username) > 'customer#000000050x') ORDER BY position LIMIT 20)
+SELECT (position // 20)::INTEGER AS page, id, username FROM placed WHERE position < 60 UNION ALL SELECT 99, id, username FROM behind""",
+        "custom_fold_runs": f"""WITH {UJ}, marked AS (
+  SELECT entity_id, kind, seq_nr, seq_nr - row_number() OVER (PARTITION BY entity_id, kind ORDER BY seq_nr) AS island FROM uj),
+runs AS (SELECT entity_id, kind, count(*) AS n, min(seq_nr) AS first_seq FROM marked GROUP BY entity_id, kind, island)
+SELECT entity_id, kind, n, first_seq FROM runs QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY n DESC, first_seq) = 1""",
         "suggest_users": suggested,
         "lookup_suggest_users": suggested,
         "suggest_lists": f"""WITH {CV}, s AS (({_suggest('username', 'c1')}) UNION ALL ({_suggest('email', 'c1')}))

@@ -1,0 +1,63 @@
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+import model
+from ledgerfold.operators import cells, custom
+
+SHAPE = "entity_id string, seq_nr bigint, kind string"
+
+
+def longest(rows):
+    """One row at a time."""
+    best, run = {}, {}
+    for entity, seq, kind in sorted(rows, key=lambda r: (r[0] or "", r[1])):
+        known = run.get(entity)
+        run[entity] = (kind, known[1] + 1, known[2]) if known and known[0] == kind else (kind, 1, seq)
+        if entity not in best or run[entity][1] > best[entity][1]:
+            best[entity] = run[entity]
+    return best
+
+
+def found(rows):
+    return {r["entity_id"]: (r["kind"], r["n"], r["first_seq"]) for r in rows.collect()}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_longest_run(spark, cell_mode, seed):
+    rows = [(r[0], r[1], random.Random(f"{seed} {r[0]} {r[1] // 7}").choice("abc")) for r in model.random_journal(seed, hot=400)]
+    journal = spark.createDataFrame(rows + rows[::3], SHAPE).repartition(7)
+    assert found(custom.fold(journal, custom.longest_run())) == longest(rows)
+
+
+def test_a_run_over_many_cells(spark, cell_mode):
+    """A tree of more than two levels; null kinds and a null entity; a single kind."""
+    rows = [("hot", n, "a" if 300 < n <= 3_300 else "bc"[n % 2]) for n in range(1, 5_001)] + [(None, n, None) for n in range(1, 30)] + [("one", 1, "z")]
+    result = found(custom.fold(spark.createDataFrame(rows, SHAPE).repartition(5), custom.longest_run()))
+    assert result == longest(rows) and result["hot"] == ("a", 3_000, 301) and result[None] == (None, 29, 1)
+    assert custom.fold(spark.createDataFrame([], SHAPE), custom.longest_run()).count() == 0
+
+
+def test_a_fold_of_ones_own(spark, cell_mode):
+    """What order decides: the texts of an entity's events, chained."""
+    def chain():
+        return custom.Fold(
+            ("kind",), "text string, n bigint", "text string, n bigint",
+            lambda events: {"text": "".join(events["kind"].to_pylist()), "n": events.num_rows},
+            lambda a, b: {"text": a["text"] + b["text"], "n": a["n"] + b["n"]}, lambda s: s,
+        )
+
+    rows = [(f"e{n % 3 if n > 300 else 0}", n, chr(97 + n % 26)) for n in range(1, 501)]
+    numbered = [(e, sum(1 for x in rows[:i + 1] if x[0] == e), k) for i, (e, _, k) in enumerate(rows)]
+    result = custom.fold(spark.createDataFrame(numbered, SHAPE), chain()).withColumn("size", F.length("text"))
+    want = {}
+    for entity, _, kind in numbered:
+        want[entity] = want.get(entity, "") + kind
+    assert {r["entity_id"]: (r["text"], r["n"], r["size"]) for r in result.collect()} == {e: (t, len(t), len(t)) for e, t in want.items()}
+
+
+def test_an_uncut_journal_takes_one_shuffle(spark):
+    journal = spark.createDataFrame([("a", 1, "x")], SHAPE)
+    plan = custom.fold(journal, custom.longest_run(), plan=cells.by_sequence(journal))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "MapInArrow" in plan
