@@ -148,16 +148,20 @@ SMALL_LIFECYCLE, SMALL_GRID, GRID_CONF = 200_000, 400_000, "ledgerfold.lifecycle
 _PER_SLICE = 256
 
 
-def department_grid(departments: DataFrame) -> tuple[DataFrame, tuple[float, ...]] | None:
+def department_grid(departments: DataFrame, whole: bool = False) -> tuple[DataFrame, tuple[float, ...]] | None:
     """Small enough lifecycles as one row per (department, slice of time): the state the
-    slice begins with and the changes within it. None if they are too many."""
+    slice begins with and the changes within it. None if they are too many; ``whole`` takes
+    any number, for a join that need not broadcast them."""
     limit = int(departments.sparkSession.conf.get(GRID_CONF, str(SMALL_LIFECYCLE)))
     marks = departments.select(
         F.col("entity_id").alias("_dept"), "ts", utc_micros("ts").cast("double").alias("t"), "seq_nr", (F.col("kind") == "created").alias("here")
     )
     total, named = marks.agg(F.count("*"), F.count_distinct("_dept")).first()
     slices = max(1, total // _PER_SLICE)
-    if total > limit or named * slices > SMALL_GRID:
+    if whole:
+        # No more rows than there are events, however many departments share the slices.
+        slices = max(1, min(slices, max(total, SMALL_GRID) // max(1, named)))
+    elif total > limit or named * slices > SMALL_GRID:
         return None
     at = [n / slices for n in range(1, slices)]
     splits = tuple(sorted(set(marks.stat.approxQuantile("t", at, 1 / (4 * slices))))) if at and total else ()
@@ -181,14 +185,20 @@ def with_department_exists(commands: DataFrame, departments: DataFrame, kinds: S
     is one union and a running scan per department: lifecycle rows and commands meet in
     time order, and departments that take many commands are cut into cells like any hot
     key. Commands that need no lookup pass by either.
+
+    A stream of commands meets the slices of any number of departments' events, which are
+    written out once; Spark sends them or, where they are many, shuffles them by department
+    and slice.
     """
     reference = F.col("department.id")
     asks = F.coalesce(F.col("kind").isin(list(kinds)) & reference.isNotNull(), F.lit(False))
-    grid = department_grid(departments) if rows is None else None
+    live = commands.isStreaming
+    grid = department_grid(departments, live) if rows is None else None
     if grid is not None:
         known, splits = grid
+        known = stored(known, "department-slices") if live else F.broadcast(known)
         sliced = cells.with_bucket(commands.withColumn("_dept", F.when(asks, reference)), utc_micros("cmd_ts"), splits, "_slice")
-        found = sliced.join(F.broadcast(known), ["_dept", "_slice"], "left")
+        found = sliced.join(known, ["_dept", "_slice"], "left")
         # At the same instant the lifecycle goes first.
         before = F.filter("_changes", lambda c: c["ts"] <= F.col("cmd_ts"))
         seen = F.try_element_at(before, F.lit(-1))["here"]

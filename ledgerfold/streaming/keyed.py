@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ledgerfold.operators import gate
 from ledgerfold.operators.specs import GateSpec
+from ledgerfold.session import rocksdb_state
 
 CARRIED = "last_seq bigint, alive boolean"
 _DECIDED = [
@@ -84,9 +85,10 @@ def decide(commands: DataFrame, spec: GateSpec, carried: DataFrame | None = None
 def user_commands(commands: DataFrame, departments: DataFrame) -> DataFrame:
     """Streamed user commands with their ``errors``. ``departments`` are lifecycle events
     as they are when the query starts; where they change while it runs, use
-    ``streaming.gate``, which reads them for every batch."""
+    ``streaming.gate``, which reads them for every batch. They may be any number, unless the
+    session sets a limit to them."""
     checked = gate.with_errors(commands, [gate.ADDRESS_VALIDATOR])
-    if gate.department_grid(departments) is None:
+    if commands.sparkSession.conf.get(gate.GRID_CONF, None) and gate.department_grid(departments) is None:
         raise ValueError("too many department events to send to a stream of commands: use streaming.gate")
     return gate.with_errors(gate.with_department_exists(checked, departments), [gate.DEPARTMENT_VALIDATOR])
 
@@ -95,10 +97,12 @@ def run(commands: DataFrame, spec: GateSpec, path: str, checkpoint: str, carried
         trigger: dict | None = None) -> StreamingQuery:
     """Decide a stream of commands (with ``errors``) and append the decisions to
     ``path/decisions``. The sink's log names the files of completed batches, so a batch that
-    is run again after a failure appears once."""
+    is run again after a failure appears once. The state is in RocksDB, the only store that
+    keeps state by key and name."""
     writer = decide(commands, spec, carried).writeStream.queryName(f"{spec.entity.name}KeyedGate").format("parquet")
     writer = writer.option("path", f"{path}/decisions").option("checkpointLocation", checkpoint)
-    return writer.trigger(**(trigger or {"availableNow": True})).start()
+    with rocksdb_state(commands.sparkSession):
+        return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
 def decisions(spark: SparkSession, path: str) -> DataFrame:

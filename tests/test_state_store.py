@@ -10,6 +10,7 @@ from ledgerfold.operators import gate, journal
 from ledgerfold.operators.specs import DEPARTMENT, USER
 from ledgerfold.functions import validation
 from ledgerfold.schemas import DEPARTMENT_COMMANDS, USER_COMMANDS
+from ledgerfold.session import STATE_PROVIDER
 from ledgerfold.sources import topics
 from ledgerfold.sources.store import ViewStore, committed, stream_journal
 from ledgerfold.streaming import keyed, views
@@ -92,6 +93,44 @@ def test_keyed_gate_runs_one_job_for_a_batch(spark, tmp_path):
     assert len(batches) == 3 and 0 < len(jobs) <= 6 * len(batches)
 
 
+def test_keyed_gate_in_a_session_with_another_state_store(spark, tmp_path):
+    """The gate brings the store that it needs, and leaves the session's setting alone."""
+    commands, marks = _random(46, 60)
+    path, out = str(tmp_path / "commands"), str(tmp_path / "out")
+    _files(spark, path, commands, USER_COMMANDS)
+    other = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+    before = spark.conf.get(STATE_PROVIDER)
+    spark.conf.set(STATE_PROVIDER, other)
+    try:
+        stream = keyed.user_commands(_commands(spark, path), spark.createDataFrame(marks, LIFECYCLE))
+        keyed.run(stream, gate.USER_GATE, out, str(tmp_path / "c")).awaitTermination()
+        assert spark.conf.get(STATE_PROVIDER) == other
+    finally:
+        spark.conf.set(STATE_PROVIDER, before)
+    assert _decided(spark, out) == _simulate(commands, marks)
+
+
+@pytest.mark.parametrize("sent", [True, False])
+def test_keyed_gate_of_many_department_events(spark, tmp_path, monkeypatch, sent):
+    """Departments beyond the limits of what is broadcast, joined with and without that."""
+    monkeypatch.setattr(gate, "SMALL_LIFECYCLE", 1)
+    monkeypatch.setattr(gate, "SMALL_GRID", 1)
+    monkeypatch.setattr(gate, "_PER_SLICE", 3)
+    commands, marks = _random(47, 120)
+    path, out = str(tmp_path / "commands"), str(tmp_path / "out")
+    _files(spark, path, commands, USER_COMMANDS)
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(threshold)
+    if not sent:
+        spark.conf.set(threshold, "-1")
+    try:
+        stream = keyed.user_commands(_commands(spark, path), spark.createDataFrame(marks, LIFECYCLE))
+        keyed.run(stream, gate.USER_GATE, out, str(tmp_path / "c")).awaitTermination()
+    finally:
+        spark.conf.set(threshold, before)
+    assert _decided(spark, out) == _simulate(commands, marks)
+
+
 def test_too_many_department_events_are_refused(spark, tmp_path):
     commands, marks = _random(45, 20)
     _files(spark, str(tmp_path / "commands"), commands, USER_COMMANDS)
