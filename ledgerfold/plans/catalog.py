@@ -695,14 +695,14 @@ def stored_view(spark, folder):
 
 
 def _event_stream(spark: SparkSession, folder: str, path: str) -> DataFrame:
-    """The events as a stream of eight files and more, one for each micro-batch."""
-    write_in_time_order(table(spark, folder, "events"), f"{path}/events", "ts", "user_id")
-    return stream_files(spark, f"{path}/events", SCHEMAS["events"])
+    """The events as a stream of eight slices of time, one for each micro-batch."""
+    files = write_in_time_order(table(spark, folder, "events"), f"{path}/events", "ts", "user_id")
+    return stream_files(spark, f"{path}/events", SCHEMAS["events"], files)
 
 
 def _department_stream(spark: SparkSession, folder: str, path: str) -> DataFrame:
-    write_in_time_order(derived.department_journal(spark, folder), f"{path}/journal", "ts", "entity_id")
-    return stream_files(spark, f"{path}/journal", DEPARTMENT_JOURNAL)
+    files = write_in_time_order(derived.department_journal(spark, folder), f"{path}/journal", "ts", "entity_id")
+    return stream_files(spark, f"{path}/journal", DEPARTMENT_JOURNAL, files)
 
 
 @query
@@ -722,8 +722,8 @@ def stream_resumed_view(spark, folder):
     events = table(spark, folder, "events")
     late = F.col("ts") >= F.lit(CUT).cast("timestamp_ntz")
     for part in (events.filter(~late), events.filter(late)):
-        write_in_time_order(part, f"{path}/events", "ts", "user_id", 4)
-        stream = derived.user_journal_stream(stream_files(spark, f"{path}/events", SCHEMAS["events"]))
+        files = write_in_time_order(part, f"{path}/events", "ts", "user_id", 4)
+        stream = derived.user_journal_stream(stream_files(spark, f"{path}/events", SCHEMAS["events"], files))
         streaming_views.build_view(stream, store, f"{path}/checkpoint").awaitTermination()
     return _user_rows(store.all())
 
@@ -781,8 +781,8 @@ def stream_keyed_gate(spark, folder):
     events = table(spark, folder, "events")
     late = F.col("ts") >= F.lit(CUT).cast("timestamp_ntz")
     for part in (events.filter(~late), events.filter(late)):
-        write_in_time_order(part, f"{path}/events", "ts", "user_id", 4)
-        commands = derived.user_commands(stream_files(spark, f"{path}/events", SCHEMAS["events"]))
+        files = write_in_time_order(part, f"{path}/events", "ts", "user_id", 4)
+        commands = derived.user_commands(stream_files(spark, f"{path}/events", SCHEMAS["events"], files))
         keyed.run(keyed.user_commands(commands, departments), gate.USER_GATE, path, f"{path}/checkpoint").awaitTermination()
     rows = gate.events(keyed.decisions(spark, path), gate.USER_GATE)
     return rows.select("entity_id", "seq_nr", _stamp("ts"), "kind", "username", "email", *_address(), _department())
@@ -793,9 +793,9 @@ def _untidy_events(spark: SparkSession, folder: str, path: str, part: int) -> Da
     a third of the later one once more."""
     events = table(spark, folder, "events")
     late = F.col("ts") >= F.lit(CUT).cast("timestamp_ntz")
-    files = events.filter(late) if part == 0 else events.filter(~late | (F.col("event_id") % 3 == 0))
-    write_in_time_order(files, f"{path}/events", "ts", "user_id", 4)
-    return derived.user_journal_stream(stream_files(spark, f"{path}/events", SCHEMAS["events"]))
+    rows = events.filter(late) if part == 0 else events.filter(~late | (F.col("event_id") % 3 == 0))
+    files = write_in_time_order(rows, f"{path}/events", "ts", "user_id", 4)
+    return derived.user_journal_stream(stream_files(spark, f"{path}/events", SCHEMAS["events"], files))
 
 
 @query
@@ -823,8 +823,8 @@ def _tailed(spark: SparkSession, folder: str, label: str, read: Callable[[DataFr
     """What ``read(live journal, journal)`` gives of a journal that comes as a stream."""
     path = work_path(spark, label)
     rows = stored(_user_journal(spark, folder), "journal")
-    write_in_time_order(rows, f"{path}/journal", "ts", "entity_id")
-    live = read(stream_files(spark, f"{path}/journal", USER_JOURNAL), rows)
+    files = write_in_time_order(rows, f"{path}/journal", "ts", "entity_id")
+    live = read(stream_files(spark, f"{path}/journal", USER_JOURNAL, files), rows)
     topics.write_stream(live, f"{path}/checkpoint", path=f"{path}/read").awaitTermination()
     return _events(spark.read.schema(USER_JOURNAL).parquet(f"{path}/read"))
 
@@ -858,13 +858,13 @@ def _ledger(spark: SparkSession, folder: str, label: str, restart: bool) -> tupl
     rows = stored(_user_journal(spark, folder), "journal")
     store = ViewStore(spark, f"{path}/view", USER)
     early = F.col("ts") < F.lit(CUT).cast("timestamp_ntz")
-    write_in_time_order(rows.filter(early), f"{path}/journal", "ts", "entity_id", 4)
-    live = stream_files(spark, f"{path}/journal", USER_JOURNAL)
+    files = write_in_time_order(rows.filter(early), f"{path}/journal", "ts", "entity_id", 4)
+    live = stream_files(spark, f"{path}/journal", USER_JOURNAL, files)
     streaming_views.build_view(live, store, f"{path}/checkpoint", compact_every=3, ledger=True).awaitTermination()
     if restart:
-        write_in_time_order(rows.filter(~early), f"{path}/journal", "ts", "entity_id", 4)
+        files = write_in_time_order(rows.filter(~early), f"{path}/journal", "ts", "entity_id", 4)
         reached = stored(store.offsets(), "offsets")
-        rest = journal.beyond(stream_files(spark, f"{path}/journal", USER_JOURNAL), reached)
+        rest = journal.beyond(stream_files(spark, f"{path}/journal", USER_JOURNAL, files), reached)
         streaming_views.build_view(rest, store, f"{path}/checkpoint-2", compact_every=3, ledger=True, first_batch=store.next_batch()).awaitTermination()
     return rows, store
 

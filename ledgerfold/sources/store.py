@@ -31,7 +31,7 @@ def _place(spark: SparkSession, path: str):
     return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
 
 
-def _list(spark: SparkSession, path: str) -> list[str]:
+def names_in(spark: SparkSession, path: str) -> list[str]:
     """Names below a folder; empty if it is missing."""
     system, place = _place(spark, path)
     return [s.getPath().getName() for s in system.listStatus(place)] if system.exists(place) else []
@@ -45,9 +45,9 @@ def attempt(path: str, kind: str, number: int) -> str:
 def committed(spark: SparkSession, path: str) -> dict[int, str]:
     """Number -> folder of its latest attempt that was written completely."""
     found: dict[int, tuple[int, str]] = {}
-    for name in _list(spark, path):
+    for name in names_in(spark, path):
         number, _, tried = name.partition("=")[2].partition("-")
-        if number.isdigit() and "_SUCCESS" in _list(spark, f"{path}/{name}"):
+        if number.isdigit() and "_SUCCESS" in names_in(spark, f"{path}/{name}"):
             found[int(number)] = max(found.get(int(number), (-1, "")), (int(tried or 0), f"{path}/{name}"))
     return {number: folder for number, (_, folder) in sorted(found.items())}
 
@@ -139,7 +139,7 @@ class MergedTable:
         """Record the declared columns next to those already known. Nothing is dropped:
         new columns are null in older rows, columns no longer declared stay readable."""
         declared = self.spark.createDataFrame([], self._declared)
-        known = self.schema() if _list(self.spark, f"{self.path}/columns") else T.StructType()
+        known = self.schema() if names_in(self.spark, f"{self.path}/columns") else T.StructType()
         added = [f for f in declared.schema if f.name not in known.fieldNames()]
         full = T.StructType([*known, *added])
         if added:
@@ -148,7 +148,7 @@ class MergedTable:
 
     def schema(self) -> T.StructType:
         """The columns known so far; the declared ones ahead of the first write."""
-        if not _list(self.spark, f"{self.path}/columns"):
+        if not names_in(self.spark, f"{self.path}/columns"):
             return self.spark.createDataFrame([], self._declared).schema
         return self.spark.read.option("mergeSchema", "true").parquet(f"{self.path}/columns").schema
 
@@ -193,7 +193,7 @@ class MergedTable:
     def offsets(self) -> DataFrame:
         """tag, ts, entity_id, seq_nr: the last event of each tag in the batches that count."""
         upto, manifest = self._manifest()
-        named = {name: f"{self.path}/offsets/{name}" for name in _list(self.spark, f"{self.path}/offsets")}
+        named = {name: f"{self.path}/offsets/{name}" for name in names_in(self.spark, f"{self.path}/offsets")}
         folders = [named[n] for n in (f.rpartition("/")[2] for f in self._batches(upto)) if n in named]
         folders += [f"{self.path}/{manifest['offsets']}"] if manifest["offsets"] else []
         if not folders:
@@ -221,7 +221,7 @@ class MergedTable:
             merged.sortWithinPartitions(_BUCKET, *self.order).write.partitionBy(_BUCKET).parquet(f"{self.path}/base/{name}")
             folders |= {str(b): f"base/{name}/{_BUCKET}={b}" for b in touched}
         offsets, known = manifest["offsets"], self.offsets()
-        if _list(self.spark, f"{self.path}/offsets"):
+        if names_in(self.spark, f"{self.path}/offsets"):
             offsets = f"offsets/{name}"
             known.coalesce(1).write.parquet(f"{self.path}/{offsets}")
         whole = json.dumps({"buckets": manifest["buckets"], "folders": folders, "offsets": offsets})
@@ -247,11 +247,11 @@ class MergedTable:
 
         for kind in ("delta", "manifest", "offsets"):
             limit = before_last - 1 if kind == "manifest" else before_last
-            for name in _list(self.spark, f"{self.path}/{kind}"):
+            for name in names_in(self.spark, f"{self.path}/{kind}"):
                 if number(name) <= limit and f"{kind}/{name}" not in needed:
                     delete(f"{kind}/{name}")
-        for name in _list(self.spark, f"{self.path}/base"):
-            own = [f"base/{name}/{b}" for b in _list(self.spark, f"{self.path}/base/{name}") if b.startswith(_BUCKET)]
+        for name in names_in(self.spark, f"{self.path}/base"):
+            own = [f"base/{name}/{b}" for b in names_in(self.spark, f"{self.path}/base/{name}") if b.startswith(_BUCKET)]
             if number(name) <= last and not needed.intersection(own):
                 delete(f"base/{name}")
             elif number(name) <= last:

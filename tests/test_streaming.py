@@ -9,6 +9,7 @@ from ledgerfold.operators.specs import USER
 from ledgerfold.schemas import USER_COMMANDS
 from ledgerfold.sources import topics
 from ledgerfold.sources.store import ViewStore, stream_journal
+from ledgerfold.sources.tables import stream_files, write_in_time_order
 from ledgerfold.streaming import gate as streaming_gate
 from ledgerfold.streaming import views
 from test_folds import _by_id, frame
@@ -159,6 +160,23 @@ def test_departments_that_come_while_the_gate_runs(spark, tmp_path):
     assert found == {"first": "CreatedFailed", "second": "Created"}
 
 
+def test_slices_of_many_files_are_one_batch_each(spark, tmp_path):
+    """Batches follow the slices of time, not the files that their size asks for."""
+    path = str(tmp_path / "files")
+    rows = spark.range(4000).select(F.timestamp_seconds("id").cast("timestamp_ntz").alias("ts"), (F.col("id") % 97).alias("key"), "id")
+    seen = []
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # every slice is as many files as there are shuffle partitions
+    try:
+        for part in (rows.filter("id < 2000"), rows.filter("id >= 2000")):
+            files = write_in_time_order(part, path, "ts", "key", 4)
+            assert files == 4
+            stream = stream_files(spark, path, "ts timestamp_ntz, key bigint, id bigint", files)
+            views.project(stream, "slices", str(tmp_path / "c"), lambda batch, _: seen.append(sorted(r["id"] for r in batch.collect()))).awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(seen) == 8 and sum(seen, []) == list(range(4000))
+
+
 @pytest.mark.parametrize("name, least", [
     ("stream_user_view", 8), ("stream_resumed_view", 8), ("stream_department_view", 8), ("stream_republish", 8),
     ("stream_republish_departments", 8), ("stream_gate", 8), ("stream_keyed_gate", 8), ("stream_state_view", 8), ("stream_republish_once", 8),
