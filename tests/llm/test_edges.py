@@ -300,6 +300,28 @@ def test_near_duplicates_of_a_large_group(spark):
     assert found == want
 
 
+def test_near_duplicates_apart_from_the_hub(spark, monkeypatch):
+    """Pairs that are similar to each other, in buckets with many that neither is similar to,
+    which no finer bucket brings together."""
+    import random
+
+    monkeypatch.setattr(neardup, "SMALL", 2)
+    monkeypatch.setattr(neardup, "DEPTHS", ())
+    rng = random.Random(2)
+    common, docs = [f"w{i}" for i in range(176)], []
+    for i in range(100):
+        own = [f"p{i}y{j}" for j in range(24)]
+        for number in (2 * i, 2 * i + 1):
+            text = common + own
+            text[rng.randrange(180, 195)] = f"q{number}"
+            text[rng.randrange(5, 170)] = f"r{number}"
+            docs.append((number, " ".join(text)))
+    want, _ = brute.near_classes(docs)
+    assert sum(want[2 * i + 1] == 2 * i for i in range(100)) > 80
+    found = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(frame(spark, docs)).collect()}
+    assert found == want
+
+
 def test_components(spark):
     links = [(1, 2), (2, 3), (3, 4), (9, 8), (8, 7), (20, 20), *[(100, 100 + i) for i in range(1, 50)], *[(200 + i, 201 + i) for i in range(40)]]
     union = brute.Union()
