@@ -322,6 +322,34 @@ def test_near_duplicates_apart_from_the_hub(spark, monkeypatch):
     assert found == want
 
 
+def test_remaining_pairs_of_a_large_bucket(spark):
+    """Edits of one text that are near but not links of each other hardly meet, and the pairs
+    that are links, some of them far from the hub, all do."""
+    import itertools
+    import random
+
+    rng = random.Random(3)
+    base = list(range(200))
+    sets = {0: {*base}}
+    for i in range(1, 301):
+        gone = set(rng.sample(base, 24))
+        sets[i] = {*base} - gone | {1000 * i + j for j in range(rng.randint(20, 28))}
+    for i in range(1, 301, 10):  # neighbours at both sides of 0.8, and larger or smaller ones
+        other = sorted(sets[i])
+        rng.shuffle(other)
+        sets[1000 + i] = {*other[: len(other) - rng.randint(0, 40)]} | {10**6 * i + j for j in range(rng.randint(0, 30))}
+    similarity = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    for hub in (0, 1, 1001):
+        large = frame(spark, [(1, n, hub) for n in sets], "bucket bigint, node bigint, hub bigint")
+        alone = frame(spark, [], "node bigint, root bigint")
+        met = neardup.remaining(large, alone, frame(spark, [(n, sorted(s)) for n, s in sets.items()], "node bigint, s array<bigint>"))
+        met = {tuple(sorted(r, reverse=True)) for r in met.collect()}
+        linked = {n for n in sets if similarity(n, hub) >= 0.8}
+        links = {(b, a) for a, b in itertools.combinations(sorted(sets), 2) if similarity(a, b) >= 0.8 and not {a, b} & {hub}}
+        assert {(b, a) for b, a in links if not {a, b} <= linked} <= met
+        assert len(met) < 0.02 * len(sets) ** 2 / 2
+
+
 def test_components(spark):
     links = [(1, 2), (2, 3), (3, 4), (9, 8), (8, 7), (20, 20), *[(100, 100 + i) for i in range(1, 50)], *[(200 + i, 201 + i) for i in range(40)]]
     union = brute.Union()
