@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 
 import brute
 import public_tokenizers
+from ledgerfold import session
 from ledgerfold.llm import common, decontam, html, licenses, neardup, packing, substring, tokens, topk, toxicity, urls
 from ledgerfold.llm.common import components
 from pyspark.sql import functions as F
@@ -350,6 +351,26 @@ def test_remaining_pairs_of_a_large_bucket(spark):
         assert len(met) < 0.02 * len(sets) ** 2 / 2
 
 
+def test_substring_functions_run_once(spark, monkeypatch):
+    """No written table evaluates a Python function twice for a row."""
+    plans = []
+
+    def stored(rows, label):
+        plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        return session.stored(rows, label)
+
+    monkeypatch.setattr(substring, "stored", stored)
+    monkeypatch.setattr(substring, "SMALL", 2)
+    words = [f"w{i}" for i in range(120)]
+    docs = frame(spark, [(i, " ".join([f"a{i}", *words[i % 7:], f"b{i}"])) for i in range(40)])
+    kept = substring.without_repeats(docs)
+    assert kept.count() == 40
+    plans.append(kept._jdf.queryExecution().executedPlan().toString())
+    used = [[line.split("ArrowEvalPython")[1].split("]")[0].split("#")[0] for line in p.splitlines() if "ArrowEvalPython" in line] for p in plans]
+    assert sum(map(len, used)) >= 5
+    assert all(len(names) <= 1 for names in used)
+
+
 def test_components(spark):
     links = [(1, 2), (2, 3), (3, 4), (9, 8), (8, 7), (20, 20), *[(100, 100 + i) for i in range(1, 50)], *[(200 + i, 201 + i) for i in range(40)]]
     union = brute.Union()
