@@ -18,6 +18,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -33,12 +34,14 @@ FAN = 8
 #: Bytes of text whose links are counted together.
 BLOCK = 8 << 20
 #: Pieces whose tokens a worker remembers, twice as many at most, and the longest of them.
-MEMO, MEMO_CHARS = 120_000, 48
+MEMO, MEMO_CHARS = 160_000, 48
 #: Bytes of compressed tokens whose links are looked up at a time.
 PART = 1 << 20
 #: A single blank between two characters that are none: neither tokenizer has a token that
 #: goes on over it (``Coder`` checks that for the vocabulary of the second).
 JOINT = re.compile(r"(?<=\S) (?=\S)")
+#: In a text without these, and without a blank at its ends, every blank is a joint.
+NO_JOINT = re.compile(r"\s\s")
 
 
 @dataclass(frozen=True)
@@ -118,9 +121,8 @@ class Coder:
             raise ValueError("these vocabularies need Vocabularies(wide=True)")
         self.a_sizes, self.b_sizes = (np.array([len(t) for t in table], np.int64) for table in (self.a_bytes, self.b_bytes))
         self.kind, self.width = files.kind, files.width
-        # An id as text, with what follows it inside a group and at its end.
-        self.a_marks = [f"{i}{m}" for i in range(len(self.a_bytes)) for m in ",|"]
-        self.b_marks = [f"{i}{m}" for i in range(len(self.b_bytes)) for m in ",;"]
+        # An id as text, with what follows it inside a group and at its end: A's, then B's.
+        self.marks = pa.array([f"{i}{m}" for table, ends in ((self.a_bytes, ",|"), (self.b_bytes, ",;")) for i in range(len(table)) for m in ends], pa.large_string())
         self.recent: dict[str, tuple] = {}
         self.older: dict[str, tuple] = {}
 
@@ -136,9 +138,9 @@ class Coder:
         """piece -> (ids of A, ids of B, its groups as text) of a blank and the piece;
         empty where the tokens' bytes are not those. Pieces are encoded ``together``, with
         joints between them, and one by one where that does not give their bytes."""
-        runs, odd = [], [p for p in pieces if not p or p[0].isspace() or p[-1].isspace()]
-        plain = [p for p in pieces if p and not p[0].isspace() and not p[-1].isspace()]
-        runs += [plain[i:i + together] for i in range(0, len(plain), together)] + [[p] for p in odd]
+        plain = [p for p in pieces if p and p.strip() == p]
+        odd = set(pieces).difference(plain) if len(plain) < len(pieces) else ()
+        runs = [plain[i:i + together] for i in range(0, len(plain), together)] + [[p] for p in odd]
         texts = [" ".join(r) for r in runs]
         first = [e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
         second = self.b.encode(texts, num_threads=1)
@@ -155,41 +157,48 @@ class Coder:
             names = [p for i in good for p in runs[i]]
             a, b = (np.fromiter(itertools.chain.from_iterable(x[i] for i in good), self.kind) for x in (first, second))
             ends, stops = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
-            until = np.cumsum([len(p.encode()) + 1 for p in names])
-            common = np.intersect1d(ends, stops, assume_unique=True)
-            ia, ib = (np.searchsorted(x, until, side="right").tolist() for x in (ends, stops))
-            # A's tokens of a group come before B's: the place of each in one sequence.
-            group_a, group_b = np.searchsorted(common, ends), np.searchsorted(common, stops)
-            marks = np.empty(len(a) + len(b), object)
-            at = np.arange(len(a)) + np.searchsorted(group_b, group_a)
-            marks[at] = [self.a_marks[m] for m in (a.astype(np.int64) * 2 + (common[group_a] == ends)).tolist()]
-            at = np.arange(len(b)) + np.searchsorted(group_a, group_b, side="right")
-            marks[at] = [self.b_marks[m] for m in (b.astype(np.int64) * 2 + (common[group_b] == stops)).tolist()]
-            marks, one, two, w = marks.tolist(), a.tobytes(), b.tobytes(), self.width
-            i = j = 0
-            for name, x, y in zip(names, ia, ib):
-                found[name] = one[w * i:w * x], two[w * j:w * y], "".join(marks[i + j:x + y])
-                i, j = x, y
+            until = np.cumsum(pc.binary_length(pa.array(names, pa.string())).to_numpy().astype(np.int64) + 1)
+            ia, ib = (np.searchsorted(x, until, side="right") for x in (ends, stops))
+            text, cut = self.text(a, b, ends, stops)
+            one, two, w = a.tobytes(), b.tobytes(), self.width
+            i = j = k = 0
+            for name, x, y, z in zip(names, (w * ia).tolist(), (w * ib).tolist(), cut[ia + ib].tolist()):
+                found[name] = one[i:x], two[j:y], text[k:z]
+                i, j, k = x, y, z
         return found | self._encode(again, 1) if again else found
 
+    def text(self, a: np.ndarray, b: np.ndarray, ends: np.ndarray, stops: np.ndarray) -> tuple[str, np.ndarray]:
+        """The groups of tokens that end at ``ends`` and ``stops`` as text, and where in it
+        each token of the sequence begins, in which A's of a group come before B's."""
+        common = np.zeros(max(ends[-1], stops[-1]) + 1, np.int8)
+        common[ends] = 1
+        common[stops] += 1
+        last_a, last_b = common[ends] == 2, common[stops] == 2
+        group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
+        groups = max(group_a[-1], group_b[-1]) + 1
+        n_a, n_b = np.bincount(group_a, minlength=groups), np.bincount(group_b, minlength=groups)
+        mark = np.empty(len(a) + len(b), np.int64)
+        mark[np.arange(len(a)) + (np.cumsum(n_b) - n_b)[group_a]] = a.astype(np.int64) * 2 + last_a
+        mark[np.arange(len(b)) + np.cumsum(n_a)[group_b]] = (b.astype(np.int64) + len(self.a_bytes)) * 2 + last_b
+        _, offsets, data = self.marks.take(pa.array(mark)).buffers()
+        cut = np.frombuffer(offsets, np.int64, len(mark) + 1)
+        return str(memoryview(data)[:cut[-1]], "ascii"), cut
+
     def encode(self, texts: list[str]) -> list[list[tuple] | None]:
         """For each text the entries of its pieces, in order; None if one has no tokens."""
         if len(self.recent) > MEMO:
             self.recent, self.older = {}, self.recent
         recent, older = self.recent, self.older
-        rows = [JOINT.split(t) for t in texts]
-        known = [list(map(recent.get, row)) for row in rows]
-        missing = {p for row, found in zip(rows, known) if None in found for p, e in zip(row, found) if e is None}
-        fresh = {p: older[p] for p in missing if p in older}
-        new = [p for p in missing if p not in fresh]
+        rows = [JOINT.split(t) if t[:1] == " " or t[-1:] == " " or NO_JOINT.search(t) else t.split(" ") for t in texts]
+        missing = set().union(*rows).difference(recent)
+        recent.update([(p, older[p]) for p in missing if p in older])
+        new = list(missing.difference(recent))
         for start in range(0, len(new), 8192):
-            fresh.update(self._encode(new[start:start + 8192]))
-        recent.update((p, e) for p, e in fresh.items() if len(p) <= MEMO_CHARS)
-        result = []
-        for row, found in zip(rows, known):
-            entries = [fresh[p] if e is None else e for p, e in zip(row, found)] if None in found else found
-            result.append(None if () in entries else entries)
-        return result
+            recent.update(self._encode(new[start:start + 8192]))
+        found = [list(map(recent.__getitem__, row)) for row in rows]
+        for p in [p for p in new if len(p) > MEMO_CHARS]:
+            del recent[p]
+        return [entries if all(entries) else None for entries in found]
 
     def range_of(self, window: str, low: int, high: int) -> Fragment | None:
         """The fragment of the bytes from ``low`` to ``high`` of a window that begins and
@@ -283,8 +292,8 @@ def _short(rows: DataFrame, files: Vocabularies) -> DataFrame:
                     if not text or entries is None:
                         done.append(_row(doc_id, b"", b"", 0, "", coder.width, number))
                         continue
-                    a, b = b"".join([e[0] for e in entries]), b"".join([e[1] for e in entries])
-                    groups = "".join([e[2] for e in entries])[:-1]
+                    a, b, groups = zip(*entries)
+                    a, b, groups = b"".join(a), b"".join(b), "".join(groups)[:-1]
                     done.append(_row(doc_id, a, b, groups.count("|"), groups, coder.width, number))
                     filled += len(text)
                     if filled > BLOCK:
@@ -303,10 +312,6 @@ def _groups(files: Vocabularies, part: Fragment) -> list[tuple[list[int], list[i
     return groups
 
 
-def _text_of(groups: list[tuple[list[int], list[int]]]) -> str:
-    return ";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in groups)
-
-
 def _long(rows: DataFrame, files: Vocabularies, chunk: int) -> DataFrame:
     """Texts of several ranges: the ranges are dealt out, encoded, and composed by a tree
     whose every step is one shuffle of fragments, ``FAN`` to one."""
@@ -335,12 +340,18 @@ def _long(rows: DataFrame, files: Vocabularies, chunk: int) -> DataFrame:
         return pa.Table.from_batches([_batch([(key[0].as_py(), parts[0][6], key[1].as_py(), *whole, ok)], _FRAGMENT_ARROW)])
 
     def finish(batches):
+        coder = _coder(files)
         for batch in batches:
             done = []
-            for uid, doc_id, _, a, b, ga, gb, ok in zip(*(c.to_pylist() for c in batch.columns)):
-                part = Fragment(a, b, tuple(ga), tuple(gb)) if ok else EMPTY
-                done.append(_row(doc_id, part.a, part.b, len(part.ga), _text_of(_groups(files, part)), files.width, -1 - uid))
+            for uid, doc_id, a, b, ok in zip(*(batch.column(c).to_pylist() for c in ("uid", "doc_id", "a", "b", "ok"))):
+                if not ok:
+                    done.append(_row(doc_id, b"", b"", 0, "", files.width, -1 - uid))
+                    continue
+                one, two = coder.ids(a), coder.ids(b)
+                groups = coder.text(one, two, np.cumsum(coder.a_sizes[one]), np.cumsum(coder.b_sizes[two]))[0][:-1]
+                done.append(_row(doc_id, a, b, groups.count("|"), groups, files.width, -1 - uid))
             yield _batch(done, _DOC_ARROW)
+            give_back()
 
     numbered = rows.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text")
     windows = stored(numbered.mapInArrow(cut, "uid bigint, doc_id bigint, k int, low bigint, high bigint, window string"), "ranges")

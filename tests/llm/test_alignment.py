@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import sys
 from collections import Counter, defaultdict
 
 import pytest
@@ -176,3 +177,16 @@ def fragments(draw):
 def test_fragments_are_a_monoid(x, y, z):
     assert compose(compose(x, y, 2), z, 2) == compose(x, compose(y, z, 2), 2)
     assert compose(EMPTY, x, 2) == x == compose(x, EMPTY, 2)
+
+
+def test_new_pieces_take_few_calls():
+    """op12: the work of a piece outside the libraries is done over arrays, not piece by piece."""
+    coder, calls = alignment.Coder(FILES), Counter()
+    pieces = [f"w{i:x}or" for i in range(4000)]
+    sys.setprofile(lambda frame, event, what: calls.update([event]))
+    try:
+        entries = coder.encode([" ".join(pieces)])[0]
+    finally:
+        sys.setprofile(None)
+    assert len(entries) == 4000 and all(entries)
+    assert sum(calls[e] for e in ("call", "c_call")) < 3 * 4000
