@@ -516,3 +516,32 @@ def test_a_worker_keeps_one_operators_memory():
     common.trimmed(lambda column: column)([1])  # a batch of this module
     assert common._KEPT.keys() == {__name__}
     assert common.kept("one") == {} and common._KEPT.keys() == {"one"}
+
+
+def test_short_chains_are_not_searched(monkeypatch):
+    """op10: common shingles whose chains are too short for a passage cost no search for one."""
+    searched, longest = [], substring._longest
+    monkeypatch.setattr(substring, "_longest", lambda part: searched.append(part) or longest(part))
+    a = np.arange(400, dtype=np.int32)
+    b = np.where(a % 40 < 10, a, a + 1000)  # ten equal words in forty
+    at = np.arange(0, 400, 40) + 2
+    assert substring.common_runs(a, b, at, at) == [] and not searched
+    b[100:149] = a[100:149]
+    assert substring.common_runs(a, b, at, at) == [] and not searched
+    b[100:150] = a[100:150]
+    assert substring.common_runs(a, b, at, at) == [(100, 150, 100, 150)] and searched
+
+
+@given(st.lists(st.integers(0, 5), min_size=1, max_size=80), st.integers(1, 50))
+def test_sliding_least(values, span):
+    """op10: the first of the least of each window, as a search of each whole window gives it."""
+    value = np.array(values, np.uint64)
+    want = [i + int(value[i:i + span].argmin()) for i in range(len(values) - span + 1)]
+    if want:
+        assert substring._least(value, span).tolist() == want
+
+
+def test_lowered_is_ascii_alone(spark):
+    texts = ["ABC xYZ@[", "É ABC İSTANBUL ẞ", "", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(common.lowered(F.col("t"))).collect()
+    assert [r[0] for r in rows] == ["abc xyz@[", "É abc İstanbul ẞ", "", ""]
